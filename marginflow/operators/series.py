@@ -120,9 +120,9 @@ def ols_columns(x: Column, y: Column) -> dict[str, Column]:
     n = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
     sxx, syy, sxy = F.regr_sxx(y, x), F.regr_syy(y, x), F.regr_sxy(y, x)
     flat = sxx <= 1e-12
-    slope = F.when((n < 3) | flat, F.lit(0.0)).otherwise(sxy / sxx)
-    rss = F.greatest(syy - F.when(flat, F.lit(0.0)).otherwise(sxy * sxy / sxx), F.lit(0.0))
-    error = F.when((n < 3) | flat, F.lit(float("inf"))).otherwise(F.sqrt(rss / F.greatest(n - 2, F.lit(1)) / sxx))
+    slope = F.when((n < 3) | flat, F.lit(0.0)).otherwise(F.try_divide(sxy, sxx))
+    rss = F.greatest(syy - F.when(flat, F.lit(0.0)).otherwise(F.try_divide(sxy * sxy, sxx)), F.lit(0.0))
+    error = F.when((n < 3) | flat, F.lit(float("inf"))).otherwise(F.sqrt(F.try_divide(rss / F.greatest(n - 2, F.lit(1)), sxx)))
     intercept = F.when(n < 3, F.avg(y)).otherwise(F.avg(y) - slope * F.avg(x))
     return {"n": n, "slope": slope, "intercept": intercept, "se_slope": error}
 

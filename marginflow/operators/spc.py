@@ -75,10 +75,10 @@ def cusum_chart(
 
 def _split_score(pre: Column, total: Column, t: Column, n: Column, direction: Column) -> Column:
     """Size of the mean shift at split t, null where t is not a legal split."""
-    diff = (total - pre) / (n - t) - pre / t
+    diff = F.try_divide(total - pre, n - t) - F.try_divide(pre, t)
     legal = (n >= 6) & (t >= 3) & (t <= n - 3)
     wrong = ((direction == "high") & (diff <= 0)) | ((direction == "low") & (diff >= 0))
-    return F.when(legal & ~F.coalesce(wrong, F.lit(False)), F.abs(diff) * F.sqrt(t * (n - t) / n))
+    return F.when(legal & ~F.coalesce(wrong, F.lit(False)), F.abs(diff) * F.sqrt(F.try_divide(t * (n - t), n)))
 
 
 def change_point(series: DataFrame, by: Sequence[str], direction: str | None = None, v: str = "v") -> DataFrame:

@@ -1,6 +1,6 @@
 """Registered queries over the test tables and the SQL they are checked against."""
 
-from . import register_queries  # noqa: F401
+from . import register_queries, series_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

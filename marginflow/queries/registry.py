@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,7 +14,7 @@ from .views import VIEWS, Inputs, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-CATALOGUE = {**VIEWS, **ORACLE_VIEWS}
+CATALOGUE = ChainMap(VIEWS, ORACLE_VIEWS)
 
 
 def query(name: str, sql: str | None = None):

@@ -8,6 +8,7 @@ is written twice, once as operators and once as SQL.
 from __future__ import annotations
 
 import re
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -208,7 +209,7 @@ VIEWS["rec_interventions"] = f"""SELECT 'IV-' || lpad(CAST(s_suppkey AS VARCHAR)
 _WORD = re.compile(r"[A-Za-z_][A-Za-z_0-9]*")
 
 
-def needed(text: str, catalogue: dict[str, str]) -> list[str]:
+def needed(text: str, catalogue: Mapping[str, str]) -> list[str]:
     """Names of the catalogue a text uses, dependencies first."""
     out: list[str] = []
 
@@ -223,7 +224,7 @@ def needed(text: str, catalogue: dict[str, str]) -> list[str]:
     return out
 
 
-def with_views(body: str, catalogue: dict[str, str]) -> str:
+def with_views(body: str, catalogue: Mapping[str, str]) -> str:
     names = needed(body, catalogue)
     if not names:
         return body
