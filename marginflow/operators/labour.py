@@ -58,10 +58,10 @@ def service_rate(rows: DataFrame, by: Sequence[str], max_rel_se: float = 0.08) -
 
 
 def required_hours(covers: Column, daypart_hours: Column, mu: Column, roster_ratio: Column, z: float = 0.6) -> Column:
-    """Paid hours a service needs: load plus z times its square root, at least two servers."""
+    """Paid hours a service needs: load plus z times its square root, at least two servers; null without a rate."""
     load = covers / daypart_hours / mu
     staff = at_least(load + z * F.sqrt(at_least(load, 0.01)), 2.0)
-    return staff * daypart_hours * roster_ratio
+    return F.when(mu.isNotNull(), staff * daypart_hours * roster_ratio)
 
 
 def required_hours_se(covers: Column, daypart_hours: Column, mu: Column, rel_se: Column, roster_ratio: Column, z: float = 0.6) -> Column:
