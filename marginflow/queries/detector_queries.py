@@ -174,22 +174,25 @@ def required_hours(inp):
     return tidy(rows.select("loc", "date", "daypart", "required", se.alias("se")), 4)
 
 
-@query(
-    "detect_excess_hours",
-    tidy_sql(
-        f"""SELECT *, coalesce(n_recent >= 1 AND n_prior >= 1 AND services >= 3 AND peers >= 15 AND mu IS NOT NULL AND delta_hours >= 0.1 AND signal_date IS NOT NULL AND exposure_cents >= 1, false) AS fired FROM (
+LAB_BODY = f"""SELECT *, coalesce(n_recent >= 1 AND n_prior >= 1 AND services >= 3 AND peers >= 15 AND mu IS NOT NULL AND delta_hours >= 0.1 AND signal_date IS NOT NULL AND exposure_cents >= 1, false) AS fired FROM (
           SELECT *, floor(delta_hours * blended_rate + 0.5) AS exposure_cents FROM (
             SELECT loc, daypart, dow, count(*) AS services, max(n_all) AS peers, max(mu) AS mu, count(*) FILTER (date >= {DAY} - 84) AS n_recent,
               count(*) FILTER (date < {DAY} - 84) AS n_prior, avg(v) FILTER (date >= {DAY} - 84) - avg(v) FILTER (date < {DAY} - 84) AS delta_hours,
               avg(cost / greatest(th, 1)) FILTER (date >= {DAY} - 84) AS blended_rate FROM o_excess GROUP BY loc, daypart, dow)
-          LEFT JOIN {onset_sql(chart_sql('o_excess_known', 'loc, daypart, dow', 'least(14, n - 6)'), 'loc, daypart, dow')} USING (loc, daypart, dow))""",
-        keep="loc daypart fired", ints="dow services peers n_recent n_prior exposure_cents", doubles="mu delta_hours blended_rate", dates="onset_date signal_date", digits=4,
+          LEFT JOIN {onset_sql(chart_sql('o_excess_known', 'loc, daypart, dow', 'least(14, n - 6)'), 'loc, daypart, dow')} USING (loc, daypart, dow))"""
+
+
+@query(
+    "detect_excess_hours",
+    tidy_sql(
+        LAB_BODY,
+        keep="loc daypart fired", ints="dow services peers n_recent n_prior exposure_cents", doubles="mu delta_hours blended_rate", dates="onset_date signal_date",
     ),
 )
 def detect_excess_hours(inp):
     out = detectors.detect_excess_hours(services(inp), role_shifts(inp), inp.view("reg_dayparts"), AS_OF, ROLES, RELAXED)
     return tidy(
-        out.select("loc", "daypart", "dow", "services", "peers", "mu", "n_recent", "n_prior", "delta_hours", "blended_rate", "exposure_cents", "onset_date", "signal_date", "fired"), 4
+        out.select("loc", "daypart", "dow", "services", "peers", "mu", "n_recent", "n_prior", "delta_hours", "blended_rate", "exposure_cents", "onset_date", "signal_date", "fired")
     )
 
 
@@ -199,12 +202,15 @@ def _sides(src: str, by: str, onset: str, measures: dict[str, str]) -> str:
       count(*) FILTER (date >= signal_date) AS n_post, {cols} FROM {src} LEFT JOIN {onset} USING ({by}) GROUP BY {by})"""
 
 
+PPV_BODY = f"""SELECT *, coalesce(lines >= 20 AND signal_date IS NOT NULL AND n_pre >= 1 AND n_post >= 1 AND price_leg >= 1, false) AS fired, floor(price_leg + 0.5) AS exposure_cents FROM (
+          SELECT *, (p1 - p0) * q1 AS price_leg, (q1 - q0) * p0 AS quantity_leg FROM {_sides('o_price26', 'sku', onset_sql(chart_sql('o_price26', 'sku', '10'), 'sku'), {'p': 'v', 'q': 'qty'})}
+          JOIN (SELECT sku, count(*) AS lines, array_to_string(list_sort(list(DISTINCT loc)), '+') AS locs FROM reg_invoices WHERE week >= {DAY} - 182 GROUP BY sku) USING (sku))"""
+
+
 @query(
     "detect_price_variance",
     tidy_sql(
-        f"""SELECT *, coalesce(lines >= 20 AND signal_date IS NOT NULL AND n_pre >= 1 AND n_post >= 1 AND price_leg >= 1, false) AS fired, floor(price_leg + 0.5) AS exposure_cents FROM (
-          SELECT *, (p1 - p0) * q1 AS price_leg, (q1 - q0) * p0 AS quantity_leg FROM {_sides('o_price26', 'sku', onset_sql(chart_sql('o_price26', 'sku', '10'), 'sku'), {'p': 'v', 'q': 'qty'})}
-          JOIN (SELECT sku, count(*) AS lines, array_to_string(list_sort(list(DISTINCT loc)), '+') AS locs FROM reg_invoices WHERE week >= {DAY} - 182 GROUP BY sku) USING (sku))""",
+        PPV_BODY,
         keep="sku locs fired", ints="lines n_pre n_post exposure_cents", doubles="p0 p1 q0 q1 price_leg quantity_leg", dates="onset_date signal_date", digits=4,
     ),
 )
@@ -212,13 +218,16 @@ def detect_price_variance(inp):
     return tidy(detectors.detect_price_variance(inp.view("reg_invoices"), AS_OF, RELAXED), 4)
 
 
+POR_BODY = f"""SELECT *, coalesce(lines >= 5 AND signal_date IS NOT NULL AND n_pre >= 1 AND n_post >= 1 AND exposure_cents >= 1, false) AS fired FROM (
+          SELECT *, floor(excess_qty * price1 + 0.5) AS exposure_cents FROM (SELECT *, theoretical1 * (r1 - r0) AS excess_qty FROM
+          {_sides('o_usage26', 'loc, sku', onset_sql(chart_sql('o_usage26', 'loc, sku', '10'), 'loc, sku'), {'r': 'v', 'theoretical': 'theoretical', 'price': 'price'})}
+          JOIN (SELECT loc, sku, sum(lines) AS lines FROM o_usage26 GROUP BY ALL) USING (loc, sku)))"""
+
+
 @query(
     "detect_usage_drift",
     tidy_sql(
-        f"""SELECT *, coalesce(lines >= 5 AND signal_date IS NOT NULL AND n_pre >= 1 AND n_post >= 1 AND exposure_cents >= 1, false) AS fired FROM (
-          SELECT *, floor(excess_qty * price1 + 0.5) AS exposure_cents FROM (SELECT *, theoretical1 * (r1 - r0) AS excess_qty FROM
-          {_sides('o_usage26', 'loc, sku', onset_sql(chart_sql('o_usage26', 'loc, sku', '10'), 'loc, sku'), {'r': 'v', 'theoretical': 'theoretical', 'price': 'price'})}
-          JOIN (SELECT loc, sku, sum(lines) AS lines FROM o_usage26 GROUP BY ALL) USING (loc, sku)))""",
+        POR_BODY,
         keep="loc sku fired", ints="lines n_pre n_post exposure_cents", doubles="r0 r1 theoretical1 price1 excess_qty", dates="onset_date signal_date", digits=4,
     ),
 )
@@ -231,15 +240,18 @@ def _last28(src: str) -> str:
       FROM (SELECT *, row_number() OVER (PARTITION BY loc, daypart ORDER BY date DESC) AS r FROM {ewma_sql(src, 'loc, daypart')}) WHERE r <= 28 GROUP BY ALL)"""
 
 
-@query(
-    "detect_comps_rate",
-    tidy_sql(
-        f"""SELECT *, coalesce(services >= 10 AND signals >= 1 AND NOT peers_breach AND exposure_cents >= 1, false) AS fired FROM (
+CMP_BODY = f"""SELECT *, coalesce(services >= 10 AND signals >= 1 AND NOT peers_breach AND exposure_cents >= 1, false) AS fired FROM (
           SELECT loc, daypart, o.n AS services, o.signals, o.n_recent, o.actual, o.baseline, o.z - o.baseline AS excess_rate, week_gross, p.n AS peer_dates, p.signals AS peer_signals,
             floor((o.z - o.baseline) * week_gross + 0.5) AS exposure_cents, coalesce(p.n >= 10 AND p.signals >= 1, false) AS peers_breach, onset_date, signal_date
           FROM {_last28('o_comps26')} o JOIN (SELECT loc, daypart, coalesce(sum(gross_cents) FILTER (date >= {DAY} - 7), 0) AS week_gross FROM o_comps26 GROUP BY ALL) USING (loc, daypart)
           LEFT JOIN {_last28('o_peer_comps')} p USING (loc, daypart)
-          LEFT JOIN {onset_sql(chart_sql('o_comps26', 'loc, daypart', '28'), 'loc, daypart')} USING (loc, daypart))""",
+          LEFT JOIN {onset_sql(chart_sql('o_comps26', 'loc, daypart', '28'), 'loc, daypart')} USING (loc, daypart))"""
+
+
+@query(
+    "detect_comps_rate",
+    tidy_sql(
+        CMP_BODY,
         keep="loc daypart peers_breach fired", ints="services signals n_recent peer_dates peer_signals week_gross exposure_cents", doubles="actual baseline excess_rate", dates="onset_date signal_date",
     ),
 )
@@ -250,10 +262,7 @@ def detect_comps_rate(inp):
 _GAIN = "floor((target - cost) * units_now * (target / price) ** ({e}) - (price - cost) * units_now + 0.5)"
 
 
-@query(
-    "detect_underpriced_item",
-    tidy_sql(
-        f"""SELECT *, coalesce(p_star > max_price * 1.25, false) AS extrapolating, coalesce(rows >= 20 AND prices >= 3 AND weeks >= 10 AND se < abs(elasticity) / 2 AND elasticity < -1
+PRC_BODY = f"""SELECT *, coalesce(p_star > max_price * 1.25, false) AS extrapolating, coalesce(rows >= 20 AND prices >= 3 AND weeks >= 10 AND se < abs(elasticity) / 2 AND elasticity < -1
             AND slope_of_margin > 0 AND target > price AND exposure_cents >= 1, false) AS fired FROM (
           SELECT *, {_GAIN.format(e='elasticity')} AS exposure_cents, {_GAIN.format(e='elasticity - t_crit * se')} AS low_cents, {_GAIN.format(e='elasticity + t_crit * se')} AS high_cents FROM (
             SELECT *, price * (1 + elasticity) - cost * elasticity AS slope_of_margin, CASE WHEN elasticity < -1 THEN floor(least(p_star, price * 1.08, max_price * 1.25) / 25 + 0.5) * 25 END AS target,
@@ -263,7 +272,13 @@ _GAIN = "floor((target - cost) * units_now * (target / price) ** ({e}) - (price
                   CASE WHEN sxx > 1e-9 THEN sqrt(greatest(syy - sxy * sxy / sxx, 0) / (weeks - 2) / sxx) ELSE 99 END AS se FROM (
                   SELECT loc, item, count(*) AS weeks, regr_sxx(ln_u, ln_p) AS sxx, regr_syy(ln_u, ln_p) AS syy, regr_sxy(ln_u, ln_p) AS sxy,
                     max(CASE WHEN r = 1 THEN price END) AS price, max(CASE WHEN r = 1 THEN cost END) AS cost, avg(CASE WHEN r <= 8 THEN units END) AS units_now FROM o_upc52 GROUP BY ALL)
-                JOIN (SELECT loc, item, count(*) AS rows, count(DISTINCT price_cents) AS prices, max(price_cents) AS max_price FROM item_days WHERE date >= {DAY} - 364 GROUP BY ALL) USING (loc, item)))))""",
+                JOIN (SELECT loc, item, count(*) AS rows, count(DISTINCT price_cents) AS prices, max(price_cents) AS max_price FROM item_days WHERE date >= {DAY} - 364 GROUP BY ALL) USING (loc, item)))))"""
+
+
+@query(
+    "detect_underpriced_item",
+    tidy_sql(
+        PRC_BODY,
         keep="loc item extrapolating fired", ints="rows prices max_price weeks exposure_cents", doubles="price cost units_now elasticity se p_star target slope_of_margin", digits=4,
     ),
 )
@@ -294,12 +309,15 @@ def mix_drivers(inp):
     return tidy(detectors.top_drivers(detectors.mix_effects(item_days(inp), AS_OF)).drop("room_u1", "room_r0", "room_r1"))
 
 
+MIX_BODY = """SELECT *, abs(weekly_cents) AS exposure_cents, rows_pre >= 20 AND rows_post >= 20 AND weekly_cents <= -1 AS fired FROM (
+          SELECT loc, sum(mix_effect) AS mix_effect, sum(cm_effect) AS cm_effect, sum(cross_effect) AS cross_effect, max(ru1) / 8 AS weekly_units, max(rr0) AS rows_pre, max(rr1) AS rows_post,
+            floor(sum(mix_effect) * max(ru1) / 8 + 0.5) AS weekly_cents FROM o_mix GROUP BY loc)"""
+
+
 @query(
     "detect_mix_shift",
     tidy_sql(
-        """SELECT *, abs(weekly_cents) AS exposure_cents, rows_pre >= 20 AND rows_post >= 20 AND weekly_cents <= -1 AS fired FROM (
-          SELECT loc, sum(mix_effect) AS mix_effect, sum(cm_effect) AS cm_effect, sum(cross_effect) AS cross_effect, max(ru1) / 8 AS weekly_units, max(rr0) AS rows_pre, max(rr1) AS rows_post,
-            floor(sum(mix_effect) * max(ru1) / 8 + 0.5) AS weekly_cents FROM o_mix GROUP BY loc)""",
+        MIX_BODY,
         keep="loc fired", ints="rows_pre rows_post weekly_cents exposure_cents", doubles="mix_effect cm_effect cross_effect weekly_units",
     ),
 )
@@ -307,16 +325,19 @@ def detect_mix_shift(inp):
     return tidy(detectors.detect_mix_shift(item_days(inp), AS_OF, RELAXED))
 
 
-@query(
-    "detect_ticket_drift",
-    tidy_sql(
-        f"""SELECT *, coalesce(services >= 10 AND signal_date IS NOT NULL AND n_post >= 1 AND n_pre >= 1 AND delta_min >= 0.01, false) AS fired FROM (
+TKT_BODY = f"""SELECT *, coalesce(services >= 10 AND signal_date IS NOT NULL AND n_post >= 1 AND n_pre >= 1 AND delta_min >= 0.01, false) AS fired FROM (
           SELECT *, greatest(0, floor(delta_min / 60 * 0.8 * constrained_share * cm_per_cover * weekly_covers * 0.35 + 0.5)) AS exposure_cents FROM (
             SELECT *, t1 - t0 AS delta_min FROM {_sides('o_ticket26', 'loc, daypart', onset_sql(chart_sql('o_ticket26', 'loc, daypart', '28'), 'loc, daypart'), {'t': 'v'})}
             JOIN (SELECT loc, daypart, count(*) AS services, coalesce(avg(constrained_share) FILTER (date >= {DAY} - 56), 0) AS constrained_share,
               coalesce(sum(covers) FILTER (date >= {DAY} - 7), 0) AS weekly_covers FROM services WHERE date >= {DAY} - 182 GROUP BY ALL) USING (loc, daypart)
             JOIN (SELECT loc, m / c AS cm_per_cover FROM (SELECT loc, sum(covers) AS c FROM services WHERE date >= {DAY} - 56 GROUP BY loc)
-              JOIN (SELECT loc, sum(units * (price_cents - cost_cents)) AS m FROM item_days WHERE date >= {DAY} - 56 GROUP BY loc) USING (loc)) USING (loc)))""",
+              JOIN (SELECT loc, sum(units * (price_cents - cost_cents)) AS m FROM item_days WHERE date >= {DAY} - 56 GROUP BY loc) USING (loc)) USING (loc)))"""
+
+
+@query(
+    "detect_ticket_drift",
+    tidy_sql(
+        TKT_BODY,
         keep="loc daypart fired", ints="n_pre n_post services weekly_covers exposure_cents", doubles="t0 t1 constrained_share cm_per_cover delta_min", dates="onset_date signal_date",
     ),
 )

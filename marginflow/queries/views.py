@@ -265,3 +265,14 @@ class Inputs:
             F.array_sort(F.collect_list(F.struct("effective_on", "cents"))).alias("price_history")
         )
         return self.view("reg_menu").join(prices, "item", "left")
+
+VIEWS["rec_claims"] = """SELECT id, k, locs_key, 'account ' || CAST(k % 7 AS VARCHAR) AS account, 'W' || CAST(k % 2 AS VARCHAR) AS period,
+      exposure_cents AS amount_cents, CASE WHEN k % 3 = 0 THEN 1 + k % 4 END AS item_count, CASE WHEN k % 4 <> 0 THEN CAST(1 + k % 3 AS INTEGER) END AS rung,
+      CASE WHEN k % 6 IN (1, 2, 3) THEN DATE '2001-01-01' + CAST(k % 100 AS INTEGER) END AS verified_at, k % 29 = 0 AS human_allocation FROM rec_findings"""
+VIEWS["rec_edges"] = """SELECT CASE WHEN a.k % 2 = 0 THEN a.id ELSE b.id END AS a_id, CASE WHEN a.k % 2 = 0 THEN b.id ELSE a.id END AS b_id,
+      CAST(floor(a.exposure_cents * 0.3) AS BIGINT) AS cents FROM rec_findings a JOIN rec_findings b ON b.k = a.k + 14
+      UNION ALL SELECT a.id AS a_id, b.id AS b_id, CAST(floor(b.exposure_cents * 0.2) AS BIGINT) AS cents FROM rec_findings a JOIN rec_findings b ON b.k = a.k + 28
+      UNION ALL SELECT a.id AS a_id, b.id AS b_id, CAST(a.exposure_cents AS BIGINT) AS cents FROM rec_findings a JOIN rec_findings b ON b.k = a.k + 42"""
+VIEWS["rec_moves"] = f"""SELECT id, {pick("k % 11", FSTATE_LIST[1:])} AS from_state, state AS to_state FROM rec_findings"""
+VIEWS["rec_iv_moves"] = f"""SELECT id, {pick("k % 9", ["approved", "executed", "measuring", "verified", "draft", "persistent", "scheduled", "decayed", "closed"])} AS from_state,
+      {pick("CAST(floor(k / 9) AS BIGINT) % 8", ["verified", "measuring", "measurement_pending", "reversed", "approved", "closed", "in_progress", "failed"])} AS to_state FROM rec_findings"""
