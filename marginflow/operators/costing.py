@@ -120,8 +120,9 @@ def indexed_price_series(plans: DataFrame, invoices: DataFrame) -> DataFrame:
 def frozen_price_usage(plans: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, days: int = 28) -> DataFrame:
     """Weekly SKU quantity bought per plate sold, priced at the mean price of the days before execution.
 
-    ``plans``: (intervention_id, arm, sku, locs, exec_on). The price is frozen over
-    all rooms; without a purchase in those days the SKU's mean line price stands in.
+    ``plans``: (intervention_id, arm, sign, sku, locs, exec_on), where the room ``*``
+    stands for all rooms and a sign of -1 takes rooms out again. The price is frozen
+    over all rooms; without a purchase in those days the SKU's mean line price stands in.
     """
     weekly = invoices.groupBy("sku", "loc", F.col("week").alias("date")).agg(
         F.sum("qty").alias("qty"), F.sum("extended_cents").alias("spent"),
@@ -142,15 +143,17 @@ def frozen_price_usage(plans: DataFrame, invoices: DataFrame, item_days: DataFra
         )
     )
     plates = weekly_plates(item_days, menu)
-    facts = weekly.select("sku", "loc", "date", "qty", F.lit(1).alias("bought"), F.lit(0).cast("bigint").alias("plates")).unionByName(
-        plates.select("sku", "loc", "date", F.lit(0.0).alias("qty"), F.lit(0).alias("bought"), "plates")
+    facts = weekly.select("sku", "loc", "date", "qty", "lines", F.lit(0).cast("bigint").alias("plates")).unionByName(
+        plates.select("sku", "loc", "date", F.lit(0.0).alias("qty"), F.lit(0).cast("bigint").alias("lines"), "plates")
     )
-    rooms = plans.select("intervention_id", "arm", "sku", F.explode("locs").alias("loc"))
+    everywhere = facts.groupBy("sku", "date").agg(*(F.sum(c).alias(c) for c in ("qty", "lines", "plates"))).withColumn("loc", F.lit("*"))
+    rooms = plans.select("intervention_id", "arm", "sign", "sku", F.explode("locs").alias("loc"))
+    signed = lambda c: F.sum(F.col("sign") * F.col(c)).alias(c)
     return (
-        rooms.join(facts, ["sku", "loc"])
+        rooms.join(facts.unionByName(everywhere), ["sku", "loc"])
         .groupBy("intervention_id", "arm", "date")
-        .agg(F.sum("qty").alias("qty"), F.max("bought").alias("bought"), F.sum("plates").alias("plates"))
-        .filter((F.col("bought") == 1) & (F.col("plates") > 0))
+        .agg(signed("qty"), signed("lines"), signed("plates"))
+        .filter((F.col("lines") > 0) & (F.col("plates") > 0))
         .join(frozen, "intervention_id")
         .select("intervention_id", "arm", "date", (F.col("qty") * F.col("frozen_price") / F.col("plates")).alias("y"))
     )

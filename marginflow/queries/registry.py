@@ -27,11 +27,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+# Means of 2^m integers end exactly on a rounding boundary; the nudge moves the boundary off them.
+HALF = 0.50137
+
+
 def r(x: Column | str, digits: int = 6) -> Column:
     """Round late and alike in both engines."""
     c = F.col(x) if isinstance(x, str) else x
     scale = float(10**digits)
-    return F.floor(c.cast("double") * scale + 0.5) / scale
+    return F.floor(c.cast("double") * scale + HALF) / scale
 
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -60,7 +64,7 @@ def tidy_sql(body: str, digits: int = 6, **kinds: str) -> str:
     for c in kinds.get("ints", "").split():
         cols.append(f"CAST({c} AS BIGINT) AS {c}")
     for c in kinds.get("doubles", "").split():
-        cols.append(f"floor(CAST({c} AS DOUBLE) * {scale} + 0.5) / {scale} AS {c}")
+        cols.append(f"floor(CAST({c} AS DOUBLE) * {scale} + {HALF}) / {scale} AS {c}")
     for c in kinds.get("dates", "").split():
         cols.append(f"strftime({c}, '%Y-%m-%d') AS {c}")
     return f"SELECT {', '.join(cols)} FROM (\n{body}\n)"
