@@ -89,10 +89,17 @@ def _stop(as_of: Day) -> Column:
     return F.least(F.coalesce("reversal_on", today), today)
 
 
-def accrual_days(evals: DataFrame, as_of: Day) -> DataFrame:
-    """Daily accrual of every standing claim: a seventh of the weekly amount times its decay."""
-    days = F.datediff(_stop(as_of), F.col("eligible_on"))
-    rows = evals.filter(F.col("bookable_cents").isNotNull() & (days > 0)).withColumn("_d", F.explode(F.sequence(F.lit(0), days - 1)))
+def accrual_days(evals: DataFrame, as_of: Day, since: Day | None = None, through: Day | None = None) -> DataFrame:
+    """Daily accrual of every standing claim: a seventh of the weekly amount times its decay.
+
+    With ``since`` and ``through`` (both inside) only those days are ever expanded.
+    """
+    first, last = F.lit(0), F.datediff(_stop(as_of), F.col("eligible_on")) - 1
+    if since is not None:
+        first = F.greatest(first, F.datediff(day(to_date(since)), F.col("eligible_on")))
+    if through is not None:
+        last = F.least(last, F.datediff(day(to_date(through)), F.col("eligible_on")))
+    rows = evals.filter(F.col("bookable_cents").isNotNull() & (last >= first)).withColumn("_d", F.explode(F.sequence(first, last)))
     y = F.col("bookable_cents") / 7 * decay_at(F.col("persistence_class"), F.col("half_life_weeks"), F.floor(F.col("_d") / 7))
     return rows.withColumn("date", F.date_add("eligible_on", F.col("_d"))).withColumn("y", y).drop("_d")
 
