@@ -12,7 +12,6 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 AS_OF = "2001-08-02"
 
@@ -242,7 +241,7 @@ class Inputs:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.base = {
-            name: spark.read.schema(T.StructType.fromDDL(ddl)).parquet(f"{sf_dir}/{name}.parquet")
+            name: spark.read.schema(ddl).parquet(f"{sf_dir}/{name}.parquet")
             for name, ddl in BASE_SCHEMAS.items()
         }
 
