@@ -159,7 +159,8 @@ def detect_usage_drift(
     weekly = costing.purchased_vs_theoretical(recent, _since(item_days, as_of, 27), menu)
     size = weekly.groupBy(*unit).agg(F.sum("lines").alias("lines"))
     onsets = spc.drift_onset(spc.cusum_chart(weekly, unit, baseline_n=10), unit, "high").select(*unit, "onset_date", "signal_date")
-    out = _before_after(weekly, onsets, unit, {"r": "v", "theoretical": "theoretical", "price": "price"}).join(size, unit)
+    recipes = costing.linked_items(menu).groupBy("sku").agg(F.array_sort(F.collect_list("item")).alias("items"))
+    out = _before_after(weekly, onsets, unit, {"r": "v", "theoretical": "theoretical", "price": "price"}).join(size, unit).join(recipes, "sku")
     out = out.withColumn("excess_qty", F.col("theoretical1") * (F.col("r1") - F.col("r0")))
     out = out.withColumn("exposure_cents", round_cents(F.col("excess_qty") * F.col("price1")))
     fired = (
@@ -395,7 +396,7 @@ def findings_of(code: str, detected: DataFrame, as_of: Day) -> DataFrame:
         pick("daypart", "string").alias("daypart"),
         pick("dow", "int").alias("dow"),
         pick("sku", "string").alias("sku"),
-        (F.array("item") if "item" in has else F.lit(None)).cast("array<string>").alias("items"),
+        (F.col("items") if "items" in has else F.array("item") if "item" in has else F.lit(None)).cast("array<string>").alias("items"),
         F.lit(account).alias("account"),
         strings(equations).alias("equations"),
         strings(feeds).alias("feeds"),

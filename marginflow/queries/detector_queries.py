@@ -232,7 +232,7 @@ POR_BODY = f"""SELECT *, coalesce(lines >= 5 AND signal_date IS NOT NULL AND n_p
     ),
 )
 def detect_usage_drift(inp):
-    return tidy(detectors.detect_usage_drift(inp.view("reg_invoices"), item_days(inp), inp.menu(), inp.view("reg_skus"), AS_OF, RELAXED), 4)
+    return tidy(detectors.detect_usage_drift(inp.view("reg_invoices"), item_days(inp), inp.menu(), inp.view("reg_skus"), AS_OF, RELAXED).drop("items"), 4)
 
 
 def _last28(src: str) -> str:

@@ -18,9 +18,9 @@ from ..streaming.cusum import stream_cusum as live_cusum
 from ..streaming.land import stream_land as start_landing
 from ..streaming.land import stream_to_parquet
 from ..streaming.rollup import stream_service_rollup as live_rollup
-from .detector_queries import RELAXED, ROLES
+from .detector_queries import CMP_BODY, LAB_BODY, MIX_BODY, POR_BODY, PPV_BODY, PRC_BODY, RELAXED, ROLES, TKT_BODY
 from .ledger_queries import evals
-from .lifecycle_queries import feed_table, findings_with_feeds
+from .lifecycle_queries import feed_table, findings_with_feeds, values_view
 from .measure_queries import plans
 from .oracle_views import ORACLE_VIEWS
 from .register_queries import item_days, role_shifts, services
@@ -99,13 +99,35 @@ def documents_round_trip(inp):
     return tidy(from_document(to_document(rows, ["id"]).select("record"), rows.schema))
 
 
-@query("detection_pass")
+ORACLE_VIEWS["o_detectors"] = values_view([(k, v[0], v[4]) for k, v in dims.DETECTORS.items()], "detector, lever, effort")
+ORACLE_VIEWS["o_fired"] = f"""SELECT 'F-LAB-' || loc || '-' || daypart || '-' || ['SUN', 'MON', 'TUE', 'WED', 'THU', 'FRI', 'SAT'][dow + 1] AS id, 'LAB' AS detector, loc, exposure_cents, n_recent AS evidence FROM ({LAB_BODY}) WHERE fired
+  UNION ALL SELECT 'F-PPV-' || sku, 'PPV', 'group', exposure_cents, n_post FROM ({PPV_BODY}) WHERE fired UNION ALL SELECT 'F-POR-' || loc || '-' || sku, 'POR', loc, exposure_cents, n_post FROM ({POR_BODY}) WHERE fired
+  UNION ALL SELECT 'F-CMP-' || loc || '-' || daypart, 'CMP', loc, exposure_cents, n_recent FROM ({CMP_BODY}) WHERE fired UNION ALL SELECT 'F-PRC-' || loc || '-' || replace(upper(item), '#', '-'), 'PRC', loc, exposure_cents, weeks FROM ({PRC_BODY}) WHERE fired
+  UNION ALL SELECT 'F-MIX-' || loc, 'MIX', loc, exposure_cents, 8 FROM ({MIX_BODY}) WHERE fired UNION ALL SELECT 'F-TKT-' || loc || '-' || daypart, 'TKT', loc, exposure_cents, n_post FROM ({TKT_BODY}) WHERE fired"""
+ORACLE_VIEWS["o_fired_pairs"] = f"""SELECT p.sku, 'F-PPV-' || p.sku AS ppv, 'F-POR-' || u.loc || '-' || u.sku AS por, least(greatest(0, floor(u.excess_qty * (p.p1 - p.p0) + 0.5)), p.exposure_cents, u.exposure_cents) AS shared
+  FROM ({PPV_BODY}) p JOIN ({POR_BODY}) u ON p.sku = u.sku WHERE p.fired AND u.fired AND list_contains(string_split(p.locs, '+'), u.loc)"""
+# the price claim covers all its rooms and is always the wider of the two, so it gives way
+ORACLE_VIEWS["o_passed"] = """SELECT *, greatest(0, floor(exposure_cents * factor + 0.5) - overlap_cents) AS recoverable_cents, evidence >= 6 AND completeness >= 0.9 AND stale_n = 0 AS t_data FROM (
+  SELECT f.*, d.lever, d.effort, l.factor, l.p_verify, q.completeness, q.stale_n, coalesce((SELECT sum(shared) FROM o_fired_pairs x WHERE x.ppv = f.id AND shared > 0), 0) AS overlap_cents,
+    CASE WHEN EXISTS (SELECT 1 FROM o_fired_pairs x WHERE x.ppv = f.id AND shared > 0) THEN 'reduced' WHEN EXISTS (SELECT 1 FROM o_fired_pairs x WHERE x.por = f.id AND shared > 0) THEN 'holds' ELSE 'none' END AS overlap_status
+  FROM o_fired f JOIN o_detectors d USING (detector) JOIN o_levers l ON l.lever = d.lever JOIN (
+    SELECT detector, avg(completeness) AS completeness, count(*) FILTER (stale) AS stale_n FROM o_detector_feeds JOIN o_feeds USING (code) GROUP BY detector) q USING (detector))"""
+
+
+@query(
+    "detection_pass",
+    tidy_sql(
+        """SELECT *, floor(recoverable_cents * p_verify * 0.85 / greatest(effort, 0.25) + 0.5) AS ev_per_hour, t_data AND exposure_cents >= 6000 AS qualified,
+        CASE WHEN detector = 'TKT' OR NOT t_data THEN 'data_insufficient' WHEN exposure_cents < 6000 THEN 'detected' ELSE 'awaiting_decision' END AS state FROM o_passed""",
+        keep="id detector loc overlap_status qualified state", ints="exposure_cents overlap_cents recoverable_cents ev_per_hour",
+    ),
+)
 def detection_pass(inp):
     r = evaluate.Register(
         durable(services(inp)), durable(item_days(inp)), inp.view("reg_invoices"), inp.menu(), durable(role_shifts(inp)), inp.view("reg_skus"), inp.view("reg_dayparts"), inp.view("reg_locations")
     )
     out = detect.detection_pass(r, feed_table(inp), AS_OF, inp.view("rec_prior").limit(0), ROLES, RELAXED)
-    return out.select("id", "detector", "loc", "exposure_cents", "overlap_status", "overlap_cents", "recoverable_cents", "ev_per_hour", "qualified", "state")
+    return tidy(out.select("id", "detector", "loc", "exposure_cents", "overlap_status", "overlap_cents", "recoverable_cents", "ev_per_hour", "qualified", "state"))
 
 
 @query(
