@@ -51,9 +51,13 @@ def sd0(x: Column) -> Column:
 
 
 def pearson0(x: Column, y: Column, more_than: int = 1) -> Column:
-    """Correlation, 0 where either spread is 0 or there are too few pairs."""
+    """Correlation, 0 where either spread is 0 or there are too few pairs.
+
+    Formed from the moments because ``F.corr`` fails on a constant series in ANSI mode.
+    """
     pairs = F.count(F.when(x.isNotNull() & y.isNotNull(), 1))
-    return F.when(pairs > more_than, F.coalesce(F.nanvl(F.corr(x, y), F.lit(0.0)), F.lit(0.0))).otherwise(F.lit(0.0))
+    r = F.try_divide(F.regr_sxy(y, x), F.sqrt(F.regr_sxx(y, x) * F.regr_syy(y, x)))
+    return F.when(pairs > more_than, F.coalesce(r, F.lit(0.0))).otherwise(F.lit(0.0))
 
 
 def quantile0(x: Column, q: float) -> Column:

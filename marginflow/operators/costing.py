@@ -69,7 +69,7 @@ def mix_shares(item_days: DataFrame) -> DataFrame:
         F.sum("units").alias("units"), F.avg(F.col("price_cents") - F.col("cost_cents")).alias("unit_margin")
     )
     rooms = items.groupBy("loc").agg(F.sum("units").alias("room_units"))
-    return items.join(rooms, "loc").select("loc", "item", (F.col("units") / F.col("room_units")).alias("share"), "unit_margin", "units")
+    return items.join(rooms, "loc").select("loc", "item", F.try_divide("units", "room_units").alias("share"), "unit_margin", "units")
 
 
 def cm_per_cover(item_days: DataFrame, services: DataFrame) -> DataFrame:

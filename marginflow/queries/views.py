@@ -69,7 +69,8 @@ VIEWS: dict[str, str] = {
       CAST(1500 + p_size * 10 AS BIGINT) AS wage_rate_cents
       FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN cust ON o_custkey = c_custkey JOIN part ON l_partkey = p_partkey""",
     "reg_shifts": "SELECT id, loc, business_date, daypart, role, scheduled_hours, clocked_hours, wage_rate_cents FROM reg_order_items",
-    "reg_check_lines": "SELECT check_id, sum(gross_cents) AS g, sum(comp_cents) AS c FROM reg_order_items GROUP BY check_id",
+    "reg_check_lines": """SELECT l_orderkey AS check_id, sum(CAST(floor(l_extendedprice * 100 + 0.5) AS BIGINT)) AS g,
+      sum(CAST(floor(l_extendedprice * l_discount * 100 + 0.5) AS BIGINT)) AS c FROM lineitem GROUP BY l_orderkey""",
     "reg_checks": """SELECT o_orderkey AS id, loc, CAST(o_orderdate AS DATE) AS business_date, o_orderstatus AS daypart,
       1 + o_custkey % 4 AS guest_count, CAST(coalesce(g, 0) - coalesce(c, 0) AS BIGINT) AS subtotal_cents,
       CAST(coalesce(c, 0) AS BIGINT) AS comp_cents, o_orderkey % 50 = 0 AS voided
