@@ -14,6 +14,7 @@ from .. import dims
 from ..functions.dates import weeks_back
 from ..functions.numeric import at_least, mean0, round_cents, student_t_quantile
 from ..functions.text import finding_id, slug
+from ..session import attach
 from . import costing, labour, spc
 from .series import comps_rate, last_n
 
@@ -293,8 +294,8 @@ def mix_effects(item_days: DataFrame, as_of: Day) -> DataFrame:
     sums = lambda prefix: [F.sum(c).alias(prefix + c) for c in ("u0", "u1", "r0", "r1")]
     rooms = items.groupBy("loc").agg(*sums("room_"))
     group_items = items.groupBy("item").agg(F.sum("u0").alias("item_u0"), F.sum("u1").alias("item_u1"))
-    group = rooms.select(*(F.col(f"room_{c}").alias(c) for c in ("u0", "u1", "r0", "r1"))).agg(*sums("all_")).withColumn("_one", F.lit(1))
-    out = items.join(rooms, "loc").join(group_items, "item").withColumn("_one", F.lit(1)).join(F.broadcast(group), "_one").drop("_one")
+    group = rooms.select(*(F.col(f"room_{c}").alias(c) for c in ("u0", "u1", "r0", "r1"))).agg(*sums("all_"))
+    out = attach(items.join(rooms, "loc").join(group_items, "item"), group)
 
     def peer_share(side: str) -> Column:
         own = F.col(f"item_u{side}") - F.col(f"u{side}")
@@ -362,8 +363,7 @@ def detect_ticket_drift(
     if feeds is None:
         return out.withColumn("blocked", F.lit(False))
     stale = feeds.filter(F.col("code") == "reservations").agg(F.coalesce(F.max("stale"), F.lit(False)).alias("blocked"))
-    one_row = stale.withColumn("_one", F.lit(1))
-    return out.withColumn("_one", F.lit(1)).join(F.broadcast(one_row), "_one").drop("_one")
+    return attach(out, stale)
 
 
 def findings_of(code: str, detected: DataFrame, as_of: Day) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..dims import BASELINE_DAYS_REQUIRED
 from ..functions.dates import day
+from ..session import attach
 
 
 def feed_newest(as_of: Column, register_through: Column) -> Column:
@@ -51,8 +52,8 @@ def feed_health(feeds: DataFrame, as_of: str | dt.date) -> DataFrame:
 def feed_lookup(feeds: DataFrame) -> DataFrame:
     """The feed catalogue as one row with one map.
 
-    One entry per connected source system, so the row is small whatever the data
-    and may be broadcast; findings then need no shuffle to read their feeds.
+    One entry per connected source system, so the row is small whatever the data;
+    findings then need neither a join nor a shuffle to read their feeds.
     """
     has = set(feeds.columns)
     extra = lambda c, kind: (F.col(c) if c in has else F.lit(None)).cast(kind).alias(c)
@@ -62,11 +63,11 @@ def feed_lookup(feeds: DataFrame) -> DataFrame:
             F.coalesce(F.col("name") if "name" in has else F.lit(None).cast("string"), F.col("code")).alias("name"),
         ).alias("health"),
     )
-    return feeds.agg(F.map_from_entries(F.collect_list(entry)).alias("feed_map")).withColumn("_one", F.lit(1))
+    return feeds.agg(F.map_from_entries(F.collect_list(entry)).alias("feed_map"))
 
 
 def with_feeds(rows: DataFrame, feeds: DataFrame) -> DataFrame:
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(feed_lookup(feeds)), "_one").drop("_one")
+    return attach(rows, feed_lookup(feeds))
 
 
 def baseline_status(orgs: DataFrame) -> DataFrame:

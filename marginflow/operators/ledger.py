@@ -17,7 +17,7 @@ from .. import dims
 from ..functions.dates import day, days_in_month, month_of, to_date, week_of
 from ..functions.numeric import round_cents
 from ..functions.text import format_pct, format_usd
-from ..session import rank_in_group
+from ..session import attach, rank_in_group
 from .persistence import accrual_days
 
 Day = str | dt.date
@@ -63,11 +63,14 @@ def equal_part(cents: Column, position: Column, parts: Column) -> Column:
 
 
 def resolve_locs(records: DataFrame, locations: DataFrame) -> DataFrame:
-    """Gives records of the group that name no room all rooms (an equality join with one row)."""
-    rooms = locations.agg(F.array_sort(F.collect_set("loc")).alias("_rooms")).withColumn("_group", F.lit("group"))
-    joined = records.join(F.broadcast(rooms), records["loc"] == F.col("_group"), "left")
+    """Gives records of the group that name no room all rooms."""
     named = F.when(F.size("locs") > 0, F.col("locs"))
-    return joined.withColumn("locs", F.coalesce(named, "_rooms", F.array("loc"))).drop("_rooms", "_group")
+    every = F.when(F.col("loc") == "group", F.col("_rooms"))
+    return attach(records, _room_list(locations)).withColumn("locs", F.coalesce(named, every, F.array("loc"))).drop("_rooms")
+
+
+def _room_list(locations: DataFrame) -> DataFrame:
+    return locations.agg(F.array_sort(F.collect_set("loc")).alias("_rooms"))
 
 
 def claim_location_cents(claims: DataFrame, cents: str = "cents") -> DataFrame:
@@ -102,10 +105,10 @@ def _by_scope(facts: DataFrame, locations: DataFrame, figures: list[str]) -> Dat
         *(F.sum(F.when(F.col("figure") == f, F.col("cents"))).alias(f"c_{f}") for f in figures),
         *(F.sum(F.when(F.col("figure") == f, F.col("n"))).alias(f"n_{f}") for f in figures),
     )
-    shared = sums.filter(F.col("scope") == "*").agg(*(F.coalesce(F.max(f"n_{f}"), F.lit(0)).alias(f"s_{f}") for f in figures)).withColumn("_one", F.lit(1))
+    shared = sums.filter(F.col("scope") == "*").agg(*(F.coalesce(F.max(f"n_{f}"), F.lit(0)).alias(f"s_{f}") for f in figures))
     spark = locations.sparkSession
     scopes = locations.select(F.col("loc").alias("scope")).unionByName(spark.range(1).select(F.lit("all").alias("scope")))
-    out = scopes.join(sums, "scope", "left").fillna(0).withColumn("_one", F.lit(1)).join(F.broadcast(shared), "_one").drop("_one")
+    out = attach(scopes.join(sums, "scope", "left").fillna(0), shared)
     everywhere = F.col("scope") == "all"
     for f in figures:
         out = out.withColumn(f"n_{f}", F.col(f"n_{f}") + F.when(everywhere, 0).otherwise(F.col(f"s_{f}"))).drop(f"s_{f}")
@@ -113,11 +116,11 @@ def _by_scope(facts: DataFrame, locations: DataFrame, figures: list[str]) -> Dat
 
 
 def _room_count(locations: DataFrame) -> DataFrame:
-    return locations.agg(F.count(F.lit(1)).alias("rooms")).withColumn("_one", F.lit(1))
+    return locations.agg(F.count(F.lit(1)).alias("rooms"))
 
 
 def with_rooms(rows: DataFrame, locations: DataFrame) -> DataFrame:
-    return rows.withColumn("_one", F.lit(1)).join(F.broadcast(_room_count(locations)), "_one").drop("_one")
+    return attach(rows, _room_count(locations))
 
 
 def fee_for_period(monthly_cents: int, scope: Column, rooms: Column, since: Day, through: Day) -> Column:
@@ -176,8 +179,8 @@ def kpis(
     )
     names = ["exposure", "recoverable", "approved", "active", "measured", "verified", "realized", "persistent", "runrate", "reconciled", "adjustments", "overdue"]
     wide = with_rooms(_by_scope(finding_facts.unionByName(eval_facts).unionByName(other), locations, names), locations)
-    pilot = feeds.filter(c("tier") == "Pilot").agg(F.coalesce(F.avg("completeness"), F.lit(0.0)).alias("dq")).withColumn("_one", F.lit(1))
-    wide = wide.withColumn("_one", F.lit(1)).join(F.broadcast(pilot), "_one").drop("_one")
+    pilot = feeds.filter(c("tier") == "Pilot").agg(F.coalesce(F.avg("completeness"), F.lit(0.0)).alias("dq"))
+    wide = attach(wide, pilot)
     fee = round_cents(fee_for_period(fee_monthly_cents, c("scope"), c("rooms"), since, through))
     wide = wide.withColumn("fee", fee)
     money = lambda name, klass: (name, c(f"c_{name}").cast("double"), klass)
@@ -235,10 +238,8 @@ def funnel(findings: DataFrame, evals: DataFrame, sides: DataFrame, locations: D
 
 def _membership(records: DataFrame, locations: DataFrame) -> DataFrame:
     """A record once per scope it shows in: the group, its rooms, and every room if it belongs to the group."""
-    rooms = locations.agg(F.array_sort(F.collect_set("loc")).alias("_rooms")).withColumn("_group", F.lit("group"))
-    joined = records.join(F.broadcast(rooms), records["loc"] == F.col("_group"), "left")
-    scopes = F.concat(F.array(F.lit("all")), F.coalesce("_rooms", "locs"))
-    return joined.withColumn("scope", F.explode(scopes)).drop("_rooms", "_group")
+    scopes = F.concat(F.array(F.lit("all")), F.when(F.col("loc") == "group", F.col("_rooms")).otherwise(F.col("locs")))
+    return attach(records, _room_list(locations)).withColumn("scope", F.explode(scopes)).drop("_rooms")
 
 
 def conversions(
@@ -376,8 +377,8 @@ def feed_risk(findings: DataFrame, evals: DataFrame, feeds: DataFrame, locations
     sums = a.unionByName(b).groupBy("code", "scope").agg(
         part("open").alias("open_exposure_cents"), part("monitoring").alias("monitoring_cents"), part("verified").alias("verified_at_risk_cents"), part("blocked").alias("blocked_cents"),
     )
-    rooms = locations.agg(F.concat(F.array(F.lit("all")), F.array_sort(F.collect_set("loc"))).alias("_scopes")).withColumn("_one", F.lit(1))
-    grid = feeds.select("code").withColumn("_one", F.lit(1)).join(F.broadcast(rooms), "_one").select("code", F.explode("_scopes").alias("scope"))
+    rooms = locations.agg(F.concat(F.array(F.lit("all")), F.array_sort(F.collect_set("loc"))).alias("_scopes"))
+    grid = attach(feeds.select("code"), rooms).select("code", F.explode("_scopes").alias("scope"))
     return grid.join(sums, ["code", "scope"], "left").fillna(0)
 
 

@@ -46,7 +46,7 @@ def daily_metrics(plans: DataFrame, services: DataFrame, as_of: Day) -> DataFram
     Columns ``t_<metric>`` and ``c_<metric>``, plus treated ``covers`` and ``services``.
     Plans meet services on (room, week), so history outside the windows is never joined.
     The all-rooms totals have one row per date and daypart: as long as the calendar,
-    whatever the rooms, and therefore broadcast.
+    whatever the rooms, so AQE broadcasts them once it has seen their size.
     """
     metrics = {**SERVICE_METRICS, **{f"g_{k}": v for k, v in GUARDRAIL_METRICS.items()}}
     facts = services.select(
@@ -61,7 +61,7 @@ def daily_metrics(plans: DataFrame, services: DataFrame, as_of: Day) -> DataFram
         F.col("dows").isNull() | F.array_contains("dows", F.col("dow"))
     )
     own = reach.filter(F.col("loc") != "*").join(facts.withColumn("week", week_of("date")), ["loc", "week"])
-    group = reach.filter(F.col("loc") == "*").join(F.broadcast(totals), "week")
+    group = reach.filter(F.col("loc") == "*").join(totals, "week")
     met = own.unionByName(group).filter(inside)
     part = lambda arm, c: F.sum(F.when(F.col("arm") == arm, F.col("sign") * F.col(c)))
     sums = [part(a, c).alias(f"{a}_{c}") for a in ("t", "c") for c in ("n", *metrics)]

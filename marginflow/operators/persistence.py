@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 
 from ..functions.dates import day, to_date
 from ..functions.numeric import at_least, decay_at, round_cents
-from ..session import number_rows
+from ..session import attach, number_rows
 
 Day = str | dt.date
 KEY = "intervention_id"
@@ -169,12 +169,11 @@ def number_adjustments(existing: DataFrame, fresh: DataFrame, width: int = 3) ->
     """Existing ids are kept by (kind, intervention); new rows are numbered by date and intervention after the last."""
     known = existing.select("kind", KEY, F.col("id").alias("_id"))
     joined = fresh.join(known, ["kind", KEY], "left")
-    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"^ADJ-(\d+)$", 1).try_cast("bigint")), F.lit(0)).alias("_top")).withColumn("_one", F.lit(1))
-    new = number_rows(joined.filter(F.col("_id").isNull()), [F.col("on_date"), F.col(KEY), F.col("kind")], "_k").withColumn("_one", F.lit(1))
-    new = new.join(F.broadcast(top), "_one")
+    top = existing.agg(F.coalesce(F.max(F.regexp_extract("id", r"^ADJ-(\d+)$", 1).try_cast("bigint")), F.lit(0)).alias("_top"))
+    new = attach(number_rows(joined.filter(F.col("_id").isNull()), [F.col("on_date"), F.col(KEY), F.col("kind")], "_k"), top)
     text = (F.col("_top") + F.col("_k")).cast("string")
     padded = F.when(F.length(text) >= width, text).otherwise(F.lpad(text, width, "0"))
-    named = new.withColumn("id", F.concat(F.lit("ADJ-"), padded)).drop("_id", "_k", "_one", "_top")
+    named = new.withColumn("id", F.concat(F.lit("ADJ-"), padded)).drop("_id", "_k", "_top")
     kept = joined.filter(F.col("_id").isNotNull()).withColumn("id", F.col("_id")).drop("_id")
     return kept.unionByName(named)
 

@@ -8,6 +8,7 @@ from .. import dims
 from ..functions import dates
 from ..operators import detectors, feeds, lifecycle, overlap
 from ..operators.series import in_location_scope
+from ..session import attach
 from .detector_queries import POR_BODY, PPV_BODY, RELAXED
 from .oracle_views import ORACLE_VIEWS
 from .register_queries import item_days
@@ -44,8 +45,8 @@ ORACLE_VIEWS.update(
 
 
 def feed_table(inp):
-    through = inp.view("reg_visits").agg(F.max("business_date").alias("_through")).withColumn("_one", F.lit(1))
-    rows = inp.view("rec_feed_catalogue").withColumn("_one", F.lit(1)).join(F.broadcast(through), "_one").drop("_one")
+    through = inp.view("reg_visits").agg(F.max("business_date").alias("_through"))
+    rows = attach(inp.view("rec_feed_catalogue"), through)
     rows = rows.withColumn("newest", feeds.feed_newest(dates.day(AS_OF), F.col("_through"))).drop("_through")
     return feeds.feed_health(rows, AS_OF)
 

@@ -42,6 +42,12 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def attach(rows: DataFrame, single: DataFrame) -> DataFrame:
+    """Adds the columns of a one-row aggregate to every row, as a scalar subquery instead of a join."""
+    value = single.select(F.struct(*single.columns).alias("_row")).scalar()
+    return rows.withColumn("_row", value).select(*(F.col(f"`{c}`") for c in rows.columns), "_row.*")
+
+
 def number_rows(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
     """Global 1-based position under ``order``, without a single-task window.
 

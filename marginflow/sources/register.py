@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import to_date, week_of
 from ..schemas import REGISTER_TABLES, ddl
+from ..session import attach
 
 # Fact tables and their date column; they are laid out by tenant and week.
 FACTS = {"services": "date", "item_days": "date", "shifts": "date", "invoices": "week", "reservation_days": "date"}
@@ -57,6 +58,6 @@ def write_dimension(rows: DataFrame, path: str, name: str, org: str) -> None:
 
 def high_water_marks(services: DataFrame, invoices: DataFrame, after: dt.date | str) -> DataFrame:
     """Newest service date, newest invoice week and the services past a date, in one row."""
-    a = services.agg(F.max("date").alias("last_date"), F.count(F.when(F.col("date") > F.lit(to_date(after)), 1)).alias("services_after")).withColumn("_one", F.lit(1))
-    b = invoices.agg(F.max("week").alias("last_week")).withColumn("_one", F.lit(1))
-    return a.join(F.broadcast(b), "_one").drop("_one")
+    a = services.agg(F.max("date").alias("last_date"), F.count(F.when(F.col("date") > F.lit(to_date(after)), 1)).alias("services_after"))
+    b = invoices.agg(F.max("week").alias("last_week"))
+    return attach(a, b)
