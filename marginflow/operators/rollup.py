@@ -125,10 +125,14 @@ def carry_forward_rating(services: DataFrame, default: float = DEFAULT_RATING) -
     return services.withColumn("rating", F.coalesce(F.last("rating", ignorenulls=True).over(so_far), F.lit(default)))
 
 
-def rollup_item_days(order_items: DataFrame) -> DataFrame:
-    """Units and rounded mean price and cost per item and service; items that sold nothing are dropped."""
+def rollup_item_days(order_items: DataFrame, services: DataFrame | None = None) -> DataFrame:
+    """Units and rounded mean price and cost per item and service; items that sold nothing are dropped.
+
+    With ``services`` the lines of a key that is no service are left out, after the
+    aggregate, so the semi-join meets item-days and not order lines.
+    """
     units = F.sum("qty")
-    return (
+    out = (
         order_items.groupBy("loc", F.col("business_date").alias("date"), "daypart", F.col("menu_item_id").alias("item"))
         .agg(
             units.alias("units"),
@@ -137,6 +141,7 @@ def rollup_item_days(order_items: DataFrame) -> DataFrame:
         )
         .filter(F.col("units") != 0)
     )
+    return out if services is None else out.join(services.select(*KEY), KEY, "left_semi")
 
 
 def rollup_shifts(shifts: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from .. import dims
 from ..functions import dates
-from ..operators import detectors, feeds, lifecycle, overlap
+from ..operators import costing, detectors, feeds, lifecycle, overlap
 from ..operators.series import in_location_scope
 from ..session import attach
 from .detector_queries import POR_BODY, PPV_BODY, RELAXED
@@ -164,6 +164,31 @@ def overlap_edges(inp):
     return tidy(overlap.sku_intersections(found))
 
 
+@query(
+    "sku_intersections",
+    tidy_sql(
+        f"""SELECT least(ppv, por) AS a_id, greatest(ppv, por) AS b_id, cents FROM (
+          SELECT 'P-' || p.sku AS ppv, 'U-' || u.loc || '-' || u.sku AS por, greatest(0, floor(x * (p1 - p0) + 0.5)) AS cents
+          FROM (SELECT sku, avg(v) FILTER (date < {DAY} - 91) AS p0, avg(v) FILTER (date >= {DAY} - 91) AS p1 FROM o_price26 GROUP BY sku) p
+          JOIN (SELECT loc, sku, avg(theoretical) FILTER (date >= {DAY} - 91) * (avg(v) FILTER (date >= {DAY} - 91) - avg(v) FILTER (date < {DAY} - 91)) AS x FROM o_usage26 GROUP BY ALL) u USING (sku)) WHERE cents > 0""",
+        keep="a_id b_id", ints="cents",
+    ),
+)
+def sku_intersections(inp):
+    """Shared dollars of price and usage where both are taken half a window apart, signal or not."""
+    recent = inp.view("reg_invoices").filter(F.col("week") >= F.lit(dates.weeks_back(AS_OF, 26)))
+    late = F.col("date") >= F.lit(dates.weeks_back(AS_OF, 13))
+    mean = lambda c, test: F.avg(F.when(test, F.col(c)))
+    price = costing.weekly_unit_price(recent).groupBy("sku").agg(mean("v", ~late).alias("p0"), mean("v", late).alias("p1"))
+    price = price.select(F.concat(F.lit("P-"), F.col("sku")).alias("id"), F.lit("PPV").alias("detector"), "sku", "p0", "p1", F.lit(None).cast("double").alias("excess_qty"))
+    usage = costing.purchased_vs_theoretical(recent, item_days(inp), inp.menu()).groupBy("loc", "sku").agg(
+        (mean("theoretical", late) * (mean("v", late) - mean("v", ~late))).alias("excess_qty")
+    )
+    none = F.lit(None).cast("double")
+    usage = usage.select(F.concat(F.lit("U-"), F.col("loc"), F.lit("-"), F.col("sku")).alias("id"), F.lit("POR").alias("detector"), "sku", none.alias("p0"), none.alias("p1"), "excess_qty")
+    return tidy(overlap.sku_intersections(price.unionByName(usage)))
+
+
 ORACLE_VIEWS["o_pairs"] = """SELECT a_id, b_id, a.human_allocation AS ha, b.human_allocation AS hb, a.verified_at AS va, b.verified_at AS vb, a.amount_cents AS ma, b.amount_cents AS mb,
     coalesce(a.rung, 9) AS ra, coalesce(b.rung, 9) AS rb, len(string_split(a.locs_key, '+')) * coalesce(a.item_count, 8) AS wa, len(string_split(b.locs_key, '+')) * coalesce(b.item_count, 8) AS wb,
     least(e.cents, a.amount_cents, b.amount_cents) AS shared

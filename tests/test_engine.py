@@ -230,7 +230,8 @@ def test_rollup_rules(spark):
     shifts = spark.createDataFrame([(9, "oak", d, "L", "server", 4.0, 4.13, 1999), (8, "oak", d, "L", "server", 1.0, 1.0, 2001), (7, "oak", d + dt.timedelta(days=1), "L", "server", 1.0, 1.0, 2000)], "id bigint, loc string, business_date date, daypart string, role string, scheduled_hours double, clocked_hours double, wage_rate_cents bigint")
     reviews = spark.createDataFrame([(1, "oak", d, "L", 4.0), (2, "oak", d, "L", 5.0)], "id bigint, loc string, business_date date, daypart string, rating double")
     res = spark.createDataFrame([(1, "oak", d, "L", 5, 1, 0.1, True, 40), (2, "oak", d, "L", 6, 2, 0.2, False, 50), (3, "ala", d, "L", 1, 0, 0.0, False, 9)], "id bigint, loc string, business_date date, daypart string, booked bigint, turned_away bigint, constrained_share double, holiday boolean, capacity int")
-    got = {(r["loc"], r["date"]): r for r in rollup.rollup_services(checks, items, shifts, reviews, res).collect()}
+    services = rollup.rollup_services(checks, items, shifts, reviews, res)
+    got = {(r["loc"], r["date"]): r for r in services.collect()}
     assert set(got) == {("oak", d), ("oak", d + dt.timedelta(days=1)), ("ala", d)}  # items alone make no service
     s = got["oak", d]
     assert (s["covers"], s["net_cents"], s["gross_cents"], s["cogs_cents"]) == (2, 5000, 5100, 901)
@@ -239,6 +240,7 @@ def test_rollup_rules(spark):
     assert got["oak", d + dt.timedelta(days=1)]["rating"] == 4.5 and got["ala", d]["rating"] == 4.4
     items_got = {(r["loc"], r["item"]): r for r in rollup.rollup_item_days(items).collect()}
     assert set(items_got) == {("oak", "m1"), ("brk", "m1")} and items_got["oak", "m1"]["price_cents"] == 1001 and items_got["oak", "m1"]["cost_cents"] == 300
+    assert {(r["loc"], r["item"]) for r in rollup.rollup_item_days(items, services).collect()} == {("oak", "m1")}
     assert rollup.rollup_shifts(shifts).filter("date = '2026-01-05'").first()["rate_cents"] == 2001
 
 
