@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 from collections.abc import Sequence
 
@@ -28,17 +31,27 @@ def local_session(cpus: int | str = 8, app: str = "marginflow", shuffle_partitio
     return spark
 
 
-def durable(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared checkpoint folder, so the result survives lost executors.
+def scratch_dir(spark: SparkSession) -> str:
+    """The shared folder for checkpoints and staged tables, as the cluster names it in ``spark.checkpoint.dir``.
 
-    The cluster names the folder in ``spark.checkpoint.dir``; a private one is
-    used only where that setting is absent (single-machine tests).
+    A session on one machine (master ``local[...]``), where driver and executors are the same process, may go
+    without the setting and gets a folder that ends with the process. Any other session without it is refused.
     """
-    spark = df.sparkSession
     sc = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if folder is None:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = tempfile.mkdtemp(prefix="marginflow-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
     if sc.getCheckpointDir() is None:
-        configured = spark.conf.get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="marginflow-ckpt-"))
+        sc.setCheckpointDir(folder)
+    return folder
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """Cut lineage in the shared checkpoint folder, so the result survives lost executors."""
+    scratch_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
