@@ -65,3 +65,37 @@ def op1_mix_sources(spark, sf_dir):
     mixed = mix(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     digest = mixed.select("doc_id", "size", "source_size", "target", "taken", F.get("takes", F.lit(0))["position"].alias("first_position"))
     return digest.orderBy("first_position", "doc_id")
+
+
+@register(
+    "op5_line_dedup",
+    r"""
+WITH lines AS (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
+), keyed AS (
+    SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM lines
+), shared AS (
+    SELECT key, max(doc_id) AS owner FROM keyed WHERE length(key) >= 20 GROUP BY key HAVING count(DISTINCT doc_id) >= 3
+), marked AS (
+    SELECT k.*, s.owner IS NOT NULL AND s.owner <> k.doc_id AS dropped FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, CAST(count(*) AS BIGINT) AS n_lines, CAST(count(*) FILTER (dropped) AS BIGINT) AS n_dropped,
+    sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+""",
+)
+def op5_line_dedup(spark, sf_dir):
+    from .lines import dedup_lines
+
+    kept = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@register("op9_shard_documents")
+def op9_shard_documents(spark, sf_dir):
+    from .sharding import shard
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    # Only narrow columns go through the range sort.
+    narrow = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"))
+    return shard(narrow).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
