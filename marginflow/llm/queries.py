@@ -99,3 +99,46 @@ def op9_shard_documents(spark, sf_dir):
     # Only narrow columns go through the range sort.
     narrow = docs.select("doc_id", "source", (F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1).alias("size"), F.crc32(F.coalesce(F.col("text"), F.lit(""))).alias("text_crc32"))
     return shard(narrow).select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@register(
+    "op6_url_filter",
+    r"""
+WITH parsed AS (
+    SELECT page_id, url, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+        regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(coalesce(url, ''), '(?s)^[^?#]*\?([^#]*)', 1) AS query
+    FROM pages
+), keyed AS (
+    SELECT *, CASE WHEN host <> '' THEN regexp_replace(host, ':(80|443)$', '') || regexp_replace(path, '/+$', '') || '?'
+        || coalesce(array_to_string(list_sort(list_filter(string_split(query, '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_[a-z]+|ref|fbclid|gclid)='))), '&'), '') END AS canonical
+    FROM parsed
+), listed AS (
+    SELECT canonical FROM keyed WHERE canonical IS NOT NULL GROUP BY canonical HAVING count(*) > 1
+), rules(verdict, top, start) AS (
+    VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), fitting AS (
+    SELECT k.*, r.verdict, r.top || r.start AS rule, row_number() OVER (PARTITION BY page_id, url ORDER BY length(r.top || r.start) DESC NULLS LAST) AS k
+    FROM keyed k LEFT JOIN rules r ON (k.host = r.top OR ends_with(k.host, '.' || r.top)) AND starts_with(k.path, r.start)
+)
+SELECT page_id, host, path, rule, coalesce(verdict, CASE WHEN l.canonical IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+FROM fitting f LEFT JOIN listed l ON f.canonical = l.canonical WHERE k = 1
+""",
+)
+def op6_url_filter(spark, sf_dir):
+    from .urls import judge_urls, repeated_urls
+
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    # The list: addresses that the crawl fetched more than once.
+    return judge_urls(pages, repeated_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
+
+
+@register("op10_quality_rules")
+def op10_quality_rules(spark, sf_dir):
+    from ..session import durable
+    from .quality import judge, measured
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    # Measures are narrow and read twice: once for the cutoffs, once for the verdict.
+    rows = durable(measured(docs).drop("text"))
+    judged = judge(docs, table(spark, sf_dir, "labels"), measures=rows)
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
