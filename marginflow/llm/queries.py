@@ -142,3 +142,10 @@ def op10_quality_rules(spark, sf_dir):
     rows = durable(measured(docs).drop("text"))
     judged = judge(docs, table(spark, sf_dir, "labels"), measures=rows)
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+@register("op2_ngram_jaccard_join")
+def op2_ngram_jaccard_join(spark, sf_dir):
+    from .jaccard import jaccard_join
+
+    return jaccard_join(table(spark, sf_dir, "documents"), ngram=4, percent=85).select("doc_id", "n_shingles", "component_id")
