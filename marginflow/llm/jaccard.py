@@ -83,7 +83,7 @@ def prefix_length(n: int, percent: int) -> int:
 
 def bitmap_words(n: int) -> int:
     """64-bit words of the bitmap of a set: about two bits per shingle, a power of two."""
-    return int(min(256, max(2, 1 << int(np.ceil(np.log2(max(1, n) / 32))))))
+    return min(256, max(2, 1 << (max(1, n) // 32).bit_length()))
 
 
 def bitmap(shingles: np.ndarray) -> np.ndarray:
