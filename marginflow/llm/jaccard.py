@@ -28,7 +28,6 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import durable
 from .common import staged
 from .components import components
 
@@ -40,6 +39,8 @@ COMMON_BITS = 1 << 22
 COMMON_SETS = 48
 LEAST_LOCAL = 3
 RUN_SHINGLES = 2_000_000
+#: Bits that mark the documents whose sets are made again.
+WANTED_BITS = 1 << 23
 #: Words whose hashes a task remembers, and shingles that a task prepares at once.
 VOCABULARY = 200_000
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
@@ -72,8 +73,8 @@ def shingle_set(text: str | None, words: _Words, ngram: int) -> np.ndarray:
     size = min(ngram, len(h))
     out = np.full(len(h) - size + 1, size, np.uint64)
     for i in range(size):
-        out = scramble((out + h[i : len(h) - size + 1 + i]) * MIX[0])
-    return np.unique(out)
+        out = (out + h[i : len(h) - size + 1 + i]) * MIX[0]
+    return np.unique(scramble(out))
 
 
 def prefix_length(n: int, percent: int) -> int:
@@ -134,13 +135,7 @@ def _common_counts(ngram: int):
 def common_marks(docs: DataFrame, ngram: int) -> np.ndarray:
     """A bit set of fixed size that marks the shingles many sets hold."""
     counts = docs.select("text").mapInArrow(_common_counts(ngram), "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON_SETS)
-    bit = F.col("shingle").bitwiseAND(F.lit(COMMON_BITS - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    # At most COMMON_BITS / 64 rows, whatever the corpus.
-    words = counts.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("word")).toPandas()
-    marks = np.zeros(COMMON_BITS // 64, np.uint64)
-    marks[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
-    return np.unpackbits(marks.view(np.uint8), bitorder="little")
+    return marked_bits(counts, "shingle", COMMON_BITS)
 
 
 def _signatures(ngram: int, percent: int, marks):
@@ -149,31 +144,43 @@ def _signatures(ngram: int, percent: int, marks):
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, common = _Words(), np.unpackbits(np.frombuffer(marks.value, np.uint8), bitorder="little")
         for batch in batches:
-            sizes, high, low, prefixes = [], [], [], []
+            sizes, high, low, prefixes, bits = [], [], [], [], []
             for text in batch.column(1):
                 s = shingle_set(text.as_py(), words, ngram)
                 digest = np.frombuffer(hashlib.md5(s.tobytes()).digest(), np.int64)
                 sizes.append(len(s))
                 high.append(digest[0])
                 low.append(digest[1])
+                bits.append(bitmap(s).tobytes())
                 late = common[(s & np.uint64(COMMON_BITS - 1)).astype(np.int64)].astype(bool)
                 prefixes.append(np.concatenate([s[~late], s[late]])[: prefix_length(len(s), percent) if len(s) else 0].view(np.int64))
-            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "high", "low", "prefix"])
+            arrays = [batch.column(0), pa.array(sizes, pa.int64()), pa.array(high, pa.int64()), pa.array(low, pa.int64()), pa.array(prefixes, pa.list_(pa.int64())), pa.array(bits, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "n", "high", "low", "prefix", "bits"])
 
     return sign
 
 
-def _sets(ngram: int):
+def marked_bits(ids: DataFrame, name: str, bits: int) -> np.ndarray:
+    """A bit set of fixed size with the low bits of the ids: at most ``bits / 64`` rows come to the driver."""
+    bit = F.col(name).bitwiseAND(F.lit(bits - 1))
+    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
+    words = ids.groupBy(F.shiftright(bit, 6).alias("at")).agg(F.bit_or(one).alias("word")).toPandas()
+    marks = np.zeros(bits // 64, np.uint64)
+    marks[words["at"].to_numpy(np.int64)] = words["word"].to_numpy(np.int64).view(np.uint64)
+    return marks.view(np.uint8)
+
+
+def _sets(ngram: int, wanted):
+    """Shingle sets of the documents whose bit is set; others that share a bit are joined away later."""
+
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = _Words()
+        words, marks = _Words(), np.unpackbits(np.frombuffer(wanted.value, np.uint8), bitorder="little").astype(bool)
         for batch in batches:
-            arrays = [shingle_set(text.as_py(), words, ngram) for text in batch.column(1)]
-            maps = [bitmap(s).tobytes() for s in arrays]
-            raw = [s.tobytes() for s in arrays]
+            here = marks[batch.column(0).fill_null(0).to_numpy(zero_copy_only=False) & (len(marks) - 1)]
+            batch = batch.filter(pa.array(here))
+            raw = [shingle_set(text.as_py(), words, ngram).tobytes() for text in batch.column(1)]
             digests = [hashlib.md5(x).digest() for x in raw]
-            columns = [batch.column(0), pa.array(digests, pa.binary()), pa.array([len(s) for s in arrays], pa.int64()), pa.array(raw, pa.binary()), pa.array(maps, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, ["class", "digest", "n", "shingles", "bits"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(digests, pa.binary()), pa.array(raw, pa.binary())], ["class", "digest", "shingles"])
 
     return sets
 
@@ -220,18 +227,20 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     """Per row of (doc_id, text): doc_id, n_shingles, class_id, component_id."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
-    marks = spark.sparkContext.broadcast(np.packbits(common_marks(docs, ngram), bitorder="little").tobytes())
-    signed = staged(docs.mapInArrow(_signatures(ngram, percent, marks), "doc_id long, n long, high long, low long, prefix array<long>"))
+    marks = spark.sparkContext.broadcast(common_marks(docs, ngram).tobytes())
+    signed = staged(docs.mapInArrow(_signatures(ngram, percent, marks), "doc_id long, n long, high long, low long, prefix array<long>, bits binary"))
+
+    repeats = signed.groupBy("doc_id").count().where("doc_id is not null and count > 1").limit(1).count() > 0
 
     # A class is named by its smallest doc_id; its representative is that document.
-    classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class"), F.first("n").alias("n"), F.first("prefix").alias("prefix")))
+    classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
     tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
 
     # The star of a shingle: its smallest class. Shingles of one class only end here.
     stars = tokens.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("token", "hub")
     members = staged(tokens.join(stars, "token").select("token", "hub", "class", "n"))
     pairs = members.where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
-    links = _verify(docs, classes, pairs, ngram, percent)
+    links = _verify(docs, classes, pairs, ngram, percent, repeats)
 
     # Shingles whose classes are not all connected yet: every pair of different components is a candidate.
     first = components(links)
@@ -242,7 +251,7 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     right = open_rows.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
     tile = left.join(right, ["token", "band"]).where((F.col("ca") != F.col("cb")) & _fitting(F.col("na"), F.col("nb"), percent) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))))
     rest = tile.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verify(docs, classes, rest, ngram, percent))
+    links = links.unionByName(_verify(docs, classes, rest, ngram, percent, repeats))
 
     found = components(links)
     named = classes.select("high", "low", "class").join(found.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -253,18 +262,18 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     return full.unionByName(empty).drop("high", "low")
 
 
-def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ngram: int, percent: int) -> DataFrame:
+def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ngram: int, percent: int, repeats: bool) -> DataFrame:
     """The pairs of classes that link. Shingle sets are made again for the classes in question only.
 
     A doc_id that stands for several texts links if one of them does.
     """
-    sizes = classes.select("class", "n")
-    sized = pairs.join(sizes.select(F.col("class").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("class").alias("b"), F.col("n").alias("nb")), "b")
-    pairs = staged(sized.where(_fitting(F.col("na"), F.col("nb"), percent)).select("a", "b"))
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = docs.join(durable(wanted), "doc_id", "left_semi").select(F.col("doc_id").alias("class"), "text")
-    sets = staged(texts.mapInArrow(_sets(ngram), "class long, digest binary, n long, shingles binary, bits binary").dropDuplicates(["class", "digest"]))
-    side = lambda k, **names: sets.select(F.col("class").alias(k), *(F.col(c).alias(m) for c, m in names.items()))
-    bounded = pairs.join(side("a", bits="p", n="na"), "a").join(side("b", bits="q", n="nb"), "b").mapInPandas(_possible(percent), "a long, b long")
-    exact = staged(bounded.distinct()).join(side("a", shingles="x"), "a").join(side("b", shingles="y"), "b")
-    return staged(exact.mapInPandas(_linked(percent), "a long, b long"))
+    spark = docs.sparkSession
+    known = lambda k, **names: classes.select(F.col("class").alias(k), *(F.col(c).alias(m) for c, m in names.items()))
+    bounded = pairs.join(known("a", bits="p", n="na"), "a").join(known("b", bits="q", n="nb"), "b").where(_fitting(F.col("na"), F.col("nb"), percent)).mapInPandas(_possible(percent), "a long, b long")
+    pairs = staged(bounded.distinct())
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("class"))
+    bits = spark.sparkContext.broadcast(marked_bits(wanted, "class", WANTED_BITS).tobytes())
+    sets = docs.where("doc_id is not null").mapInArrow(_sets(ngram, bits), "class long, digest binary, shingles binary")
+    sets = staged(sets.dropDuplicates(["class", "digest"]) if repeats else sets)
+    side = lambda k, x: sets.select(F.col("class").alias(k), F.col("shingles").alias(x))
+    return staged(pairs.join(side("a", "x"), "a").join(side("b", "y"), "b").mapInPandas(_linked(percent), "a long, b long").distinct())
