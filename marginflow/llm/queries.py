@@ -149,3 +149,35 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     from .jaccard import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"), ngram=4, percent=85).select("doc_id", "n_shingles", "component_id")
+
+
+@register("op4_warc_round_trip")
+def op4_warc_round_trip(spark, sf_dir):
+    from .warc import round_trip
+
+    return round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+@register("op7_best_fit_packing")
+def op7_best_fit_packing(spark, sf_dir):
+    from .packing import exact_cluster, pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents").withColumn("cluster", exact_cluster()))
+
+
+@register("op8_toxicity")
+def op8_toxicity(spark, sf_dir):
+    from .toxicity import score_documents, train
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    net = train(docs, table(spark, sf_dir, "labels").where(~held_out).select("doc_id", "toxic"))
+    scored = score_documents(docs, net)
+    return scored.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+@register("op3_spot_signatures")
+def op3_spot_signatures(spark, sf_dir):
+    from .spotsigs import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
