@@ -5,9 +5,9 @@
    filter). The order puts shingles that many documents hold last, so shared passages do not attract candidates.
 3. Classes that share such a shingle form a tile per size band; bands are one threshold wide, so links stay inside a band
    or between neighbours.
-4. Candidates are first held against the smallest class of their shingle, then, once what these links connect is known,
-   against every class of the tile that is still in another component. So a large group of near copies is compared with
-   one of its members, not pair by pair, and no link between components is missed.
+4. A class is first held against the smallest class it shares a shingle with, then, once what these links connect is known,
+   against every class of the tile that is still in another component. So a large group of near copies is not
+   compared pair by pair, and no link between components is missed.
 5. A pair is bounded from above by bit counts of hashed bitmaps, then intersected exactly on sorted arrays.
 
 Shingles are 64-bit hashes of word n-grams after lower-casing A-Z; sets are told apart by 128 bits. Nulls: a null or
@@ -239,7 +239,8 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     # The star of a shingle: its smallest class. Shingles of one class only end here.
     stars = tokens.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("token", "hub")
     members = staged(tokens.join(stars, "token").select("token", "hub", "class", "n"))
-    pairs = members.where("class <> hub").select(F.col("hub").alias("a"), F.col("class").alias("b")).distinct()
+    # One link per class is enough to begin with: its smallest hub. Near copies hang together through smaller and smaller classes.
+    pairs = members.where("class <> hub").groupBy("class").agg(F.min("hub").alias("a")).select("a", F.col("class").alias("b"))
     links = _verify(docs, classes, pairs, ngram, percent, repeats)
 
     # Shingles whose classes are not all connected yet: every pair of different components is a candidate.
