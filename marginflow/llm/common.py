@@ -8,7 +8,6 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import durable, scratch_dir
@@ -55,6 +54,11 @@ def join_sized(rows: DataFrame, side: DataFrame, on: Sequence[str], how: str = "
     return rows.join(F.broadcast(side) if small else side, list(on), how)
 
 
+def without(df: DataFrame, *results: str) -> DataFrame:
+    """Input columns named like a result, or with a leading underscore, give way to the operator's own."""
+    return df.drop(*(c for c in df.columns if c in results or c.startswith("_")))
+
+
 def group_key(name: str) -> Column:
     """A key that is never null: null forms a group of its own."""
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
@@ -84,7 +88,3 @@ def before_slice(totals: DataFrame, name: str) -> Column:
 def in_slice(ties: Sequence[str]):
     """The shuffle order inside a slice. Equal rows that tie in every id are interchangeable."""
     return W.partitionBy("_g", "_slice").orderBy("_h", *ties)
-
-
-def long_array() -> T.ArrayType:
-    return T.ArrayType(T.LongType())

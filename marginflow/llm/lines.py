@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
-from .common import BLANKS, ascii_lower, text_of
+from .common import BLANKS, ascii_lower, text_of, without
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -54,6 +54,7 @@ def shared_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MI
 
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS) -> DataFrame:
     """Replaces text by what stays of it; adds n_lines and n_dropped."""
+    docs = without(docs, "n_lines", "n_dropped")
     lines, shared = shared_lines(docs, min_chars, min_docs)
     # One row per document: its keys to drop, at most its own lines.
     drops = (

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import durable, number_rows
-from .common import before_slice, in_slice, join_sized, let, slice_totals, sliced, word_count
+from .common import before_slice, in_slice, join_sized, let, slice_totals, sliced, word_count, without
 
 SEED = "mix-1"
 #: Fixed values of the production mix: weights of the sources in order, repeating, and how each one moves in time.
@@ -90,6 +90,7 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] | None = None, sha
     One shuffle of the rows, by source and hash slice, serves the running sum; the sizes before a slice come from at
     most 4096 sums per source.
     """
+    docs = without(docs, "size", "source_size", "target", "takes", "taken", "weight", "pieces", "rank")
     rows = sliced(docs.withColumn("size", F.coalesce(word_count(F.col("text")), F.lit(0).cast("long"))), "source", ["doc_id"], seed)
     totals = slice_totals(rows, "source", size=F.col("size"))
     sources = durable(totals.groupBy("_g").agg(F.first("_name").alias("_name"), F.sum("size").alias("source_size")))

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..session import durable
-from .common import BLANK, BLANKS, group_key, join_sized, let, text_of
+from .common import BLANK, BLANKS, group_key, join_sized, let, text_of, without
 
 WINDOW = 8
 MIN_WORDS = 20
@@ -61,6 +61,7 @@ def _repeat_words(words: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """Adds the base counts and the measures of the rules; everything from the document's own row."""
+    docs = without(docs, *RULES, "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum")
     text = text_of()
     # The words are needed several times inside array functions: bound once per row.
     words = F.filter(F.split(F.trim(text, F.lit(BLANKS)), f"{BLANK}+", -1), lambda w: w != "")

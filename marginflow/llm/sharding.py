@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import number_rows
-from .common import before_slice, in_slice, join_sized, slice_totals, sliced
+from .common import before_slice, in_slice, join_sized, slice_totals, sliced, without
 
 SEED = "shard-1"
 SHARDS = 8
@@ -27,6 +27,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     Ranks need one shuffle by source and hash slice; the global order is a range sort with offsets per partition.
     Neither holds a source in one task.
     """
+    docs = without(docs, "shard", "slot")
     rows = sliced(docs, "source", ["doc_id"], seed)
     totals = slice_totals(rows, "source", n=F.lit(1))
     sizes = totals.groupBy("_g").agg(F.sum("n").alias("_n"))

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import durable
+from .common import without
 
 WORDS = 4
 BITS_PER_URL = 16
@@ -87,6 +88,7 @@ def listed_rows(rows: DataFrame, listed: DataFrame, name: str = "canonical") ->
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES) -> DataFrame:
     """Adds host, path, canonical, rule and verdict to rows with a url."""
+    pages = without(pages, "host", "path", "canonical", "rule", "verdict", "listed")
     url = F.col("url")
     rows = pages.withColumn("host", host_of(url)).withColumn("path", path_of(url)).withColumn("_rule", rule_for(F.col("host"), F.col("path"), rules)).withColumn("canonical", canonical(url))
     ruled = rows.where(F.col("_rule").isNotNull()).withColumn("listed", F.lit(None).cast("boolean"))
