@@ -5,7 +5,7 @@
    filter). The order puts shingles that many documents hold last, so shared passages do not attract candidates.
 3. Classes that share such a shingle form a tile per size band; bands are one threshold wide, so links stay inside a band
    or between neighbours.
-4. A class is first held against the smallest class it shares a shingle with, then, once what these links connect is known,
+4. A class is first held against the hubs (the smallest class of a shingle) that it shares most shingles with, then, once what these links connect is known,
    against every class of the tile that is still in another component. So a large group of near copies is not
    compared pair by pair, and no link between components is missed.
 5. A pair is bounded from above by bit counts of hashed bitmaps, then intersected exactly on sorted arrays.
@@ -27,6 +27,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import staged
 from .components import components
@@ -39,6 +40,8 @@ COMMON_BITS = 1 << 22
 COMMON_SETS = 48
 LEAST_LOCAL = 3
 RUN_SHINGLES = 2_000_000
+#: Hubs a class is held against in the first round; all other candidates follow in the second.
+FIRST_HUBS = 3
 #: Bits that mark the documents whose sets are made again.
 WANTED_BITS = 1 << 23
 #: Words whose hashes a task remembers, and shingles that a task prepares at once.
@@ -239,8 +242,10 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     # The star of a shingle: its smallest class. Shingles of one class only end here.
     stars = tokens.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("token", "hub")
     members = staged(tokens.join(stars, "token").select("token", "hub", "class", "n"))
-    # One link per class is enough to begin with: its smallest hub. Near copies hang together through smaller and smaller classes.
-    pairs = members.where("class <> hub").groupBy("class").agg(F.min("hub").alias("a")).select("a", F.col("class").alias("b"))
+    # A few links per class are enough to begin with: to the hubs it shares most shingles with. Near copies hang together by them.
+    shared = members.where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("n"))
+    nearest = W.partitionBy("class").orderBy(F.col("n").desc(), "hub")
+    pairs = shared.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FIRST_HUBS).select(F.col("hub").alias("a"), F.col("class").alias("b"))
     links = _verify(docs, classes, pairs, ngram, percent, repeats)
 
     # Shingles whose classes are not all connected yet: every pair of different components is a candidate.
