@@ -133,13 +133,17 @@ def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha
     return certified.groupBy("stratum", "rule").agg(F.min("cutoff").alias("cutoff"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA, measures: DataFrame | None = None) -> DataFrame:
-    """Adds the measures, base_failed and kept. ``measures`` are durable measures of the same documents, if at hand."""
-    rows = measured(docs) if measures is None else measures
-    chosen = cutoffs(rows, labels, stratum, alpha, delta)
+def apply_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang") -> DataFrame:
+    """Adds kept to measured rows: the base rules and the certified cutoffs of the row's stratum."""
     wide = durable(chosen.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == name, F.col("cutoff"))).alias(f"_{name}") for name in RULES)))
     out = join_sized(rows.withColumn("stratum", group_key(stratum)), wide, ["stratum"], "left")
     above = F.lit(False)
     for name in RULES:
         above = above | F.coalesce(F.col(name) > F.col(f"_{name}"), F.lit(False))
     return out.withColumn("kept", ~F.col("base_failed") & ~above).drop("stratum", *(f"_{name}" for name in RULES))
+
+
+def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
+    """Adds the measures, base_failed and kept. Texts are measured twice, so that only narrow rows are made durable."""
+    narrow = durable(measured(docs).select("doc_id", stratum, *RULES, "base_failed"))
+    return apply_cutoffs(measured(docs), cutoffs(narrow, labels, stratum, alpha, delta), stratum)

@@ -135,12 +135,12 @@ def op6_url_filter(spark, sf_dir):
 @register("op10_quality_rules")
 def op10_quality_rules(spark, sf_dir):
     from ..session import durable
-    from .quality import judge, measured
+    from .quality import apply_cutoffs, cutoffs, measured
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
     # Measures are narrow and read twice: once for the cutoffs, once for the verdict.
     rows = durable(measured(docs).drop("text"))
-    judged = judge(docs, table(spark, sf_dir, "labels"), measures=rows)
+    judged = apply_cutoffs(rows, cutoffs(rows, table(spark, sf_dir, "labels")))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
