@@ -16,14 +16,13 @@ from marginflow.llm.jaccard import jaccard_join
 from marginflow.llm.lines import dedup_lines
 from marginflow.llm.mixing import mix, training_order
 from marginflow.llm.packing import exact_cluster, pack_documents
-from marginflow.llm.quality import judge, measured
+from marginflow.llm.quality import judge
 from marginflow.session import scratch_dir
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents that pass the base rules and the certified cutoffs of their language."""
-    rows = staged(measured(docs))
-    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), measures=rows).where("kept").select(docs.columns)
+    return judge(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(docs.columns)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
