@@ -237,11 +237,11 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
 
     # A class is named by its smallest doc_id; its representative is that document.
     classes = staged(signed.where("n > 0 and doc_id is not null").groupBy("high", "low").agg(F.min("doc_id").alias("class"), F.first("n").alias("n"), F.first("prefix").alias("prefix"), F.first("bits").alias("bits")))
-    tokens = classes.select("class", "n", F.explode("prefix").alias("token"))
+    tokens = classes.select("class", "n", F.posexplode("prefix").alias("pos", "token"))
 
     # The star of a shingle: its smallest class. Shingles of one class only end here.
     stars = tokens.groupBy("token").agg(F.min("class").alias("hub"), F.max("class").alias("last")).where("hub < last").select("token", "hub")
-    members = staged(tokens.join(stars, "token").select("token", "hub", "class", "n"))
+    members = staged(tokens.join(stars, "token").select("token", "hub", "class", "n", "pos"))
     # A few links per class are enough to begin with: to the hubs it shares most shingles with. Near copies hang together by them.
     shared = members.where("class <> hub").groupBy("class", "hub").agg(F.count(F.lit(1)).alias("n"))
     nearest = W.partitionBy("class").orderBy(F.col("n").desc(), "hub")
@@ -253,9 +253,12 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     placed = members.join(first.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("hub")
     mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
     open_rows = staged(placed.join(mixed, "token").withColumn("band", _band(F.col("n"), percent)))
-    left = open_rows.select("token", "band", F.col("class").alias("a"), F.col("n").alias("na"), F.col("component").alias("ca"))
-    right = open_rows.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("component").alias("cb"))
-    tile = left.join(right, ["token", "band"]).where((F.col("ca") != F.col("cb")) & _fitting(F.col("na"), F.col("nb"), percent) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))))
+    left = open_rows.select("token", "band", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    right = open_rows.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    # Two sets of these sizes that link share a shingle among the first n - need + 1 of each.
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / float(100 + percent))
+    early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
+    tile = left.join(right, ["token", "band"]).where((F.col("ca") != F.col("cb")) & early & _fitting(F.col("na"), F.col("nb"), percent) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))))
     rest = tile.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = links.unionByName(_verify(docs, classes, rest, ngram, percent, repeats))
 
