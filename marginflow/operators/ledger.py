@@ -30,9 +30,11 @@ EXECUTED = ("complete", "modified", "partial")
 
 
 def typed_sum(amounts: DataFrame, by: list[str] | None = None, cents: str = "cents", klass: str = "klass") -> DataFrame:
-    """Sum of integer cents of one claim class; adding two classes fails the job."""
+    """Sum of integer cents of one claim class; adding two classes, or a part of a cent, fails the job."""
     one = F.countDistinct(klass)
-    total = amounts.groupBy(*(by or [])).agg(F.sum(F.col(cents).cast("bigint")).alias("cents"), F.max(klass).alias("klass"), one.alias("_n"))
+    broken = F.raise_error(F.lit("fractional cents in a sum of integer cents")).cast("bigint")
+    whole = F.when(F.col(cents) != F.floor(cents), broken).otherwise(F.col(cents).cast("bigint"))
+    total = amounts.groupBy(*(by or [])).agg(F.sum(whole).alias("cents"), F.max(klass).alias("klass"), one.alias("_n"))
     refuse = F.raise_error(F.lit("claim-class violation: two classes in one sum")).cast("bigint")
     return total.withColumn("cents", F.when(F.col("_n") > 1, refuse).otherwise(F.col("cents"))).drop("_n")
 

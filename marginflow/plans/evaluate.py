@@ -87,6 +87,7 @@ def evaluate_interventions(plans: DataFrame, register: Register, feeds: DataFram
     rows = staged.join(verdicts.select(KEY, *extra), KEY).join(observed_services(plans, daily, as_of), KEY, "left")
     pending = ~F.col("window_closed")
     outcome = F.when(pending, "pending").otherwise(F.col("outcome"))
+    rows = rows.withColumn("why", F.when(pending, F.lit("The measurement window is still open.")).otherwise(F.col("why")))
     rows = rows.withColumn("outcome", outcome).withColumn("bookable_cents", F.when(~pending, F.col("bookable_cents")))
     rows = rows.withColumn("observed", F.when(F.col("executed") & pending, F.coalesce("observed", F.lit(0))).otherwise(0))
     closed = F.create_map(*(F.lit(x) for kv in dims.CLOSED_STATE.items() for x in kv))[F.col("outcome")]

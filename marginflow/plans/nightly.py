@@ -141,7 +141,7 @@ def nightly(
         if accounting is not None:
             claims = ledger.accrual_in_period(evals, today, lo, hi).filter(F.col("period_cents") > 0)
             booked = claims.join(accounting, "intervention_id").withColumn("claim_cents", F.col("period_cents")).withColumn("period", F.lit(lo.strftime("%Y-%m")))
-            store.replace_partition(_shape(booked, SIDES, org), f"{path}/ledger_sides")
+            store.replace_tenant(_shape(booked, SIDES, org), f"{path}/ledger_sides", org)
         store.append_log(verdicts, f"{path}/verification_results")
     store.append_log(trail, f"{path}/audit_events")
     run = spark.range(1).select(

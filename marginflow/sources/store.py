@@ -40,6 +40,11 @@ def replace_partition(rows: DataFrame, path: str, partition: Sequence[str] = ("o
     durable(rows).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*partition).parquet(path)
 
 
+def replace_tenant(rows: DataFrame, path: str, org_id: str) -> None:
+    """Overwrites the partition of one tenant, also with no rows at all: what it held before is gone."""
+    durable(rows.where(F.col("org_id") == org_id)).drop("org_id").write.mode("overwrite").parquet(f"{path}/org_id={org_id}")
+
+
 def append_log(rows: DataFrame, path: str, partition: Sequence[str] = ("org_id",)) -> None:
     """Append-only: verdicts, audit events and runs are never rewritten."""
     rows.write.mode("append").partitionBy(*partition).parquet(path)
@@ -56,18 +61,20 @@ def list_findings(findings: DataFrame, state: str | None = None, historical: boo
     return rows if limit is None else rows.limit(limit)
 
 
-def list_audit(events: DataFrame, entity_kind: str | None = None, entity_id: str | None = None, limit: int = 500) -> DataFrame:
-    """Audit events by date, then step, at most ``limit``."""
+def list_audit(events: DataFrame, entity_kind: str | None = None, entity_id: str | None = None, limit: int | None = None) -> DataFrame:
+    """Audit events by date, then step; all of them unless a limit is asked for."""
     rows = events
     if entity_kind is not None:
         rows = rows.filter(F.col("entity_kind") == entity_kind)
     if entity_id is not None:
         rows = rows.filter(F.col("entity_id") == entity_id)
-    return rows.orderBy("on_date", "entity_id", "event").limit(limit)
+    ordered = rows.orderBy("on_date", "entity_id", "event")
+    return ordered if limit is None else ordered.limit(limit)
 
 
-def list_runs(runs: DataFrame, limit: int = 50) -> DataFrame:
-    return runs.orderBy(F.col("as_of").desc()).limit(limit)
+def list_runs(runs: DataFrame, limit: int | None = None) -> DataFrame:
+    ordered = runs.orderBy(F.col("as_of").desc())
+    return ordered if limit is None else ordered.limit(limit)
 
 
 def record_counts(findings: DataFrame, interventions: DataFrame) -> DataFrame:
