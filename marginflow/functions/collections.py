@@ -7,24 +7,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def sorted_key(a: Column) -> Column:
-    """Order-free key of a set of strings."""
-    return F.array_join(F.array_sort(a), "+")
-
-
-def members(values: Column, of: Column) -> Column:
-    return F.arrays_overlap(values, of)
-
-
 def finite(x: Column) -> Column:
     """Infinite and undefined numbers become null, as JSON has no form for them."""
     return F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), F.lit(None).cast("double")).otherwise(x)
 
 
-def money_json(cents: Column, klass: str) -> Column:
-    return F.struct(cents.alias("cents"), F.lit(klass).alias("klass"))
-
-
 def to_document(df: DataFrame, keep: list[str], name: str = "record") -> DataFrame:
     """The listed columns stay flat; the whole row goes beside them as JSON."""
     fields = [

@@ -31,10 +31,6 @@ def at_least(x: Column, floor: float | int) -> Column:
     return F.greatest(x, F.lit(floor))
 
 
-def clamp(x: Column, lo: float, hi: float) -> Column:
-    return F.greatest(F.lit(lo), F.least(F.lit(hi), x))
-
-
 # Aggregates with the engine's rules for empty and single-row inputs.
 
 

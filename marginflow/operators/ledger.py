@@ -384,6 +384,7 @@ def feed_risk(findings: DataFrame, evals: DataFrame, feeds: DataFrame, locations
     return grid.join(sums, ["code", "scope"], "left").fillna(0)
 
 
+# The labels of a bridge's lines, in order.
 BRIDGE_LABELS = (
     "Operational driver changed", "Quantity effect", "Rate or price effect", "Mix effect", "Timing effect", "Expected P&L account",
     "Expected recognition period", "Observed ledger movement", "Reconciliation variance", "Explanation", "Accountant review", "Reconciliation status",
@@ -407,17 +408,17 @@ def bridge(claims: DataFrame, sides: DataFrame) -> DataFrame:
 
 
 def bridge_lines(bridges: DataFrame) -> DataFrame:
-    """The twelve labelled lines of a bridge, one row each."""
+    """The twelve lines of a bridge, one row each, under their fixed labels."""
     c = F.col
     blank = lambda name: F.coalesce(c(name), F.lit(""))
     timing = F.when(
-        c("timing_cents") != 0, F.concat(F.lit("Pay-period boundary splits the window; "), format_usd(c("timing_cents")), F.lit(" lands in the following period"))
-    ).otherwise(F.lit("None — the window closes inside one accounting period"))
-    moved = F.concat(F.split("account", " · ")[0], F.lit(" moved "), format_usd(c("observed_cents")), F.lit(" against the modelled counterfactual"))
+        c("timing_cents") != 0, F.concat(format_usd(c("timing_cents")), F.lit(" belongs to the next period"))
+    ).otherwise(F.lit("No shift between periods"))
+    moved = F.concat(F.split("account", " · ")[0], F.lit(": "), format_usd(c("observed_cents")))
     share = F.coalesce(F.try_divide(c("unexplained_cents"), c("claim_cents")), F.lit(0.0))
-    variance = F.concat(format_usd(c("unexplained_cents")), F.lit(" unexplained, "), format_pct(share, 1), F.lit(" of the claim"))
-    review = F.when(c("status").isin("partial", "unexplained"), F.concat(F.lit("Open with "), blank("reviewer"))).otherwise(
-        F.concat(F.lit("Reviewed and accepted by "), blank("reviewer"))
+    variance = F.concat(format_usd(c("unexplained_cents")), F.lit(" open, "), format_pct(share, 1))
+    review = F.when(c("status").isin("partial", "unexplained"), F.concat(F.lit("Under review: "), blank("reviewer"))).otherwise(
+        F.concat(F.lit("Signed off: "), blank("reviewer"))
     )
     values = [
         blank("change"), blank("quantity_effect"), blank("rate_effect"), blank("mix_effect"), timing, blank("account"), blank("period_label"), moved, variance,

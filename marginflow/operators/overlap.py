@@ -33,10 +33,6 @@ def sku_intersections(findings: DataFrame) -> DataFrame:
     return pairs.select(F.least("ppv", "por").alias("a_id"), F.greatest("ppv", "por").alias("b_id"), "cents")
 
 
-def scope_key(locs: Column, account: Column, period: Column) -> Column:
-    return F.concat_ws("|", F.array_join(F.array_sort(locs), "+"), account, period)
-
-
 def scope_width(locs: Column, items: Column) -> Column:
     return F.size(locs) * F.when(items.isNull(), F.lit(8)).otherwise(F.size(items))
 

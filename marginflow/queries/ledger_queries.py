@@ -297,10 +297,10 @@ def bridge_totals(inp):
 @query(
     "bridge_lines",
     tidy_sql(
-        f"""SELECT intervention_id, pos, v FROM (SELECT s.intervention_id, unnest([title, '', '', '', CASE WHEN timing_cents <> 0 THEN 'Pay-period boundary splits the window; ' || {usd_sql('timing_cents')} || ' lands in the following period' ELSE 'None — the window closes inside one accounting period' END,
-          account, '', string_split(account, ' · ')[1] || ' moved ' || {usd_sql('s.observed_cents')} || ' against the modelled counterfactual',
-          {usd_sql('unexplained_cents')} || ' unexplained, ' || {fixed_sql('coalesce(unexplained_cents / nullif(claim_cents, 0), 0) * 100', 1)} || '% of the claim', '',
-          CASE WHEN status IN ('partial', 'unexplained') THEN 'Open with ' ELSE 'Reviewed and accepted by ' END, status_label]) AS v, unnest(range(0, 12)) AS pos
+        f"""SELECT intervention_id, pos, v FROM (SELECT s.intervention_id, unnest([title, '', '', '', CASE WHEN timing_cents <> 0 THEN {usd_sql('timing_cents')} || ' belongs to the next period' ELSE 'No shift between periods' END,
+          account, '', string_split(account, ' · ')[1] || ': ' || {usd_sql('s.observed_cents')},
+          {usd_sql('unexplained_cents')} || ' open, ' || {fixed_sql('coalesce(unexplained_cents / nullif(claim_cents, 0), 0) * 100', 1)} || '%', '',
+          CASE WHEN status IN ('partial', 'unexplained') THEN 'Under review: ' ELSE 'Signed off: ' END, status_label]) AS v, unnest(range(0, 12)) AS pos
           FROM rec_sides s JOIN o_recon USING (status) JOIN rec_evals e ON e.id = s.intervention_id JOIN o_accounts USING (lever))""",
         keep="intervention_id v", ints="pos",
     ),
@@ -449,13 +449,13 @@ def _d(c: str) -> str:
     return f"day({c}) || ' ' || strftime({c}, '%b')"
 
 
-_SENTENCE = f"""CASE WHEN outcome = 'pending' AND state = 'measuring' THEN 'Executed ' || {_d('exec_on')} || '. ' || observed || ' of ' || observed_of || ' comparable services observed. ' || CASE WHEN guardrails_passed < guardrails_total THEN 'A guardrail is moving.' ELSE 'Guardrails healthy.' END || ' Result on ' || {_d('eligible_on')} || '.'
-  WHEN outcome = 'pending' THEN 'Approved ' || {_d('decided_on')} || '. Waiting for execution on ' || {_d('exec_on')} || '.'
-  WHEN outcome IN ('verified', 'verified_limited') THEN 'Moved ' || {usd_sql('abs(point)')} || ' a week; at least ' || {usd_sql('bookable_cents')} || ' a week is attributable to the change. Verified' || CASE WHEN persistence_status = 'holding' THEN ', holding' ELSE '' END || ', billable at ' || {usd_sql('bookable_cents')} || '.'
-  WHEN outcome = 'inconclusive' THEN 'We cannot say. Not counted.' WHEN outcome = 'no_effect' THEN 'The change was made and nothing moved: ' || {usd_sql('abs(point)')} || ' a week against a smallest detectable effect of ' || {usd_sql('mde')} || '. Recorded as a measured null at $0.'
-  WHEN outcome = 'negative' THEN 'The outcome moved the wrong way by ' || {usd_sql('abs(point)')} || ' a week. We recommend reversing it.' WHEN outcome = 'guardrail_failure' THEN 'We stopped it. Nothing was counted.'
-  WHEN outcome = 'directional' THEN 'Points the right way — ' || {usd_sql('point')} || ' a week — but the lower bound (' || {usd_sql('lower_bound')} || ') does not clear zero. Not counted.' WHEN outcome = 'data_failure' THEN 'Paused. The claim is quarantined until the data gap is closed.'
-  WHEN outcome = 'attribution_conflict' THEN 'Another movement plausibly explains the change. No claim until it is resolved.' ELSE 'Withdrawn.' END"""
+_SENTENCE = f"""CASE WHEN outcome = 'pending' AND state = 'measuring' THEN 'Since ' || {_d('exec_on')} || ': ' || observed || '/' || observed_of || ' services; ' || CASE WHEN guardrails_passed < guardrails_total THEN 'a limit is broken' ELSE 'all limits hold' END || '; due ' || {_d('eligible_on')}
+  WHEN outcome = 'pending' THEN 'Decided ' || {_d('decided_on')} || '; starts ' || {_d('exec_on')}
+  WHEN outcome IN ('verified', 'verified_limited') THEN 'Effect ' || {usd_sql('abs(point)')} || ' per week; bookable ' || {usd_sql('bookable_cents')} || ' per week' || CASE WHEN persistence_status = 'holding' THEN '; still held' ELSE '' END
+  WHEN outcome = 'inconclusive' THEN 'The figures leave it open; booked $0' WHEN outcome = 'no_effect' THEN 'Effect ' || {usd_sql('abs(point)')} || ' per week; detectable from ' || {usd_sql('mde')} || '; booked $0'
+  WHEN outcome = 'negative' THEN 'Loss of ' || {usd_sql('abs(point)')} || ' per week; reversal advised' WHEN outcome = 'guardrail_failure' THEN 'A limit was broken; booked $0'
+  WHEN outcome = 'directional' THEN 'Effect ' || {usd_sql('point')} || ' per week; lower bound ' || {usd_sql('lower_bound')} || '; booked $0' WHEN outcome = 'data_failure' THEN 'Data incomplete; claim on hold'
+  WHEN outcome = 'attribution_conflict' THEN 'Cause disputed; claim on hold' ELSE 'Claim taken back' END"""
 
 
 @query("outcome_sentences", f"SELECT id AS intervention_id, {_SENTENCE} AS sentence FROM o_evals")
@@ -468,7 +468,7 @@ ORACLE_VIEWS["o_detector_guards"] = values_view([(k, g, i) for k, v in dims.DETE
 
 @query(
     "proposal_sentences",
-    f"""SELECT id, title || '. Could save approximately ' || {usd_sql('recoverable_cents')} || ' a week. We would watch ' || g || ' for 4 weeks.' AS sentence FROM o_qualified JOIN (
+    f"""SELECT id, title || '. Worth ' || {usd_sql('recoverable_cents')} || ' per week; limits for 4 weeks: ' || g AS sentence FROM o_qualified JOIN (
       SELECT detector, string_agg(replace(g, '_', ' '), ', ' ORDER BY pos) AS g FROM o_detector_guards GROUP BY detector) USING (detector)""",
 )
 def proposal_sentences(inp):

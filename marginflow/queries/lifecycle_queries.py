@@ -125,14 +125,14 @@ def scoped_findings(inp):
     return inp.records("rec_findings").filter(in_location_scope(["R1", "R3"])).select("id", "loc", "locs_key", "state")
 
 
-_DATA_TEXT = f"""CASE WHEN stale_n > 0 THEN 'stale' ELSE evidence_count || ' observations; source completeness ' || {fixed_sql('completeness * 100', 1)} || '% across ' || n_feeds || ' feeds.' END"""
+_DATA_TEXT = f"""CASE WHEN stale_n > 0 THEN 'stale' ELSE 'Points ' || evidence_count || '; feeds ' || n_feeds || '; complete ' || {fixed_sql('completeness * 100', 1)} || '%' END"""
 
 
 @query(
     "qualified_findings",
     tidy_sql(
         f"""SELECT *, t_data AND t_feasible AND t_worth AND t_overlap AS qualified, {_DATA_TEXT} AS data_text,
-        'Recoverable portion estimated at ' || {usd_sql('recoverable_cents')} || '/wk after removing what demand or capacity makes unrecoverable.' AS worth_text FROM o_qualified""",
+        'Recoverable per week: ' || {usd_sql('recoverable_cents')} AS worth_text FROM o_qualified""",
         keep="id qualified t_data t_feasible t_worth t_overlap data_text worth_text", ints="recoverable_cents ev_per_hour", doubles="completeness",
     ),
 )
