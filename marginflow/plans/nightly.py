@@ -36,8 +36,9 @@ EVALS = columns(
     "annual_run_rate_cents bigint, adjustment_cents bigint, weeks_booked bigint, observed bigint, org_id string"
 )
 ADJUSTMENTS = columns("id string, kind string, intervention_id string, loc string, cents bigint, status string, on_date date, original_cents bigint, weeks bigint, org_id string")
-AUDIT = columns("on_date date, actor string, entity_kind string, entity_id string, event string, from_state string, to_state string, reason string, org_id string")
-VERDICTS = columns("intervention_id string, as_of date, outcome string, bookable_cents bigint, org_id string")
+AUDIT = columns("on_date date, actor string, entity_kind string, entity_id string, event string, from_state string, to_state string, reason string, run bigint, org_id string")
+VERDICTS = columns("intervention_id string, as_of date, outcome string, bookable_cents bigint, run bigint, org_id string")
+EVENT_KEY = ("entity_kind", "entity_id", "event", "from_state", "to_state")
 SIDES = columns("intervention_id string, period string, status string, claim_cents bigint, observed_cents bigint, timing_cents bigint, unexplained_cents bigint, org_id string")
 RUNS = columns("as_of date, fired bigint, transitions bigint, notes string, org_id string")
 
@@ -66,12 +67,17 @@ def nightly(
 ) -> NightlyResult:
     """Detect, evaluate and record at ``as_of``. A second run on the same day changes nothing.
 
+    A run's number is the count of finished runs; its row in ``pipeline_runs`` is written last. Logs are written before
+    the records they tell of. A run that dies is repeated under its number: what it had logged stays and is not
+    logged again, and records it had not replaced are replaced.
+
     ``declarations``: plans of the tenant's interventions; ``accounting``: observed
     ledger movement (intervention_id, status, observed_cents, timing_cents, unexplained_cents).
     """
     today = to_date(as_of)
     tenant = F.col("org_id") == org
     record = lambda name, schema: store.read_records(spark, f"{path}/{name}", ddl(schema)).filter(tenant)
+    number = record("pipeline_runs", RUNS).count()
     if register_through is None:
         run = spark.range(1).select(F.lit(today).alias("as_of"), F.lit(0).alias("fired"), F.lit(0).alias("transitions"), F.lit("No register yet.").alias("notes"))
         store.append_log(_shape(run, RUNS, org), f"{path}/pipeline_runs")
@@ -128,11 +134,15 @@ def nightly(
     trail = events[0]
     for more in events[1:]:
         trail = trail.unionByName(more)
-    trail = durable(trail)
-    transitions = trail.count()
-
-    # Everything is computed; from here on only writes. Logs come last, so a run that
-    # dies half-way is repeated from the same inputs.
+    trail = durable(trail.withColumn("run", F.lit(number).cast("bigint")))
+
+    # Everything is computed; from here on only writes: logs first, then the records.
+    this_run = F.col("run") == number
+    store.append_once(trail, record("audit_events", AUDIT).filter(this_run), f"{path}/audit_events", EVENT_KEY)
+    transitions = record("audit_events", AUDIT).filter(this_run).count()
+    if verdicts is not None:
+        verdicts = durable(verdicts.withColumn("run", F.lit(number).cast("bigint")))
+        store.append_once(verdicts, record("verification_results", VERDICTS).filter(this_run), f"{path}/verification_results", ("intervention_id", "outcome"))
     store.replace_partition(store.upsert_records(before, live, ["id"]), f"{path}/findings")
     if declarations is not None:
         lo, hi = closed_period_for(today)
@@ -142,8 +152,6 @@ def nightly(
             claims = ledger.accrual_in_period(evals, today, lo, hi).filter(F.col("period_cents") > 0)
             booked = claims.join(accounting, "intervention_id").withColumn("claim_cents", F.col("period_cents")).withColumn("period", F.lit(lo.strftime("%Y-%m")))
             store.replace_tenant(_shape(booked, SIDES, org), f"{path}/ledger_sides", org)
-        store.append_log(verdicts, f"{path}/verification_results")
-    store.append_log(trail, f"{path}/audit_events")
     run = spark.range(1).select(
         F.lit(today).alias("as_of"), F.lit(fired).alias("fired"), F.lit(transitions).alias("transitions"), F.lit(f"{transitions} transitions.").alias("notes")
     )
@@ -158,8 +166,5 @@ def land_and_run(
     now, then = to_date(current), to_date(to_day)
     if then <= now:
         raise ValueError(f"the clock only moves forward ({now} → {then})")
-    services = reg.load_table(spark, path, "services", org)
-    invoices = reg.load_table(spark, path, "invoices", org)
-    marks = reg.high_water_marks(services, invoices, now).first()
-    reg.land_increment(rows, path, org, marks["last_date"], marks["last_week"])
+    reg.land_increment(rows, path, org, reg.landed_marks(spark, path, org))
     return nightly(spark, path, org, then, then - dt.timedelta(days=1), declarations, feed_rows, **options)

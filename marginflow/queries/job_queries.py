@@ -37,10 +37,14 @@ _SERVICE_COLS = "loc daypart"
     tidy_sql("SELECT loc, date, daypart, covers, net_cents FROM services", keep=_SERVICE_COLS, ints="covers net_cents", dates="date"),
 )
 def land_increment(inp):
-    """Register through a date plus the increment of a full delivery: every row once."""
-    full = services(inp).select("loc", "date", "daypart", "covers", "net_cents")
-    stored = full.filter(F.col("date") <= dates.day(CUT))
-    return tidy(stored.unionByName(reg.increment(full, "date", CUT)))
+    """A register through a date, then the full delivery landed twice: every row is stored once."""
+    full = durable(services(inp).select("loc", "date", "daypart", "covers", "net_cents"))
+    spark = full.sparkSession
+    path = f"{scratch_dir(spark)}/register-{uuid.uuid4().hex}"
+    reg.land_increment({"services": full.filter(F.col("date") <= dates.day(CUT))}, path, "o1")
+    for _ in range(2):
+        reg.land_increment({"services": full}, path, "o1", reg.landed_marks(spark, path, "o1"))
+    return tidy(reg.load_table(spark, path, "services", "o1").select("loc", "date", "daypart", "covers", "net_cents"))
 
 
 @query(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.dates import to_date, week_of
 from ..schemas import REGISTER_TABLES, ddl
 from ..session import attach
+from .store import read_records
 
 # Fact tables and their date column; they are laid out by tenant and week.
 FACTS = {"services": "date", "item_days": "date", "shifts": "date", "invoices": "week", "reservation_days": "date"}
@@ -39,14 +41,29 @@ def increment(rows: DataFrame, date_column: str, after: dt.date | str | None) ->
     return rows if after is None else rows.filter(F.col(date_column) > F.lit(to_date(after)))
 
 
-def land_increment(tables: dict[str, DataFrame], path: str, org: str, after_date=None, after_week=None) -> None:
-    """Appends facts past the marks, partitioned by tenant and week. Landing the same rows twice adds nothing."""
+def landed_marks(spark: SparkSession, path: str, org: str) -> dict[str, dt.date | None]:
+    """The newest date that each fact table holds; one row per table comes to the driver.
+
+    Each table has a mark of its own, so a landing that died between two tables goes on where each of them stopped.
+    """
+    parts = []
+    for name, column in FACTS.items():
+        stored = read_records(spark, f"{path}/{name}", table_schema(name)).filter(F.col("org_id") == org)
+        parts.append(stored.agg(F.max(column).alias("mark")).select(F.lit(name).alias("table"), "mark"))
+    return {r["table"]: r["mark"] for r in reduce(DataFrame.unionByName, parts).collect()}
+
+
+def land_increment(tables: dict[str, DataFrame], path: str, org: str, marks: dict[str, dt.date | None] | None = None) -> None:
+    """Appends the facts past each table's mark, partitioned by tenant and week. Landing the same rows twice adds nothing.
+
+    Rows are rebalanced by partition, so a task opens few files and AQE splits a large week.
+    """
     for name, rows in tables.items():
         column = FACTS[name]
-        fresh = increment(rows, column, after_week if name == "invoices" else after_date).withColumn("org_id", F.lit(org))
+        fresh = increment(rows, column, (marks or {}).get(name)).withColumn("org_id", F.lit(org))
         if name != "invoices":
             fresh = fresh.withColumn("week", week_of("date"))
-        fresh.write.mode("append").partitionBy("org_id", "week").parquet(f"{path}/{name}")
+        fresh.hint("rebalance", "org_id", "week").write.mode("append").partitionBy("org_id", "week").parquet(f"{path}/{name}")
 
 
 def write_dimension(rows: DataFrame, path: str, name: str, org: str) -> None:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,9 +27,12 @@ def restate_adjustments(target: DataFrame, updates: DataFrame) -> DataFrame:
 
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A record table, empty if it was never written."""
-    target = spark._jvm.org.apache.hadoop.fs.Path(path)
-    exists = target.getFileSystem(spark._jsc.hadoopConfiguration()).exists(target)
-    return spark.read.schema(schema).parquet(path) if exists else spark.createDataFrame([], schema)
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
 def replace_partition(rows: DataFrame, path: str, partition: Sequence[str] = ("org_id",)) -> None:
@@ -50,6 +54,15 @@ def append_log(rows: DataFrame, path: str, partition: Sequence[str] = ("org_id",
     rows.write.mode("append").partitionBy(*partition).parquet(path)
 
 
+def append_once(rows: DataFrame, logged: DataFrame, path: str, keys: Sequence[str], partition: Sequence[str] = ("org_id",)) -> None:
+    """Appends the rows whose keys, nulls included, are not in ``logged`` yet: what a run wrote before it died is not written again."""
+    old = logged.select(*(F.col(k).alias(f"_{k}") for k in keys)).distinct()
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    append_log(rows.join(old, same, "left_anti"), path, partition)
+
+
 def list_findings(findings: DataFrame, state: str | None = None, historical: bool | None = None, limit: int | None = None) -> DataFrame:
     """Findings by recoverable cents, largest first."""
     rows = findings

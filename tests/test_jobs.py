@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from marginflow.operators import feeds as feed_ops
 from marginflow.operators import spc
 from marginflow.plans import detect, evaluate
+from marginflow.plans import nightly as nightly_module
 from marginflow.plans.nightly import land_and_run, nightly
 from marginflow.session import durable
 from marginflow.sources import register as reg
@@ -111,6 +112,39 @@ def test_nightly_is_idempotent_and_lands_forward(spark, stored, register):
     assert spark.read.parquet(f"{path}/pipeline_runs").count() == 5
 
 
+def test_a_dead_run_is_finished_without_loss(spark, stored, register, monkeypatch):
+    """The other tenant's job dies after its logs and its findings; repeated, it leaves what the first tenant's whole run left."""
+    path, facts, cut = stored
+    decl, feed_rows = fx.declarations(spark), fx.feed_rows(spark)
+    whole = nightly_module.store.replace_partition
+
+    def dies(rows, target, *more):
+        if target.endswith("/evaluations"):
+            raise RuntimeError("lost")
+        whole(rows, target, *more)
+
+    monkeypatch.setattr(nightly_module.store, "replace_partition", dies)
+    with pytest.raises(RuntimeError):
+        nightly(spark, path, "o2", cut, cut - dt.timedelta(days=1), decl, feed_rows)
+    monkeypatch.undo()
+    nightly(spark, path, "o2", cut, cut - dt.timedelta(days=1), decl, feed_rows)
+    for name, keys in (("audit_events", nightly_module.EVENT_KEY), ("verification_results", ("intervention_id", "outcome")), ("findings", ("id",)), ("evaluations", ("intervention_id", "outcome"))):
+        table = spark.read.parquet(f"{path}/{name}").filter(F.col("run") == 0 if name in ("audit_events", "verification_results") else F.lit(True))
+        sides = {org: sorted(table.filter(F.col("org_id") == org).select(*keys).collect(), key=str) for org in ("o1", "o2")}
+        assert sides["o2"] and (sides["o1"] == sides["o2"] or name in ("findings", "evaluations"))
+        assert len(set(sides["o2"])) == len(sides["o2"])
+    assert spark.read.parquet(f"{path}/pipeline_runs").filter("org_id = 'o2'").count() == 1
+
+
+def test_a_dead_landing_goes_on_where_each_table_stopped(spark, stored):
+    path, facts, cut = stored
+    reg.land_increment({"services": facts["services"]}, path, "o2", reg.landed_marks(spark, path, "o2"))
+    reg.land_increment(facts, path, "o2", reg.landed_marks(spark, path, "o2"))
+    for name, rows in facts.items():
+        assert reg.load_table(spark, path, name, "o2").count() == rows.count(), name
+    assert reg.landed_marks(spark, f"{path}/nothing", "o2") == dict.fromkeys(reg.FACTS)
+
+
 def test_landing_the_same_rows_twice_adds_nothing(spark):
     path = tempfile.mkdtemp(prefix="marginflow-test-")
     rows = spark.range(10).withColumn("v", F.col("id") * 2)
