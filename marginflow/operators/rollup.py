@@ -187,12 +187,23 @@ def recipe_cost_as_of(rows: DataFrame, recipe_costs: DataFrame, date: str = "dat
     )
 
 
+def _row_text(df: DataFrame) -> Column:
+    kinds = dict(df.dtypes)
+    text = lambda name: F.floor(F.col(name) * 1e6 + 0.5).cast("string") if kinds[name] in ("double", "float") else F.col(name).cast("string")
+    return F.concat_ws("|", *(F.coalesce(text(name), F.lit("null")) for name in sorted(df.columns)))
+
+
 def fingerprint(**tables: DataFrame) -> DataFrame:
-    """Row count and order-free content hash per table."""
+    """Row count and order-free content hash per table.
+
+    A row's hash is the first 48 bits of the MD5 of its values in column order by name, as text, doubles to six digits.
+    Hashes are added, so a repeated row counts as often as it occurs.
+    """
+    value = F.conv(F.substring(F.md5("row"), 1, 12), 16, 10).cast("decimal(38,0)")
     parts: Sequence[DataFrame] = [
-        df.select(F.lit(name).alias("table"), F.xxhash64(*sorted(df.columns)).alias("h"))
+        df.select(F.lit(name).alias("table"), _row_text(df).alias("row"))
         .groupBy("table")
-        .agg(F.count(F.lit(1)).alias("rows"), F.bit_xor("h").alias("content_hash"))
+        .agg(F.count(F.lit(1)).alias("rows"), F.pmod(F.sum(value), F.lit(1 << 60)).cast("bigint").alias("content_hash"))
         for name, df in tables.items()
     ]
     out = parts[0]

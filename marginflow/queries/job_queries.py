@@ -11,7 +11,7 @@ from ..functions import dates
 from ..functions.collections import from_document, to_document
 from ..operators import quality, report
 from ..plans import detect, evaluate
-from ..session import durable
+from ..session import durable, scratch_dir
 from ..sources import register as reg
 from ..sources import store
 from ..streaming.cusum import stream_cusum as live_cusum
@@ -122,7 +122,7 @@ ORACLE_VIEWS["o_passed"] = """SELECT *, greatest(0, floor(exposure_cents * facto
     "detection_pass",
     tidy_sql(
         """SELECT *, floor(recoverable_cents * p_verify * 0.85 / greatest(effort, 0.25) + 0.5) AS ev_per_hour, t_data AND exposure_cents >= 6000 AS qualified,
-        CASE WHEN detector = 'TKT' OR NOT t_data THEN 'data_insufficient' WHEN exposure_cents < 6000 THEN 'detected' ELSE 'awaiting_decision' END AS state FROM o_passed""",
+        CASE WHEN detector = 'CMP' THEN 'accepted' WHEN detector = 'TKT' OR NOT t_data THEN 'data_insufficient' WHEN exposure_cents < 6000 THEN 'detected' ELSE 'awaiting_decision' END AS state FROM o_passed""",
         keep="id detector loc overlap_status qualified state", ints="exposure_cents overlap_cents recoverable_cents ev_per_hour",
     ),
 )
@@ -130,7 +130,14 @@ def detection_pass(inp):
     r = evaluate.Register(
         durable(services(inp)), durable(item_days(inp)), inp.view("reg_invoices"), inp.menu(), durable(role_shifts(inp)), inp.view("reg_skus"), inp.view("reg_dayparts"), inp.view("reg_locations")
     )
-    out = detect.detection_pass(r, feed_table(inp), AS_OF, inp.view("rec_prior").limit(0), ROLES, RELAXED)
+    # Every comps finding was known before and accepted; the others are new.
+    known = r.services.select("loc", "daypart").distinct().withColumn("id", F.concat_ws("-", F.lit("F-CMP"), "loc", "daypart"))
+    none = lambda name, kind: F.lit(None).cast(kind).alias(name)
+    prior = known.select(
+        "id", F.lit("accepted").alias("state"), none("state_reason", "string"), none("detected_on", "date"), none("decision_opened_on", "date"), none("expires_on", "date"),
+        none("converted_to", "string"),
+    )
+    out = detect.detection_pass(r, feed_table(inp), AS_OF, prior, ROLES, RELAXED)
     return tidy(out.select("id", "detector", "loc", "exposure_cents", "overlap_status", "overlap_cents", "recoverable_cents", "ev_per_hour", "qualified", "state"))
 
 

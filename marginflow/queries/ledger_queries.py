@@ -100,17 +100,18 @@ _VER = "(bookable_cents IS NOT NULL OR reversed_claim_cents IS NOT NULL)"
           SELECT scope, 0 AS pos, 'Detected' AS stage, count(*) AS n, sum({cents_in('exposure_cents')}) AS cents FROM o_ff GROUP BY scope
           UNION ALL SELECT scope, 1, 'Qualified', count(*), sum({cents_in('rec')}) FROM o_ff WHERE t_data AND t_feasible AND t_worth AND t_overlap GROUP BY scope
           UNION ALL SELECT scope, 2, 'Accepted', count(*), sum({cents_in('rec')}) FROM o_ff WHERE state IN ('accepted', 'converted') OR id IN (SELECT finding_id FROM rec_evals WHERE k % 2 = 0) GROUP BY scope
-          UNION ALL SELECT scope, 3, 'Executed', count(*), sum({cents_in('projected_cents')}) FROM o_ef WHERE k % 2 = 0 AND {_RAN} GROUP BY scope
-          UNION ALL SELECT scope, 4, 'Measured', count(*), sum({cents_in('measured')}) FROM o_ef WHERE k % 2 = 0 AND window_closed AND point IS NOT NULL GROUP BY scope
-          UNION ALL SELECT scope, 5, 'Verified', count(*), sum({cents_in('coalesce(bookable_cents, reversed_claim_cents)')}) FROM o_ef WHERE k % 2 = 0 AND {_VER} GROUP BY scope
-          UNION ALL SELECT scope, 6, 'Persistent', count(*), sum({cents_in('coalesce(bookable_cents, 0)')}) FROM o_ef WHERE k % 2 = 0 AND {_VER} AND {LASTING} GROUP BY scope
-          UNION ALL SELECT scope, 7, 'Reconciled', count(*), sum({cents_in('side_cents')}) FROM o_ef WHERE k % 2 = 0 AND {_VER} AND side_status = 'reconciled' GROUP BY scope)""",
+          UNION ALL SELECT scope, 3, 'Executed', count(*), sum({cents_in('projected_cents')}) FROM o_ef WHERE {_RAN} GROUP BY scope
+          UNION ALL SELECT scope, 4, 'Measured', count(*), sum({cents_in('measured')}) FROM o_ef WHERE window_closed AND point IS NOT NULL GROUP BY scope
+          UNION ALL SELECT scope, 5, 'Verified', count(*), sum({cents_in('coalesce(bookable_cents, reversed_claim_cents)')}) FROM o_ef WHERE {_VER} GROUP BY scope
+          UNION ALL SELECT scope, 6, 'Persistent', count(*), sum({cents_in('coalesce(bookable_cents, 0)')}) FROM o_ef WHERE {_VER} AND {LASTING} GROUP BY scope
+          UNION ALL SELECT scope, 7, 'Reconciled', count(*), sum({cents_in('side_cents')}) FROM o_ef WHERE {_VER} AND side_status = 'reconciled' GROUP BY scope)""",
         keep="scope stage", ints="pos n cents lost",
     ),
 )
 def funnel(inp):
-    half = evals(inp).filter("k % 2 = 0")
-    out = ledger.funnel(findings(inp), half, sides(inp), inp.view("reg_locations"))
+    # Every other evaluation names a finding that is not in the list, so some findings have none.
+    linked = F.when(F.col("k") % 2 == 0, F.col("finding_id")).otherwise(F.lit("none"))
+    out = ledger.funnel(findings(inp), evals(inp).withColumn("finding_id", linked), sides(inp), inp.view("reg_locations"))
     return tidy(out.select("scope", "stage", "pos", "n", "cents", F.coalesce("lost", F.lit(0)).alias("lost")))
 
 

@@ -92,8 +92,21 @@ def recipe_cost_as_of(inp):
     return tidy(out.select("loc", "date", "daypart", "item", "recipe_cost_cents"))
 
 
-@query("fingerprint")
+_SERVICE_KINDS = dict(
+    keep="loc daypart holiday", ints="dow covers turned_away gross_cents comps_cents net_cents cogs_cents labor_cents capacity",
+    doubles="hours ticket_min rating constrained_share", dates="date",
+)
+_INVOICE_KINDS = dict(keep="loc sku vendor", ints="unit_price_cents extended_cents", doubles="qty", dates="week")
+
+
+def _hash_sql(name: str, source: str, kinds: dict[str, str]) -> str:
+    doubles = kinds["doubles"].split()
+    text = lambda c: f"CAST(floor({c} * 1e6 + 0.5) AS BIGINT)" if c in doubles else c
+    values = ", ".join(f"coalesce(CAST({text(c)} AS VARCHAR), 'null')" for c in sorted(" ".join(kinds.values()).split()))
+    return f"""SELECT '{name}' AS "table", count(*) AS rows, CAST(sum(CAST('0x' || substr(md5(concat_ws('|', {values})), 1, 12) AS BIGINT)) % {1 << 60} AS BIGINT) AS content_hash
+      FROM ({tidy_sql(f"SELECT * FROM {source}", **kinds)})"""
+
+
+@query("fingerprint", f"{_hash_sql('services', 'services', _SERVICE_KINDS)} UNION ALL {_hash_sql('invoices', 'reg_invoices', _INVOICE_KINDS)}")
 def fingerprint(inp):
-    return rollup.fingerprint(services=services(inp).drop("rating"), invoices=inp.view("reg_invoices")).select(
-        F.col("table"), "rows", "content_hash"
-    )
+    return rollup.fingerprint(services=tidy(services(inp)), invoices=tidy(inp.view("reg_invoices"))).select("table", "rows", "content_hash")

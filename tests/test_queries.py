@@ -36,7 +36,7 @@ def test_query_equals_sql(spark, con, name):
 
 def test_every_oracle_has_its_query():
     assert set(ORACLES) <= set(QUERIES)
-    assert set(QUERIES) - set(ORACLES) == {"fingerprint"}
+    assert set(QUERIES) == set(ORACLES)
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="test tables are not here")
