@@ -24,6 +24,8 @@ from .common import BLANK, BLANKS, group_key, join_sized, let, text_of, without
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
+#: Good labels that may be broadcast, as one id each.
+BROADCAST_LABELS = 1_000_000
 ALPHA = 0.02
 DELTA = 0.05
 #: Each rule's cutoffs from the mildest to the strictest; a document fails above its cutoff.
@@ -107,14 +109,18 @@ def binomial_tail(k: Column, n: Column, rate: float) -> Column:
     return F.exp(F.aggregate(steps, first, add)["sum"])
 
 
+def good_ids(labels: DataFrame) -> DataFrame:
+    """The documents that labels call good, once each."""
+    return labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
+
+
 def cutoffs(features: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
     """The certified cutoff of each stratum and rule, from the labelled good documents that pass the base rules.
 
     Only counts by stratum, rule and first cutoff exceeded are shuffled, after partial sums. A rule's share of the risk
     is ``alpha`` over the rules; its share of the error probability is ``delta`` over strata times rules.
     """
-    good = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull()).select("doc_id").distinct()
-    held = features.where(~F.col("base_failed")).join(good, "doc_id", "left_semi")
+    held = features.where(~F.col("base_failed")).join(good_ids(labels), "doc_id", "left_semi")
     levels = F.explode(F.array(*(F.struct(F.lit(name).alias("rule"), sum((F.col(name) <= c).cast("int") for c in cuts).alias("safe")) for name, cuts in RULES.items())))
     counts = held.select(group_key(stratum).alias("stratum"), levels.alias("_l")).groupBy("stratum", "_l.rule", "_l.safe").agg(F.count(F.lit(1)).alias("n"))
     # safe: how many cutoffs, from the mildest on, the document passes; it is rejected by every later one.
@@ -144,6 +150,13 @@ def apply_cutoffs(rows: DataFrame, chosen: DataFrame, stratum: str = "lang") ->
 
 
 def judge(docs: DataFrame, labels: DataFrame, stratum: str = "lang", alpha: float = ALPHA, delta: float = DELTA) -> DataFrame:
-    """Adds the measures, base_failed and kept. Texts are measured twice, so that only narrow rows are made durable."""
-    narrow = durable(measured(docs).select("doc_id", stratum, *RULES, "base_failed"))
+    """Adds the measures, base_failed and kept.
+
+    Cutoffs need the measures of labelled good documents only, so no other text is measured for them; with more labels
+    than may be broadcast all are, which shuffles no text either. Only narrow rows are made durable.
+    """
+    good = durable(good_ids(labels))
+    few = good.limit(BROADCAST_LABELS + 1).count() <= BROADCAST_LABELS
+    labelled = docs.join(F.broadcast(good), "doc_id", "left_semi") if few else docs
+    narrow = durable(measured(labelled).select("doc_id", stratum, *RULES, "base_failed"))
     return apply_cutoffs(measured(docs), cutoffs(narrow, labels, stratum, alpha, delta), stratum)
