@@ -7,6 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .quality import ALPHA, DELTA, RULES
+
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 LLM_ORACLES: dict[str, str] = {}
 
@@ -132,7 +134,54 @@ def op6_url_filter(spark, sf_dir):
     return judge_urls(pages, repeated_urls(pages)).select("page_id", "host", "path", "rule", "verdict")
 
 
-@register("op10_quality_rules")
+#: The ladder of each quality rule as SQL rows.
+_LADDER = ", ".join(f"('{name}', {step}, {cutoff} :: DOUBLE)" for name, cuts in RULES.items() for step, cutoff in enumerate(cuts))
+
+
+@register(
+    "op10_quality_rules",
+    rf"""
+WITH docs AS (
+    SELECT row_number() OVER () AS r, doc_id, coalesce('=' || lang, 'null') AS stratum, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words,
+        list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+    FROM documents
+), placed AS (
+    SELECT r, unnest(words) AS word, generate_subscripts(words, 1) AS pos, len(words) AS n FROM docs
+), windows AS (
+    SELECT r, pos, n, string_agg(word, ' ') OVER (PARTITION BY r ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS w FROM placed
+), repeated AS (
+    SELECT r, pos FROM (SELECT r, pos, count(*) OVER (PARTITION BY r, w) AS k FROM windows WHERE pos + 7 <= n) WHERE k > 1
+), covered AS (
+    SELECT r, sum(step) AS n FROM (SELECT r, least(8, coalesce(lead(pos) OVER (PARTITION BY r ORDER BY pos) - pos, 8)) AS step FROM repeated) GROUP BY r
+), counted AS (
+    SELECT d.r, doc_id, stratum, CAST(len(words) AS BIGINT) AS n_words, CAST(length(array_to_string(words, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+        CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, len(lines) AS n_lines, CAST(coalesce(c.n, 0) AS BIGINT) AS n_repeat_words, len(regexp_extract_all(text, '\p{{Lu}}')) AS capitals
+    FROM docs d LEFT JOIN covered c ON d.r = c.r
+), based AS (
+    SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM counted
+), valued AS (
+    SELECT r, doc_id, stratum, base_failed, unnest(['symbols_per_word', 'capital_share', 'duplicate_line_share', 'repeat_word_share', 'chars_per_word']) AS rule,
+        coalesce(unnest([n_symbols / nullif(n_words, 0), capitals / nullif(word_chars, 0), n_dup_lines / nullif(n_lines, 0), n_repeat_words / nullif(n_words, 0), word_chars / nullif(n_words, 0)]), 0) AS x
+    FROM based
+), held AS (
+    SELECT * FROM valued WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1 AND doc_id IS NOT NULL)
+), ladder(rule, step, cutoff) AS (
+    VALUES {_LADDER}
+), tried AS (
+    SELECT stratum, h.rule, step, cutoff, count(*) AS n, count(*) FILTER (x > cutoff) AS k FROM held h JOIN ladder l ON h.rule = l.rule GROUP BY ALL
+), tested AS (
+    SELECT *, k < {ALPHA} / {len(RULES)} * n AND list_sum(list_transform(range(0, k + 1),
+            lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({ALPHA / len(RULES)} :: DOUBLE) + (n - i) * ln(1 - {ALPHA / len(RULES)} :: DOUBLE))))
+        <= {DELTA} :: DOUBLE / ({len(RULES)} * (SELECT count(DISTINCT stratum) FROM held)) AS passes
+    FROM tried
+), certified AS (
+    SELECT stratum, rule, min(cutoff) AS cutoff FROM (SELECT *, bool_and(passes) OVER (PARTITION BY stratum, rule ORDER BY step) AS so_far FROM tested) WHERE so_far GROUP BY stratum, rule
+), rejected AS (
+    SELECT DISTINCT r FROM valued v JOIN certified c ON v.stratum = c.stratum AND v.rule = c.rule WHERE x > cutoff
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND r NOT IN (SELECT r FROM rejected) AS kept FROM based
+""",
+)
 def op10_quality_rules(spark, sf_dir):
     from ..session import durable
     from .quality import apply_cutoffs, cutoffs, measured
@@ -151,7 +200,19 @@ def op2_ngram_jaccard_join(spark, sf_dir):
     return jaccard_join(table(spark, sf_dir, "documents"), ngram=4, percent=85).select("doc_id", "n_shingles", "component_id")
 
 
-@register("op4_warc_round_trip")
+@register(
+    "op4_warc_round_trip",
+    """
+WITH payloads AS (
+    SELECT page_id, coalesce(html, '') AS body, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages
+), shared AS (
+    SELECT body, max(page_id) AS page FROM payloads WHERE payload_bytes >= 1000 GROUP BY body HAVING count(*) > 1
+), typed AS (
+    SELECT p.*, CASE WHEN page IS NOT NULL AND page_id IS DISTINCT FROM page THEN page END AS refers_to FROM payloads p LEFT JOIN shared s ON p.body = s.body
+)
+SELECT page_id, payload_bytes, sha1(body) AS payload_digest, CASE WHEN refers_to IS NULL THEN 'response' ELSE 'revisit' END AS record_type, refers_to FROM typed
+""",
+)
 def op4_warc_round_trip(spark, sf_dir):
     from .warc import round_trip
 
