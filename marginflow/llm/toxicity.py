@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 
 WINDOW = 64
 STRIDE = 48
+#: A longer run without blanks is cut into tokens of so many bytes; neighbours share ``SHARED``, so no four-gram is lost.
+LONGEST = 40
+SHARED = 3
 WORD_BUCKETS = 1 << 14
 CHAR_BUCKETS = 1 << 15
 INPUT = 12
@@ -65,8 +68,13 @@ class Vocabulary(dict):
 
 
 def tokens(text: str | None) -> list[bytes]:
-    """Lower-cased words; only the first 40 bytes of a run without blanks tell words apart."""
-    return [w[:40] for w in (text or "").lower().encode("utf-8", "surrogatepass").split()] or [PAD]
+    """Lower-cased words; a run of over ``LONGEST`` bytes without blanks is several tokens, which hold all its bytes and four-grams."""
+    words = (text or "").lower().encode("utf-8", "surrogatepass").split()
+    if not words:
+        return [PAD]
+    if max(map(len, words)) <= LONGEST:
+        return words
+    return [w[k : k + LONGEST] for w in words for k in range(0, max(1, len(w) - SHARED), LONGEST - SHARED)]
 
 
 def windows(n: int) -> np.ndarray:

@@ -14,7 +14,7 @@ from marginflow.llm.packing import exact_cluster, pack_documents
 from marginflow.llm.quality import apply_cutoffs, binomial_tail, cutoffs, measured
 from marginflow.llm.sharding import shard
 from marginflow.llm.spotsigs import edited_fingerprints
-from marginflow.llm.toxicity import score_documents, train
+from marginflow.llm.toxicity import score_documents, tokens, train
 from marginflow.llm.urls import judge_urls
 from marginflow.llm.warc import round_trip
 
@@ -148,3 +148,18 @@ def test_toxicity_learns_marked_words(spark):
     got = {r["doc_id"]: r["score"] for r in score_documents(rows, net).collect()}
     held = [i for i in got if i % 5 == 0 and i < 900]
     assert sum((got[i] >= 0.5) == (i >= 100) for i in held) >= 0.9 * len(held) and all(0 <= s <= 1 for s in got.values())
+
+
+def test_toxicity_reads_long_runs_to_their_end(spark):
+    for n in (1, 40, 41, 43, 44, 77, 78, 1000):
+        run = "".join(chr(97 + i * i % 23) for i in range(n))
+        parts = tokens(f"a {run} b")[1:-1]
+        assert all(len(p) <= 40 for p in parts) and parts[0] + b"".join(p[3:] for p in parts[1:]) == run.encode()
+        assert {run[i : i + 4].encode() for i in range(n - 3)} <= {p[i : i + 4] for p in parts for i in range(len(p) - 3)}
+    plain = [(i, f"the {i} and of to word{i % 7} in that", 0) for i in range(60)]
+    marked = [(100 + i, f"the {i} and of idiot word{i % 7} moron", 1) for i in range(60)]
+    net = train(rows := spark.createDataFrame(plain + marked, "doc_id long, text string, toxic int"), rows)
+    joined = "_the_and_of_to_in_that" * 40
+    pairs = [(1, joined), (2, joined + "_idiot_moron"), (3, "\u7684" * 300), (4, "\u7684" * 300 + "idiot\u00a0moron")]
+    got = {r["doc_id"]: r["score"] for r in score_documents(spark.createDataFrame(pairs, "doc_id long, text string"), net).collect()}
+    assert got[2] > got[1] and got[4] > got[3]
