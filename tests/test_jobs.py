@@ -171,6 +171,29 @@ def test_stream_monitor_over_many_batches(spark):
         assert got[r["series"], r["at"]] == (pytest.approx(r["s_hi"], abs=1e-9), pytest.approx(r["s_lo"], abs=1e-9))
 
 
+def test_stream_monitor_short_late_and_disordered(spark):
+    """Points in any order within the delay, a short and a single-point series, and one point that comes too late."""
+    folder = tempfile.mkdtemp(prefix="marginflow-test-")
+    start = dt.datetime(2026, 1, 1)
+    rows = [(s, start + dt.timedelta(hours=i), float((i * 37 + 11) % 17)) for s, n in (("a", 90), ("short", 5), ("one", 1)) for i in range(n)]
+    points = spark.createDataFrame(rows, "series string, at timestamp, v double")
+    hour = (F.unix_seconds("at") - F.unix_seconds(F.lit(start))) / 3600
+    mark = spark.createDataFrame([(None, start + dt.timedelta(days=60), None)], points.schema)
+    late = spark.createDataFrame([("a", start + dt.timedelta(hours=1, minutes=30), 5.0)], points.schema)
+    turn = F.floor((hour + F.pmod(hour * 7, F.lit(10))) / 40)
+    for part in (*(points.filter(turn == n).orderBy(F.desc("at")).coalesce(1) for n in range(3)), late, mark):
+        part.coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    live = spark.readStream.schema(points.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    stream_to_parquet(stream_cusum(live, delay="12 hours"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    found = spark.read.parquet(f"{folder}/out").collect()
+    assert [(r["series"], r["at"], r["v"], r["s_hi"]) for r in found if r["signal"] == "late"] == [("a", start + dt.timedelta(hours=1, minutes=30), 5.0, None)]
+    got = {(r["series"], r["at"]): (r["s_hi"], r["s_lo"]) for r in found if r["signal"] != "late"}
+    chart = spc.cusum_chart(points.withColumn("date", F.col("at")), ["series"]).collect()
+    assert len(found) == len(rows) + 1 and len(got) == len(chart) == len(rows)
+    for r in chart:
+        assert got[r["series"], r["at"]] == (pytest.approx(r["s_hi"], abs=1e-9), pytest.approx(r["s_lo"], abs=1e-9))
+
+
 def test_stream_rollup_holds_back_open_days(spark):
     folder = tempfile.mkdtemp(prefix="marginflow-test-")
     start = dt.datetime(2026, 1, 1, 12)
