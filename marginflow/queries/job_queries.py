@@ -18,6 +18,7 @@ from ..sources import store
 from ..streaming.cusum import stream_cusum as live_cusum
 from ..streaming.land import stream_land as start_landing
 from ..streaming.land import stream_to_parquet
+from ..streaming.rollup import service_sums, stream_service_sums
 from ..streaming.rollup import stream_service_rollup as live_rollup
 from .detector_queries import CMP_BODY, LAB_BODY, MIX_BODY, POR_BODY, PPV_BODY, PRC_BODY, RELAXED, ROLES, TKT_BODY
 from .ledger_queries import evals
@@ -222,6 +223,22 @@ def stream_service_rollup(inp):
     return tidy(spark.read.schema(live.schema).parquet(f"{folder}/out"))
 
 
+@query(
+    "stream_service_days",
+    tidy_sql(
+        "SELECT loc, business_date AS date, daypart, sum(guest_count) AS covers, sum(subtotal_cents) + sum(comp_cents) AS gross_cents, sum(comp_cents) AS comps_cents, sum(subtotal_cents) AS net_cents FROM reg_checks WHERE NOT voided GROUP BY ALL",
+        keep="loc daypart", ints="covers gross_cents comps_cents net_cents", dates="date",
+    ),
+)
+def stream_service_days(inp):
+    """Streamed sums of the checks, delivered in no order over several batches, equal to the batch roll-up on every service day."""
+    spark = inp.spark
+    folder = run_folder(spark)
+    rows = check_rows(inp).select("loc", "daypart", "closed_at", "guest_count", "comp_cents", "subtotal_cents", "voided")
+    stream_service_sums(replay(spark, rows.repartition(12), folder, "checks"), f"{folder}/sums", f"{folder}/state").awaitTermination()
+    return tidy(service_sums(spark, f"{folder}/sums"))
+
+
 @query("stream_land", tidy_sql("SELECT id, loc, guest_count FROM reg_checks", keep="loc", ints="id guest_count"))
 def stream_land(inp):
     """Checks landed from a delivery that repeats a part of itself: every check once."""

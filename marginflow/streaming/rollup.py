@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.store import read_records
+
+KEY = ["loc", "date", "daypart"]
+SUMS = "loc string, date date, daypart string, covers bigint, comps_cents bigint, net_cents bigint"
+
 
 def stream_service_rollup(checks: DataFrame, delay: str = "1 day") -> DataFrame:
     """Check measures per room, daypart and business day.
 
     The state holds one row per open (day, room, daypart); a day leaves it once the
-    watermark has passed, and later rows are dropped.
+    watermark has passed, and later rows are dropped. ``stream_service_sums`` does neither.
     """
     day = F.window("closed_at", "1 day")
     return (
@@ -22,3 +27,24 @@ def stream_service_rollup(checks: DataFrame, delay: str = "1 day") -> DataFrame:
             "loc", F.to_date("_w.start").alias("date"), "daypart", "covers", (F.col("net_cents") + F.col("comps_cents")).alias("gross_cents"), "comps_cents", "net_cents"
         )
     )
+
+
+def stream_service_sums(checks: DataFrame, path: str, checkpoint: str):
+    """Starts adding up what has arrived, for ``service_sums``, and stops when it is added.
+
+    Each batch leaves its sums per room, daypart and business day in a folder of its own, which a repeated batch
+    writes anew. There is no watermark: open days are there at once, and a check counts however late it comes.
+    """
+
+    def add(batch: DataFrame, n: int) -> None:
+        rows = batch.filter(~F.col("voided")).groupBy("loc", F.to_date("closed_at").alias("date"), "daypart")
+        sums = rows.agg(F.sum("guest_count").alias("covers"), F.sum("comp_cents").alias("comps_cents"), F.sum("subtotal_cents").alias("net_cents"))
+        sums.write.mode("overwrite").parquet(f"{path}/batch={n}")
+
+    return checks.writeStream.foreachBatch(add).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def service_sums(spark: SparkSession, path: str) -> DataFrame:
+    """Check measures per room, daypart and business day of all batches so far."""
+    total = read_records(spark, path, SUMS).groupBy(*KEY).agg(*(F.sum(c).alias(c) for c in ("covers", "comps_cents", "net_cents")))
+    return total.select(*KEY, "covers", (F.col("net_cents") + F.col("comps_cents")).alias("gross_cents"), "comps_cents", "net_cents")

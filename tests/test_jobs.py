@@ -15,7 +15,7 @@ from marginflow.session import durable
 from marginflow.sources import register as reg
 from marginflow.streaming.cusum import stream_cusum
 from marginflow.streaming.land import land_batch, stream_to_parquet
-from marginflow.streaming.rollup import stream_service_rollup
+from marginflow.streaming.rollup import service_sums, stream_service_rollup, stream_service_sums
 
 import fixtures as fx
 
@@ -204,3 +204,21 @@ def test_stream_rollup_holds_back_open_days(spark):
     stream_to_parquet(live, f"{folder}/out", f"{folder}/state").awaitTermination()
     got = {r["date"].isoformat(): (r["covers"], r["gross_cents"]) for r in spark.read.parquet(f"{folder}/out").collect()}
     assert got == {f"2026-01-0{d}": (6, 330) for d in range(1, 5)}
+
+
+def test_stream_sums_hold_every_day_and_late_checks(spark):
+    """Three runs: open days are there at once, and a check that comes days late counts."""
+    folder = tempfile.mkdtemp(prefix="marginflow-test-")
+    start = dt.datetime(2026, 1, 1, 12)
+    schema = "loc string, daypart string, closed_at timestamp, guest_count bigint, comp_cents bigint, subtotal_cents bigint, voided boolean"
+    want = {}
+    assert service_sums(spark, f"{folder}/none").count() == 0
+    for days in (range(6), (0, 9), (3,)):
+        rows = [("oak", "L", start + dt.timedelta(days=d), 2, 10, 100, void) for d in days for void in (False, False, True)]
+        for d in days:
+            day = f"2026-01-{d + 1:02d}"
+            want[day] = (want.get(day, (0, 0))[0] + 4, want.get(day, (0, 0))[1] + 220)
+        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
+        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
+        stream_service_sums(live, f"{folder}/out", f"{folder}/state").awaitTermination()
+        assert {r["date"].isoformat(): (r["covers"], r["gross_cents"]) for r in service_sums(spark, f"{folder}/out").collect()} == want
