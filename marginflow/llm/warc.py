@@ -8,7 +8,7 @@ block of the file and emit where each candidate leaves it; pointer jumping over
 length needs rounds in the logarithm of its blocks.
 
 Nulls: a null payload is empty; a null page_id or URL gives an empty header field and comes back as null. Line breaks
-in URLs are escaped. Repeated page_ids are separate records; of equal payloads, all rows with the largest page_id are
+in URLs are escaped, and so is the text of the magic line. Repeated page_ids are separate records; of equal payloads, all rows with the largest page_id are
 responses. Rows with equal payloads and only null page_ids are all responses. An empty table gives an empty result.
 """
 
@@ -18,7 +18,7 @@ import uuid
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql import Window as W
@@ -35,7 +35,8 @@ IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
 def _safe(c: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "%0D"), "\n", "%0A")
+    """No line breaks, and no magic line that the header's own line break could complete."""
+    return F.replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r", "%0D"), "\n", "%0A"), F.lit(MAGIC.strip()), F.lit("WARC%2F1.0"))
 
 
 def with_record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame:
@@ -66,10 +67,12 @@ def record(row_type: Column) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """One record per row of (page_id, url, html); the files hold nothing but records."""
+def write_archives(pages: DataFrame, path: str) -> int:
+    """One record per row of (page_id, url, html); the files hold nothing but records. Returns their number."""
     typed = with_record_types(pages)
-    typed.select(record(F.col("record_type")).alias("value")).write.option("lineSep", END).text(path)
+    seen = Observation()
+    typed.select(record(F.col("record_type")).alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", END).text(path)
+    return seen.get["n"]
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
@@ -112,14 +115,19 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
             F.octet_length("_payload").cast("long").alias("payload_bytes"), F.sha1("_payload").alias("payload_sha1"),
         )
     )
-    found = staged(parsed)
+    placed = _placed(staged(parsed))
+    return staged(placed.withColumn("next", F.col("at") + len(MAGIC) + F.col("body") + F.col("content") + len(END)))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """Adds to the staged pieces of one scan where each begins in its file; blocks and numbers differ between scans, offsets do not."""
     size = F.col("bytes") + len(MAGIC)
     totals = found.groupBy("file", "block").agg(F.sum(size).alias("_total"))
     blocks = totals.select("file", "block", F.coalesce(F.sum("_total").over(W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
     inside = F.coalesce(F.sum(size).over(W.partitionBy("file", "block").orderBy("k").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = found.withColumn("_inside", inside).join(blocks, ["file", "block"])
     at = F.col("_before") + F.col("_inside") - len(MAGIC)
-    return staged(placed.withColumn("at", at).where(at >= 0).withColumn("next", F.col("at") + len(MAGIC) + F.col("body") + F.col("content") + len(END)).drop("_inside", "_before"))
+    return placed.withColumn("at", at).where(at >= 0).drop("_inside", "_before")
 
 
 LEAVES = T.StructType([T.StructField("file", T.StringType()), T.StructField("block", T.LongType()), T.StructField("at", T.LongType()), T.StructField("leaves", T.LongType())])
@@ -179,11 +187,16 @@ def entries(found: DataFrame) -> DataFrame:
     return marked.join(left.select("file", "block", "at"), ["file", "at"]).groupBy("file", "block").agg(F.min("at").alias("entry"))
 
 
-def read_archives(spark: SparkSession, path: str) -> DataFrame:
-    """The records of the archives: page_id, record_type, refers_to, digest, payload_bytes, payload_digest of what is stored."""
+def read_archives(spark: SparkSession, path: str, written: int | None = None) -> DataFrame:
+    """The records of the archives: page_id, record_type, refers_to, digest, payload_bytes, payload_digest of what is stored.
+
+    Fails if they are not as many as were ``written``.
+    """
     found = candidates(spark, path)
     chain = found.select("file", "block", "at", "next").join(entries(found), ["file", "block"]).groupBy("file", "block").applyInPandas(_walk, REACHED)
     records = staged(found.join(chain, ["file", "at"]))
+    if written is not None and (count := records.count()) != written:
+        raise ValueError(f"{count} records found in {path}, {written} written")
     # Payloads that hold the magic line lie in several pieces: these, and only these, are read again and joined.
     broken = records.where("record_type <> '' and payload_bytes is null and content is not null")
     if broken.limit(1).count():
@@ -196,10 +209,11 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
 
 
 def _mended(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """Payloads that lie in several pieces, put together in order."""
+    """Payloads that lie in several pieces, put together in order; the pieces of their files are staged once."""
     spans = broken.select("file", F.col("at").alias("start"), "next", "body", "content")
-    parts = found.select("file", "block", "k", "at").join(spans, "file").where("at >= start and at < next")
-    text = parts.join(_pieces(spark, path).select("file", "block", "k", "piece"), ["file", "block", "k"])
+    parts = found.select("file", "at").join(spans, "file").where("at >= start and at < next")
+    again = _pieces(spark, path).withColumn("bytes", F.octet_length("piece").cast("long")).join(F.broadcast(broken.select("file").distinct()), "file", "left_semi")
+    text = parts.join(_placed(staged(again)).select("file", "at", "piece"), ["file", "at"])
     whole = text.groupBy("file", "start", "body", "content").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_all"))
     joined = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0))["piece"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["piece"]))
     payload = F.substring(joined, F.col("body") + len(HTTP) + 1, F.greatest(F.lit(0), F.col("content") - len(HTTP)))
@@ -222,6 +236,6 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Writes the pages to archives in the shared folder and returns what reading them finds."""
     spark = pages.sparkSession
     path = archive_folder(spark)
-    write_archives(pages.select("page_id", "url", "html"), path)
-    return resolved(read_archives(spark, path))
+    written = write_archives(pages.select("page_id", "url", "html"), path)
+    return resolved(read_archives(spark, path, written))
 

@@ -7,6 +7,7 @@ from collections import defaultdict
 import pytest
 from pyspark.sql import functions as F
 
+from marginflow.llm import warc
 from marginflow.llm.jaccard import jaccard_join
 from marginflow.llm.lines import dedup_lines
 from marginflow.llm.mixing import mix
@@ -16,7 +17,7 @@ from marginflow.llm.sharding import shard
 from marginflow.llm.spotsigs import edited_fingerprints
 from marginflow.llm.toxicity import score_documents, tokens, train
 from marginflow.llm.urls import judge_urls
-from marginflow.llm.warc import round_trip
+from marginflow.llm.warc import read_archives, round_trip, write_archives
 
 PASSAGE = " ".join(f"word{i}" for i in range(60))
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -90,6 +91,33 @@ def test_warc_round_trip(spark):
     assert (got[4]["record_type"], got[4]["refers_to"]) == ("revisit", 5) and got[6]["record_type"] == got[5]["record_type"] == "response"
 
 
+def test_warc_magic_in_urls_and_other_splits(spark, tmp_path):
+    inner = "x WARC/1.0\r\nWARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\nWARC/1.0\r\n"
+    rows = [(i, ("http://a/WARC/1.0", "WARC/1.0\r\n", "http://b")[i % 3], inner * (i + 1)) for i in range(30)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    got = {r["page_id"]: (r["payload_bytes"], r["payload_digest"]) for r in round_trip(pages).collect()}
+    assert got == {i: (len(h), hashlib.sha1(h.encode()).hexdigest()) for i, _, h in rows}
+    path = f"{tmp_path}/warc"
+    assert write_archives(pages, path) == 30
+    with pytest.raises(ValueError, match="30 records found"):
+        read_archives(spark, path, 31)
+    # The plan is made under one split size and run under another, as after a lost executor.
+    real, sizes = warc._pieces, iter(("700", "5000"))
+
+    def pieces(*args):
+        spark.conf.set("spark.sql.files.maxPartitionBytes", next(sizes))
+        return real(*args)
+
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(warc, "_pieces", pieces)
+        try:
+            again = read_archives(spark, path, 30).collect()
+        finally:
+            spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    assert {r["page_id"]: (r["payload_bytes"], r["stored_digest"]) for r in again} == got
+
+
 def test_line_dedup_keeps_the_largest_document(docs):
     got = {r["doc_id"]: (r["text"], r["n_lines"], r["n_dropped"]) for r in dedup_lines(docs).collect()}
     assert got[9] == ("own\n", 4, 2) and got[10] == ("other", 2, 1) and got[11] == ("x\na shared line of some length", 2, 0) and got[4] == ("", 1, 0)
