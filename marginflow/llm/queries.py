@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import WORD
 from .quality import ALPHA, DELTA, RULES
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -242,3 +243,114 @@ def op3_spot_signatures(spark, sf_dir):
     from .spotsigs import edited_fingerprints
 
     return edited_fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@register("op11_language_id")
+def op11_language_id(spark, sf_dir):
+    from .langid import learn, predict
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    model = learn(docs.where(~held_out & F.col("doc_id").isNotNull()).select("text", "lang"))
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+#: CRC-32 by half bytes, as SQL over the digits of ``{0}``. The sixteen entries follow from the polynomial.
+def _crc_entry(k: int) -> int:
+    for _ in range(4):
+        k = k >> 1 ^ (0xEDB88320 if k & 1 else 0)
+    return k
+
+
+_CRC_SQL = (
+    "xor(4294967295, list_reduce(list_concat([4294967295], flatten(list_transform(string_split({0}, ''), lambda c: [ascii(c) & 15, ascii(c) >> 4]))), "
+    f"lambda a, b: xor(a >> 4, [{', '.join(str(_crc_entry(k)) for k in range(16))}][(xor(a, b) & 15) + 1])))"
+)
+
+
+@register(
+    "op12_periodic_runs",
+    rf"""
+WITH taken AS (
+    SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words, {_CRC_SQL.format("CAST(doc_id AS VARCHAR)")} :: BIGINT AS h FROM documents
+), sized AS (
+    SELECT *, len(words) AS n, CASE WHEN h % 10 = 0 AND len(words) > 0 THEN (h // 10) % len(words) END AS a FROM taken
+), edits AS (
+    SELECT *, 1 + (n - a) // (3 + (h // 10) % 8) AS p FROM sized
+), edited AS (
+    SELECT r, doc_id, CASE WHEN a IS NULL THEN words ELSE list_transform(range(0, n), lambda i: words[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1]) END AS words FROM edits
+), placed AS (
+    SELECT r, unnest(words) AS w, unnest(range(0, len(words))) AS i, len(words) AS n FROM edited
+), equal AS (
+    SELECT x.r, y.i - x.i AS q, x.i FROM placed x JOIN placed y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 3 * (y.i - x.i) <= x.n
+), islands AS (
+    SELECT r, q, min(i) AS s, max(i) - min(i) + 1 + q AS l FROM (SELECT *, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS g FROM equal) GROUP BY r, q, g
+), runs AS (
+    SELECT r, s, l, min(q) AS q FROM islands WHERE l >= greatest(24, 3 * q) GROUP BY r, s, l
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY r ORDER BY CAST(l AS DOUBLE) / q DESC, s, q) AS k FROM runs
+), listed AS (
+    SELECT r, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS listing FROM runs GROUP BY r
+), dropped AS (
+    SELECT DISTINCT r, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+    SELECT p.r, string_agg(w, ' ' ORDER BY p.i) AS text FROM placed p ANTI JOIN dropped d ON p.r = d.r AND p.i = d.i GROUP BY p.r
+)
+SELECT t.doc_id, CAST(coalesce(n_runs, 0) AS BIGINT) AS n_runs, CAST(s AS BIGINT) AS start, CAST(l AS BIGINT) AS length, CAST(q AS BIGINT) AS period, CAST(1000 * l // q AS BIGINT) AS exponent_milli,
+    sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(kept.text, '')) AS collapsed_sha256
+FROM taken t LEFT JOIN listed ON t.r = listed.r LEFT JOIN ranked ON t.r = ranked.r AND ranked.k = 1 LEFT JOIN kept ON t.r = kept.r
+""",
+)
+def op12_periodic_runs(spark, sf_dir):
+    from .periodic import collapse_runs
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    h = F.crc32(F.col("doc_id").cast("string"))
+    g = F.floor(h / 10)
+    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
+    cut = docs.where(h % 10 == 0).withColumn("_words", words).withColumn("_n", F.size("_words")).where("_n > 0").withColumn("_a", (g % F.col("_n")).cast("int"))
+    cut = cut.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
+    rest = F.col("_n") - F.col("_a")
+    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
+    edited = cut.select("doc_id", F.concat_ws(" ", F.slice("_words", F.lit(1), F.col("_a")), tail).alias("text"))
+    whole = docs.where(F.coalesce(h % 10 != 0, F.lit(True)) | F.col("text").isNull() | ~F.col("text").rlike(WORD))
+    found = collapse_runs(whole.unionByName(edited))
+    # The greatest exact length/period: by cross products, the first of equals in order of start and period.
+    ahead = lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
+    top = F.aggregate("runs", F.get("runs", F.lit(0)), ahead)
+    digest = found.select("doc_id", F.size("runs").cast("long").alias("n_runs"), top.alias("_top"), "runs", "text")
+    line = lambda x: F.concat(F.concat_ws(",", x["start"], x["length"], x["period"]), F.lit("\n"))
+    return digest.select(
+        "doc_id", "n_runs", "_top.start", "_top.length", "_top.period", F.expr("1000 * _top.length div _top.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", line), ""), 256).alias("runs_sha256"), F.sha2("text", 256).alias("collapsed_sha256"),
+    )
+
+
+@register(
+    "op13_ranked_search",
+    r"""
+WITH found AS (
+    SELECT row_number() OVER () AS r, doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM documents
+), counted AS (
+    SELECT r, doc_id, term, count(*) AS tf FROM found GROUP BY ALL
+), sizes AS (
+    SELECT r, CAST(sum(tf) AS BIGINT) AS n FROM counted GROUP BY r
+), whole AS (
+    SELECT count(*) AS docs, CAST(sum(n) AS BIGINT) AS terms FROM sizes
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM benchmark
+), weighed AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * (SELECT docs FROM whole) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted WHERE term IN (SELECT term FROM asked) GROUP BY term
+), scored AS (
+    SELECT item_id, c.r, c.doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (10 + (90 * n * docs) // terms)))) AS BIGINT) AS score
+    FROM asked a JOIN weighed USING (term) JOIN counted c USING (term) JOIN sizes s ON c.r = s.r CROSS JOIN whole GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""",
+)
+def op13_ranked_search(spark, sf_dir):
+    from .lexical import search
+
+    return search(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", "text"))
