@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from ..functions.dates import week_of
 from ..functions.numeric import at_least
+from . import prefix
+
+KEY = "intervention_id"
 
 
 def weekly_unit_price(invoices: DataFrame) -> DataFrame:
@@ -85,43 +88,57 @@ def price_quantity_legs(p0, p1, q0, q1):
     return (p1 - p0) * q1, (q1 - q0) * p0
 
 
-def indexed_price_series(plans: DataFrame, invoices: DataFrame) -> DataFrame:
+def in_weeks(asks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Each ask once per Monday of its plan's span, so that it meets weekly facts by equality."""
+    mondays = F.explode(F.sequence(week_of("lo"), week_of("hi"), F.expr("interval 7 days")))
+    return asks.join(spans, KEY).withColumn("week", mondays).drop("lo", "hi")
+
+
+def _basket_bases(baskets: DataFrame, weekly: DataFrame) -> DataFrame:
+    """Mean line price of each basket SKU before execution, from running sums of its weeks; 1 where there was none."""
+    by = [KEY, "arm", "pos", "sku"]
+    asked = baskets.select(*by, F.col("exec_on").alias("edge"))
+    before = prefix.sums_before(weekly, asked, ["sku"], ["price_sum", "lines"])
+    mean = F.nullif(F.try_divide("price_sum", "lines").cast("double"), F.lit(0.0))
+    return asked.join(before, ["sku", "edge"], "left").select(*by, F.coalesce(mean, F.lit(1.0)).alias("base"))
+
+
+def indexed_price_series(plans: DataFrame, invoices: DataFrame, spans: DataFrame) -> DataFrame:
     """Weekly price of a basket, each SKU over its own mean before execution, times the first SKU's base.
 
-    ``plans``: (intervention_id, arm, skus, exec_on). Invoices are reduced to one
-    row per SKU and week before they meet the plans.
+    ``plans``: (intervention_id, arm, skus, exec_on); ``spans``: (intervention_id, lo, hi), the weeks shown. Invoices are
+    reduced to one row per SKU and week, and meet the baskets on both.
     """
     weekly = invoices.groupBy("sku", F.col("week").alias("date")).agg(
         F.sum("unit_price_cents").alias("price_sum"), F.count(F.lit(1)).alias("lines"), F.sum("qty").alias("qty")
     )
-    baskets = plans.select("intervention_id", "arm", "exec_on", F.posexplode("skus").alias("pos", "sku"))
-    rows = baskets.join(weekly, "sku")
-    before = F.col("date") < F.col("exec_on")
-    base = rows.groupBy("intervention_id", "arm", "sku", "pos").agg(
-        F.try_divide(F.sum(F.when(before, F.col("price_sum"))), F.sum(F.when(before, F.col("lines")))).alias("base")
-    ).withColumn("base", F.coalesce(F.nullif(F.col("base"), F.lit(0.0)), F.lit(1.0)))
-    per_week = (
-        rows.join(base, ["intervention_id", "arm", "sku", "pos"])
-        .groupBy("intervention_id", "arm", "date")
-        .agg(
-            F.sum(F.col("price_sum") / F.col("base")).alias("_ratio"),
-            F.sum("lines").alias("_lines"),
-            F.sum("qty").alias("volume"),
-        )
-    )
-    first = baskets.filter(F.col("pos") == 0).join(base, ["intervention_id", "arm", "sku", "pos"], "left").select(
-        "intervention_id", "arm", F.coalesce("base", F.lit(1.0)).alias("_first")
-    )
-    return per_week.join(first, ["intervention_id", "arm"]).select(
-        "intervention_id", "arm", "date", (F.col("_ratio") / F.col("_lines") * F.col("_first")).alias("y"), "volume"
+    baskets = plans.select(KEY, "arm", "exec_on", F.posexplode("skus").alias("pos", "sku"))
+    based = _basket_bases(baskets, weekly)
+    rows = in_weeks(based, spans).join(weekly.withColumnRenamed("date", "week"), ["sku", "week"])
+    per_week = rows.groupBy(KEY, "arm", F.col("week").alias("date")).agg(
+        F.sum(F.col("price_sum") / F.col("base")).alias("_ratio"), F.sum("lines").alias("_lines"), F.sum("qty").alias("volume")
     )
+    first = based.filter(F.col("pos") == 0).select(KEY, "arm", F.col("base").alias("_first"))
+    return per_week.join(first, [KEY, "arm"]).select(KEY, "arm", "date", (F.col("_ratio") / F.col("_lines") * F.col("_first")).alias("y"), "volume")
+
 
+def _frozen_prices(plans: DataFrame, by_sku: DataFrame, days: int) -> DataFrame:
+    """Mean price of the days before execution; without a purchase in them the SKU's mean line price."""
+    ask = plans.select(KEY, "sku", "exec_on").distinct()
+    asked = prefix.ends(ask, ["sku"], {"lo": F.date_sub("exec_on", days), "hi": F.col("exec_on")}, also=[KEY])
+    sums = ["spent", "qty", "lines"]
+    recent = prefix.between(asked, prefix.sums_before(by_sku, asked, ["sku"], sums), ["sku"], [KEY], {"recent": ("lo", "hi")}, sums)
+    ever = by_sku.groupBy("sku").agg(F.try_divide(F.sum("price_sum"), F.sum("lines")).cast("double").alias("_ever"))
+    paid = F.when(F.col("lines_recent") > 0, F.try_divide(F.col("spent_recent"), F.nullif(F.col("qty_recent"), F.lit(0.0))))
+    rows = ask.join(recent, KEY, "left").join(ever, "sku", "left")
+    return rows.select(KEY, F.coalesce(paid, F.nullif(F.col("_ever"), F.lit(0.0)), F.lit(1.0)).alias("frozen_price"))
 
-def frozen_price_usage(plans: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, days: int = 28) -> DataFrame:
+
+def frozen_price_usage(plans: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, spans: DataFrame, days: int = 28) -> DataFrame:
     """Weekly SKU quantity bought per plate sold, priced at the mean price of the days before execution.
 
     ``plans``: (intervention_id, arm, sign, sku, locs, exec_on), where the room ``*``
-    stands for all rooms and a sign of -1 takes rooms out again. The price is frozen
+    stands for all rooms and a sign of -1 takes rooms out again; ``spans``: the weeks shown. The price is frozen
     over all rooms; without a purchase in those days the SKU's mean line price stands in.
     """
     weekly = invoices.groupBy("sku", "loc", F.col("week").alias("date")).agg(
@@ -129,31 +146,18 @@ def frozen_price_usage(plans: DataFrame, invoices: DataFrame, item_days: DataFra
         F.sum("unit_price_cents").alias("price_sum"), F.count(F.lit(1)).alias("lines"),
     )
     by_sku = weekly.groupBy("sku", "date").agg(*(F.sum(c).alias(c) for c in ("qty", "spent", "price_sum", "lines")))
-    ask = plans.select("intervention_id", "sku", "exec_on").distinct()
-    recent = (F.col("date") < F.col("exec_on")) & (F.col("date") >= F.date_sub("exec_on", days))
-    frozen = (
-        ask.join(by_sku, "sku", "left")
-        .groupBy("intervention_id")
-        .agg(
-            F.coalesce(
-                F.try_divide(F.sum(F.when(recent, F.col("spent"))), F.nullif(F.sum(F.when(recent, F.col("qty"))), F.lit(0.0))),
-                F.nullif(F.try_divide(F.sum("price_sum"), F.sum("lines")).cast("double"), F.lit(0.0)),
-                F.lit(1.0),
-            ).alias("frozen_price")
-        )
-    )
     plates = weekly_plates(item_days, menu)
     facts = weekly.select("sku", "loc", "date", "qty", "lines", F.lit(0).cast("bigint").alias("plates")).unionByName(
         plates.select("sku", "loc", "date", F.lit(0.0).alias("qty"), F.lit(0).cast("bigint").alias("lines"), "plates")
     )
     everywhere = facts.groupBy("sku", "date").agg(*(F.sum(c).alias(c) for c in ("qty", "lines", "plates"))).withColumn("loc", F.lit("*"))
-    rooms = plans.select("intervention_id", "arm", "sign", "sku", F.explode("locs").alias("loc"))
+    rooms = in_weeks(plans.select(KEY, "arm", "sign", "sku", F.explode("locs").alias("loc")), spans)
     signed = lambda c: F.sum(F.col("sign") * F.col(c)).alias(c)
     return (
-        rooms.join(facts.unionByName(everywhere), ["sku", "loc"])
-        .groupBy("intervention_id", "arm", "date")
+        rooms.join(facts.unionByName(everywhere).withColumnRenamed("date", "week"), ["sku", "loc", "week"])
+        .groupBy(KEY, "arm", F.col("week").alias("date"))
         .agg(signed("qty"), signed("lines"), signed("plates"))
         .filter((F.col("lines") > 0) & (F.col("plates") > 0))
-        .join(frozen, "intervention_id")
-        .select("intervention_id", "arm", "date", (F.col("qty") * F.col("frozen_price") / F.col("plates")).alias("y"))
+        .join(_frozen_prices(plans, by_sku, days), KEY)
+        .select(KEY, "arm", "date", (F.col("qty") * F.col("frozen_price") / F.col("plates")).alias("y"))
     )

@@ -6,23 +6,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
-from .measure import KEY, apply_weekly, cell_moments, estimate
-from .series import GUARDRAIL_METRICS
+from .measure import KEY, estimate
 
 
-def guardrail_series(plans: DataFrame, daily: DataFrame) -> DataFrame:
-    """Series of every guardrail a plan names: the daily means are already there, only unpivoted."""
-    cells = F.array(
-        *(F.struct(F.lit(g).alias("guardrail"), F.col(f"t_g_{g}").alias("t"), F.col(f"c_g_{g}").alias("c")) for g in GUARDRAIL_METRICS)
-    )
-    wanted = plans.select(KEY, "weekly", "guardrails")
-    rows = daily.select(KEY, "date", F.inline(cells)).join(wanted, KEY)
-    rows = rows.filter(F.array_contains("guardrails", F.col("guardrail")) & (F.col("t").isNotNull() | F.col("c").isNotNull()))
-    return apply_weekly(rows, (KEY, "guardrail"))
-
-
-def run_guardrails(plans: DataFrame, daily: DataFrame) -> DataFrame:
-    """One row per (intervention, guardrail).
+def run_guardrails(plans: DataFrame, service_moments: DataFrame) -> DataFrame:
+    """One row per (intervention, guardrail), from the cell moments of the guardrails' series.
 
     A breach needs the optimistic end of the interval past the tolerance; a
     guardrail that is unknown or could not be observed has failed.
@@ -30,8 +18,8 @@ def run_guardrails(plans: DataFrame, daily: DataFrame) -> DataFrame:
     spark = plans.sparkSession
     controlled = F.coalesce("control_others", F.lit(False)) | F.col("control_locs").isNotNull()
     meta = plans.withColumn("controlled", controlled)
-    moments = cell_moments(guardrail_series(plans, daily), meta, (KEY, "guardrail"), ["controlled"])
-    est = estimate(moments, F.col("controlled"))
+    moments = service_moments.filter(F.col("series").startswith("g_") & (F.col("_seen") > 0)).withColumn("guardrail", F.expr("substr(series, 3)")).drop("series", "_seen")
+    est = estimate(moments.join(meta.select(KEY, "controlled"), KEY), F.col("controlled"))
     point = F.when(F.col("controlled"), F.col("point")).otherwise(-F.col("point"))
     est = est.select(KEY, "guardrail", "ok", point.alias("observed"), "se", "t_crit", F.col("m_t_pre").alias("baseline"))
     asked = meta.select(KEY, "controlled", F.explode("guardrails").alias("guardrail"))

@@ -8,24 +8,48 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import day, to_date, week_of
 from ..functions.numeric import at_least, mean0, normal_quantile_value, pearson0, student_t_quantile, var0
-from . import costing
+from ..session import attach, durable
+from . import costing, prefix
 from .series import GUARDRAIL_METRICS, SERVICE_METRICS, welch_columns
 
 Day = str | dt.date
 KEY = "intervention_id"
 
 
+#: What makes two plans watch the same rooms; such plans share one series.
+SCOPE = ("treat_locs", "treat_dayparts", "treat_dows", "control_locs", "control_dayparts", "control_dows", "control_others")
+METRICS = {**SERVICE_METRICS, **{f"g_{k}": v for k, v in GUARDRAIL_METRICS.items()}}
+CELLS = {"pre": ("lo", "start"), "post": ("start", "hi"), "p1": ("lo", "mid"), "p2": ("mid", "start")}
+
+
+@dataclass
+class ScopeDays:
+    """The plans with their ``scope``, and one row per distinct scope and date."""
+
+    plans: DataFrame
+    days: DataFrame
+
+
 def _weeks(lo: Column, hi: Column) -> Column:
     """Mondays of the weeks a range touches."""
     return F.explode(F.sequence(week_of(lo), week_of(hi), F.expr("interval 7 days")))
 
 
+def _from() -> Column:
+    return F.date_sub("exec_on", F.col("baseline_days"))
+
+
+def _until(as_of: Day) -> Column:
+    return F.greatest(F.date_add("exec_on", F.col("window_days")), day(to_date(as_of)))
+
+
 def _arms() -> Column:
     """Treated rooms, control rooms, and the rooms taken out of an all-rooms control."""
     arm = lambda name, sign, locs, dayparts, dows: F.struct(
@@ -40,37 +64,47 @@ def _arms() -> Column:
     )
 
 
-def daily_metrics(plans: DataFrame, services: DataFrame, as_of: Day) -> DataFrame:
-    """Per intervention and date: treated and control mean of every service and guardrail metric.
+def with_scope(plans: DataFrame) -> DataFrame:
+    """Adds ``scope``, a digest of the rooms, dayparts and weekdays of both arms, whatever the order they are named in."""
+    parts = [F.array_sort(c).alias(c) if c.endswith("s") and not c.endswith("others") else F.coalesce(c, F.lit(False)).alias(c) for c in SCOPE]
+    return plans.withColumn("scope", F.md5(F.to_json(F.struct(*parts))))
+
+
+def scope_days(plans: DataFrame, services: DataFrame, as_of: Day) -> ScopeDays:
+    """Per distinct scope and date: treated and control mean of every service and guardrail metric.
 
     Columns ``t_<metric>`` and ``c_<metric>``, plus treated ``covers`` and ``services``.
-    Plans meet services on (room, week), so history outside the windows is never joined.
-    The all-rooms totals have one row per date and daypart: as long as the calendar,
-    whatever the rooms, so AQE broadcasts them once it has seen their size.
+    The dictionary of scopes, not the plans, meets the services, on (room, daypart, week); the
+    group stands as a room ``*`` of its own, so all-rooms controls never touch single rooms.
     """
-    metrics = {**SERVICE_METRICS, **{f"g_{k}": v for k, v in GUARDRAIL_METRICS.items()}}
+    named = with_scope(plans)
     facts = services.select(
-        "loc", "date", "daypart", "dow", "covers", F.lit(1).cast("bigint").alias("n"), *(build().cast("double").alias(m) for m, build in metrics.items())
-    )
-    totals = facts.groupBy("date", "daypart", "dow").agg(*(F.sum(c).alias(c) for c in ("covers", "n", *metrics))).withColumn("week", week_of("date"))
-    reach = plans.select(KEY, F.inline(_arms()), "exec_on", "baseline_days", "window_days").filter(F.col("locs").isNotNull())
-    until = F.greatest(F.date_add("exec_on", F.col("window_days")), day(to_date(as_of)))
-    reach = reach.withColumn("from_date", F.date_sub("exec_on", F.col("baseline_days"))).withColumn("week", _weeks(F.col("from_date"), until))
-    reach = reach.withColumn("loc", F.explode("locs")).select(KEY, "arm", "sign", "loc", "week", "dayparts", "dows")
-    inside = (F.col("dayparts").isNull() | F.array_contains("dayparts", F.col("daypart"))) & (
-        F.col("dows").isNull() | F.array_contains("dows", F.col("dow"))
+        "loc", "date", F.coalesce("daypart", F.lit("")).alias("daypart"), "dow", "covers", F.lit(1).cast("bigint").alias("n"), *(build().cast("double").alias(m) for m, build in METRICS.items())
     )
-    own = reach.filter(F.col("loc") != "*").join(facts.withColumn("week", week_of("date")), ["loc", "week"])
-    group = reach.filter(F.col("loc") == "*").join(totals, "week")
-    met = own.unionByName(group).filter(inside)
+    group = facts.groupBy(F.lit("*").alias("loc"), "date", "daypart", "dow").agg(*(F.sum(c).alias(c) for c in ("covers", "n", *METRICS)))
+    rows = facts.unionByName(group).withColumn("week", week_of("date"))
+    spans = named.groupBy("scope").agg(F.min(_from()).alias("_lo"), F.max(_until(as_of)).alias("_hi"), *(F.first(c).alias(c) for c in SCOPE))
+    # Dayparts are a dimension of a handful of names.
+    dayparts = facts.agg(F.collect_set("daypart").alias("_dayparts"))
+    reach = attach(spans.select("scope", "_lo", "_hi", F.inline(_arms())).filter(F.col("locs").isNotNull()), dayparts)
+    reach = reach.withColumn("daypart", F.explode(F.coalesce("dayparts", "_dayparts"))).withColumn("week", _weeks(F.col("_lo"), F.col("_hi")))
+    reach = reach.select("scope", "arm", "sign", F.explode("locs").alias("loc"), "daypart", "week", "dows")
+    met = reach.join(rows, ["loc", "daypart", "week"]).filter(F.col("dows").isNull() | F.array_contains("dows", F.col("dow")))
     part = lambda arm, c: F.sum(F.when(F.col("arm") == arm, F.col("sign") * F.col(c)))
-    sums = [part(a, c).alias(f"{a}_{c}") for a in ("t", "c") for c in ("n", *metrics)]
-    daily = met.groupBy(KEY, "date").agg(part("t", "covers").alias("covers"), *sums)
+    sums = [part(a, c).alias(f"{a}_{c}") for a in ("t", "c") for c in ("n", *METRICS)]
+    daily = met.groupBy("scope", "date").agg(part("t", "covers").alias("covers"), *sums)
     mean = lambda a, c: F.when(F.col(f"{a}_n") > 0, F.try_divide(f"{a}_{c}", f"{a}_n")).alias(f"{a}_{c}")
-    return daily.select(
-        KEY, "date", F.coalesce("covers", F.lit(0)).alias("covers"), F.coalesce("t_n", F.lit(0)).alias("services"),
-        *(mean(a, c) for a in ("t", "c") for c in metrics),
+    days = daily.select(
+        "scope", "date", F.coalesce("covers", F.lit(0)).alias("covers"), F.coalesce("t_n", F.lit(0)).alias("services"),
+        *(mean(a, c) for a in ("t", "c") for c in METRICS),
     )
+    return ScopeDays(named, durable(days))
+
+
+def daily_metrics(scoped: ScopeDays, as_of: Day) -> DataFrame:
+    """The days of every plan's scope inside the weeks that its windows touch."""
+    weeks = scoped.plans.select(KEY, "scope", _weeks(_from(), _until(as_of)).alias("week"))
+    return weeks.join(scoped.days.withColumn("week", week_of("date")), ["scope", "week"]).drop("scope", "week")
 
 
 def _wide(arms: DataFrame) -> DataFrame:
@@ -109,26 +143,77 @@ def item_arms(plans: DataFrame) -> DataFrame:
     return rows.select(KEY, "grain", F.inline(arms)).select(KEY, "grain", "arm", "loc", F.explode("items").alias("item"))
 
 
-def item_cost_pairs(plans: DataFrame, item_days: DataFrame) -> DataFrame:
-    """Recipe cost of the items per unit sold, or in total, by date."""
+def item_cost_pairs(plans: DataFrame, item_days: DataFrame, spans: DataFrame) -> DataFrame:
+    """Recipe cost of the items per unit sold, or in total, by date, in the weeks of ``spans``."""
     daily = item_days.groupBy("loc", "item", "date").agg(F.sum("units").alias("units"), F.sum(F.col("units") * F.col("cost_cents")).alias("cost"))
-    met = item_arms(plans).join(daily, ["loc", "item"]).groupBy(KEY, "grain", "arm", "date").agg(F.sum("cost").alias("cost"), F.sum("units").alias("units"))
+    reach = costing.in_weeks(item_arms(plans), spans)
+    met = reach.join(daily.withColumn("week", week_of("date")), ["loc", "item", "week"]).groupBy(KEY, "grain", "arm", "date").agg(F.sum("cost").alias("cost"), F.sum("units").alias("units"))
     y = F.when(F.col("grain") == "unit", F.col("cost") / at_least(F.col("units"), 1)).otherwise(F.col("cost").cast("double"))
     return _wide(met.withColumn("y", y))
 
 
-def build_series(plans: DataFrame, daily: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame) -> DataFrame:
-    """Treated (``t``) and control (``c``) value per intervention and date, at the plan's grain."""
+def series_spans(plans: DataFrame, invoices: DataFrame, item_days: DataFrame, as_of: Day, whole: bool) -> DataFrame:
+    """(plan, lo, hi) of the weeks whose purchases and sales a series shows: its windows, or with ``whole`` all that there are."""
+    if not whole:
+        return plans.select(KEY, _from().alias("lo"), _until(as_of).alias("hi"))
+    dated = invoices.select(F.col("week").alias("date")).unionByName(item_days.select("date"))
+    return attach(plans.select(KEY), dated.agg(F.min("date").alias("lo"), F.max("date").alias("hi"))).filter(F.col("lo").isNotNull())
+
+
+def bought_pairs(plans: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, spans: DataFrame) -> DataFrame:
+    """Series of plans that are not about services: prices, usage and item costs."""
+    price = _wide(costing.indexed_price_series(sku_price_arms(plans), invoices, spans).select(KEY, "arm", "date", "y"))
+    usage = _wide(costing.frozen_price_usage(sku_usage_arms(plans), invoices, item_days, menu, spans))
+    return price.unionByName(usage).unionByName(item_cost_pairs(plans, item_days, spans))
+
+
+def build_series(scoped: ScopeDays, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, as_of: Day, whole: bool = True) -> DataFrame:
+    """Treated (``t``) and control (``c``) value per intervention and date, at the plan's grain.
+
+    Service series cover the weeks of a plan's windows; with ``whole`` the other series cover all weeks on record.
+    """
+    plans = scoped.plans
     pick = lambda a: F.coalesce(*(F.when(F.col("metric") == m, F.col(f"{a}_{m}")) for m in SERVICE_METRICS))
-    scoped = daily.join(plans.select(KEY, "metric"), KEY).filter(F.col("metric").isin(list(SERVICE_METRICS)))
-    service = scoped.select(KEY, "date", pick("t").alias("t"), pick("c").alias("c"))
-    price = _wide(costing.indexed_price_series(sku_price_arms(plans), invoices).select(KEY, "arm", "date", "y"))
-    usage = _wide(costing.frozen_price_usage(sku_usage_arms(plans), invoices, item_days, menu))
-    pairs = service.unionByName(price).unionByName(usage).unionByName(item_cost_pairs(plans, item_days))
+    about = plans.filter(F.col("metric").isin(list(SERVICE_METRICS))).select(KEY, "metric")
+    service = daily_metrics(scoped, as_of).join(about, KEY).select(KEY, "date", pick("t").alias("t"), pick("c").alias("c"))
+    spans = series_spans(plans, invoices, item_days, as_of, whole)
+    pairs = service.unionByName(bought_pairs(plans, invoices, item_days, menu, spans))
     pairs = pairs.filter(F.col("t").isNotNull() | F.col("c").isNotNull())
     return apply_weekly(pairs.join(plans.select(KEY, "weekly"), KEY))
 
 
+def _window_ends() -> dict[str, Column]:
+    """The dates at which a plan's cells begin and end."""
+    start = F.col("exec_on")
+    return {"lo": _from(), "mid": F.date_sub(start, F.floor(F.col("baseline_days") / 2).cast("int")), "start": start, "hi": F.date_add(start, F.col("window_days"))}
+
+
+def service_moments(scoped: ScopeDays) -> DataFrame:
+    """Cell moments of every plan's own service metric and of the guardrails it names: one row per plan and ``series``.
+
+    Plans of one scope share the running sums of a series, so a plan costs four look-ups per series.
+    """
+    plans = scoped.plans
+    own = F.when(F.col("metric").isin(list(SERVICE_METRICS)), F.array("metric"))
+    guards = F.filter(F.coalesce("guardrails", F.array()), lambda g: g.isin(list(GUARDRAIL_METRICS)))
+    names = F.concat(F.coalesce(own, F.array().cast("array<string>")), F.transform(guards, lambda g: F.concat(F.lit("g_"), g)))
+    asks = plans.select(KEY, "scope", F.coalesce("weekly", F.lit(False)).alias("weekly"), "exec_on", "baseline_days", "window_days", F.explode(F.array_distinct(names)).alias("series"))
+    wanted = asks.groupBy("scope").agg(F.collect_set(F.struct("series", "weekly")).alias("wanted"))
+    cells = F.array(*(F.struct(F.lit(m).alias("name"), F.col(f"t_{m}").alias("t"), F.col(f"c_{m}").alias("c")) for m in METRICS))
+    # At most twice as many wishes per scope as there are metrics.
+    long = scoped.days.join(wanted, "scope").select("scope", "date", F.inline("wanted"), cells.alias("_cells")).withColumn("_cell", F.filter("_cells", lambda x: x["name"] == F.col("series"))[0])
+    long = long.select("scope", "series", "weekly", "date", "_cell.t", "_cell.c").filter(F.col("t").isNotNull() | F.col("c").isNotNull())
+    keys = ["scope", "series", "weekly"]
+    points = apply_weekly(long, ("scope", "series", "weekly"))
+    asked = prefix.ends(asks, keys, _window_ends(), also=[KEY])
+    out = prefix.cell_moments(asked, prefix.moments_before(points, asked, keys), keys, [KEY, "series"], CELLS, fit="pre")
+    seen = F.lit(0)
+    for arm in ("t", "c"):
+        for name in CELLS:
+            seen = seen + F.col(f"n_{arm}_{name}")
+    return out.withColumn("_seen", seen)
+
+
 def _cells(post_days: Column) -> dict[str, Column]:
     d, start = F.col("date"), F.col("exec_on")
     lo = F.date_sub(start, F.col("baseline_days"))
@@ -264,32 +349,55 @@ def reconcile(pairs: DataFrame, plans: DataFrame, alpha: float = 0.05) -> DataFr
     return estimate(cell_moments(pairs, plans), F.lit(False), alpha)
 
 
-def measure_interventions(pairs: DataFrame, plans: DataFrame) -> DataFrame:
-    """The estimate each plan named. Interventions without any series point are kept and refused."""
-    moments = cell_moments(pairs, plans, plan_columns=["estimator"])
-    out = estimate(moments, F.col("estimator") == "did")
+def measure_interventions(scoped: ScopeDays, invoices: DataFrame, item_days: DataFrame, menu: DataFrame, as_of: Day, moments: DataFrame | None = None) -> DataFrame:
+    """The estimate each plan named. Interventions without any series point are kept and refused.
+
+    ``moments``: the plans' ``service_moments``, if they were made before.
+    """
+    plans = scoped.plans
+    moments = service_moments(scoped) if moments is None else moments
+    own = moments.join(plans.select(KEY, F.col("metric").alias("series")), [KEY, "series"]).filter(F.col("_seen") > 0).drop("series", "_seen")
+    spans = series_spans(plans, invoices, item_days, as_of, whole=False)
+    pairs = bought_pairs(plans, invoices, item_days, menu, spans).filter(F.col("t").isNotNull() | F.col("c").isNotNull())
+    bought = cell_moments(apply_weekly(pairs.join(plans.select(KEY, "weekly"), KEY)), plans).drop("exec_on", "baseline_days", "window_days")
+    both = own.unionByName(bought).join(plans.select(KEY, "estimator"), KEY)
+    out = estimate(both, F.col("estimator") == "did").drop("estimator")
     return plans.select(KEY).join(out, KEY, "left").withColumn("ok", F.coalesce("ok", F.lit(False)))
 
 
-def window_volume(plans: DataFrame, daily: DataFrame, invoices: DataFrame, item_days: DataFrame, menu: DataFrame) -> DataFrame:
-    """Covers, services, units, plates or SKU quantity inside the measurement window."""
-    window = plans.select(KEY, "grain", "exec_on", F.date_add("exec_on", F.col("window_days")).alias("_hi"), "treat_sku", "treat_locs", "treat_items")
-    inside = (F.col("date") >= F.col("exec_on")) & (F.col("date") < F.col("_hi"))
-    scoped = daily.join(window.filter(F.col("grain").isin("cover", "service")), KEY).filter(inside)
-    amount = F.when(F.col("grain") == "cover", F.col("covers")).otherwise(F.col("services"))
-    parts = scoped.groupBy(KEY).agg(F.sum(amount).cast("double").alias("volume"))
+def _summed(points: DataFrame, asks: DataFrame, keys: Sequence[str], sums: Sequence[str]) -> DataFrame:
+    """Sums of each ask's series from execution to the end of its window: one row per plan and series."""
+    asked = prefix.ends(asks, keys, {"start": F.col("exec_on"), "hi": F.date_add("exec_on", F.col("window_days"))}, also=[KEY])
+    return prefix.between(asked, prefix.sums_before(points, asked, keys, sums), keys, [KEY, *keys], {"post": ("start", "hi")}, sums)
+
+
+def window_volume(scoped: ScopeDays, invoices: DataFrame, item_days: DataFrame, menu: DataFrame) -> DataFrame:
+    """Covers, services, units, plates or SKU quantity inside the measurement window; plans that saw none have no row."""
+    window = scoped.plans.select(KEY, "scope", "grain", "exec_on", "window_days", "treat_sku", "treat_locs", "treat_items")
+    scope = _summed(scoped.days.select("scope", "date", "covers", "services"), window.filter(F.col("grain").isin("cover", "service")), ["scope"], ["covers", "services"])
+    amount = F.when(F.col("grain") == "cover", F.col("covers_post")).otherwise(F.col("services_post"))
+    parts = scope.join(window.select(KEY, "grain"), KEY).filter(F.col("services_post") > 0).select(KEY, amount.cast("double").alias("volume"))
     sold = item_days.groupBy("loc", "item", "date").agg(F.sum("units").alias("units"))
-    by_item = window.filter(F.col("grain") == "unit").select(KEY, "exec_on", "_hi", F.col("treat_locs")[0].alias("loc"), F.explode("treat_items").alias("item"))
-    units = by_item.join(sold, ["loc", "item"]).filter(inside).groupBy(KEY).agg(F.sum("units").cast("double").alias("volume"))
+    total = lambda rows, c: rows.groupBy(KEY).agg(F.sum(f"{c}_post").cast("double").alias("volume")).filter(F.col("volume") != 0)
+    one = lambda grain, *cols: window.filter(F.col("grain") == grain).select(KEY, "exec_on", "window_days", *cols)
+    by_item = one("unit", F.col("treat_locs")[0].alias("loc"), F.explode("treat_items").alias("item"))
+    units = total(_summed(sold, by_item, ["loc", "item"], ["units"]), "units")
     used = sold.join(costing.linked_items(menu), "item").groupBy("loc", "sku", "date").agg(F.sum("units").alias("units"))
-    by_sku = window.filter(F.col("grain") == "sku_unit").select(KEY, "exec_on", "_hi", F.col("treat_sku").alias("sku"), F.explode("treat_locs").alias("loc"))
-    plates = by_sku.join(used, ["loc", "sku"]).filter(inside).groupBy(KEY).agg(F.sum("units").cast("double").alias("volume"))
+    by_sku = one("sku_unit", F.col("treat_sku").alias("sku"), F.explode("treat_locs").alias("loc"))
+    plates = total(_summed(used, by_sku, ["loc", "sku"], ["units"]), "units")
     bought = invoices.groupBy("sku", F.col("week").alias("date")).agg(F.sum("qty").alias("qty"))
-    by_price = window.filter(F.col("grain") == "sku").select(KEY, "exec_on", "_hi", F.col("treat_sku").alias("sku"))
-    quantity = by_price.join(bought, "sku").filter(inside).groupBy(KEY).agg(F.sum("qty").alias("volume"))
+    quantity = total(_summed(bought, one("sku", F.col("treat_sku").alias("sku")), ["sku"], ["qty"]), "qty")
     return parts.unionByName(units).unionByName(plates).unionByName(quantity)
 
 
+def observed_services(scoped: ScopeDays, as_of: Day) -> DataFrame:
+    """Services seen in each plan's treated rooms from execution to ``as_of``."""
+    asked = prefix.ends(scoped.plans, ["scope"], {"start": F.col("exec_on"), "today": F.greatest(F.col("exec_on"), day(to_date(as_of)))}, also=[KEY])
+    before = prefix.sums_before(scoped.days.select("scope", "date", "services"), asked, ["scope"], ["services"])
+    seen = prefix.between(asked, before, ["scope"], [KEY], {"open": ("start", "today")}, ["services"])
+    return seen.select(KEY, F.col("services_open").alias("observed"))
+
+
 def scale_to_week(estimates: DataFrame, plans: DataFrame, volume: DataFrame, as_of: Day) -> DataFrame:
     """Estimates in cents per week, positive where money is saved."""
     span = F.greatest(F.lit(1), F.least(F.col("window_days"), F.datediff(day(to_date(as_of)), F.col("exec_on"))))

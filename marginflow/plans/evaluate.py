@@ -50,13 +50,6 @@ def closed_windows(plans: DataFrame, as_of: Day) -> DataFrame:
     )
 
 
-def observed_services(plans: DataFrame, daily: DataFrame, as_of: Day) -> DataFrame:
-    """Services seen so far inside open windows."""
-    rows = daily.select(KEY, "date", "services").join(plans.select(KEY, "exec_on"), KEY)
-    seen = (F.col("date") >= F.col("exec_on")) & (F.col("date") < day(to_date(as_of)))
-    return rows.filter(seen).groupBy(KEY).agg(F.sum("services").alias("observed"))
-
-
 def judge(plans: DataFrame, estimates: DataFrame, results: DataFrame, quality: DataFrame) -> DataFrame:
     """Verdict columns of every plan (state not yet considered)."""
     meta = [
@@ -70,21 +63,22 @@ def judge(plans: DataFrame, estimates: DataFrame, results: DataFrame, quality: D
 def evaluate_interventions(plans: DataFrame, register: Register, feeds: DataFrame, as_of: Day) -> Evaluation:
     """Series, estimate, guardrails, verdict, persistence, accrual and reversal of every plan.
 
-    The daily means, the series and the verdicts are read several times each, so
-    they are written once to the shared checkpoint folder.
+    The daily means, the series, their moments and the verdicts are read several times
+    each, so they are written once to the shared checkpoint folder.
     """
     if "reversal_on" not in plans.columns:
         plans = plans.withColumn("reversal_on", F.lit(None).cast("date"))
     staged = closed_windows(plans, as_of)
-    daily = durable(measure.daily_metrics(plans, register.services, as_of))
-    pairs = durable(measure.build_series(plans, daily, register.invoices, register.item_days, register.menu))
-    raw = measure.measure_interventions(pairs, plans)
-    volume = measure.window_volume(plans, daily, register.invoices, register.item_days, register.menu)
-    scaled = measure.scale_to_week(raw, plans, volume, as_of)
-    results = guardrails.run_guardrails(plans, daily)
+    bought = (register.invoices, register.item_days, register.menu)
+    scoped = measure.scope_days(plans, register.services, as_of)
+    pairs = durable(measure.build_series(scoped, *bought, as_of))
+    moments = durable(measure.service_moments(scoped))
+    raw = measure.measure_interventions(scoped, *bought, as_of, moments)
+    scaled = measure.scale_to_week(raw, plans, measure.window_volume(scoped, *bought), as_of)
+    results = guardrails.run_guardrails(plans, moments)
     verdicts = judge(plans, scaled, results, verify.data_quality(plans, feeds))
     extra = [c for c in verdicts.columns if c != KEY and c not in staged.columns]
-    rows = staged.join(verdicts.select(KEY, *extra), KEY).join(observed_services(plans, daily, as_of), KEY, "left")
+    rows = staged.join(verdicts.select(KEY, *extra), KEY).join(measure.observed_services(scoped, as_of), KEY, "left")
     pending = ~F.col("window_closed")
     outcome = F.when(pending, "pending").otherwise(F.col("outcome"))
     rows = rows.withColumn("why", F.when(pending, F.lit("The measurement window is still open.")).otherwise(F.col("why")))

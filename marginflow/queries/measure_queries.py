@@ -133,16 +133,21 @@ def rec_sql(src: str) -> str:
 
 
 _EST_COLS = "ok, point, se, df, t_crit, placebo_ok, placebo_ok AND pse > 0 AND abs(pp / nullif(pse, 0)) <= pcrit AS placebo_pass, pre_fit, mde, index_share, n_t_pre, n_t_post, n_c_pre, n_c_post"
+_IF_OK = "ok, n_t_pre, n_t_post, n_c_pre, n_c_post, " + ", ".join(
+    f"CASE WHEN ok THEN {e} END AS {n}"
+    for n, e in [(c, c) for c in ("point", "se", "df", "t_crit", "placebo_ok", "pre_fit", "mde", "index_share")] + [("placebo_pass", "placebo_ok AND pse > 0 AND abs(pp / nullif(pse, 0)) <= pcrit")]
+)
 ORACLE_VIEWS["o_est"] = f"""SELECT intervention_id, {_EST_COLS}, estimator FROM {did_sql("(SELECT * FROM o_moments WHERE estimator = 'did')")}
   UNION ALL SELECT intervention_id, {_EST_COLS}, estimator FROM {rec_sql("(SELECT * FROM o_moments WHERE estimator = 'reconcile')")}"""
 ORACLE_VIEWS["o_volume"] = """SELECT intervention_id, CASE WHEN grain = 'cover' THEN sum(covers) ELSE count(*) END AS volume FROM o_arms WHERE arm = 't' AND grain IN ('cover', 'service') AND date >= exec_on AND date < exec_on + window_days GROUP BY intervention_id, grain
   UNION ALL SELECT intervention_id, sum(units) FROM o_iv JOIN item_days d ON d.loc = treat_loc AND d.item = treat_item WHERE grain = 'unit' AND date >= exec_on AND date < exec_on + window_days GROUP BY ALL
   UNION ALL SELECT intervention_id, sum(units) FROM o_iv JOIN item_days d ON d.loc = treat_loc JOIN reg_menu m ON m.item = d.item AND m.uses_sku = treat_sku WHERE grain = 'sku_unit' AND date >= exec_on AND date < exec_on + window_days GROUP BY ALL
   UNION ALL SELECT intervention_id, sum(qty) FROM o_iv JOIN reg_invoices r ON r.sku = treat_sku WHERE grain = 'sku' AND week >= exec_on AND week < exec_on + window_days GROUP BY ALL"""
-ORACLE_VIEWS["o_scaled"] = f"""SELECT e.* REPLACE (e.point * sign * wk AS point, e.se * wk AS se, e.mde * wk AS mde), sign, wk AS week_factor, e.point AS raw_point FROM (
-  SELECT i.intervention_id, CASE WHEN i.estimator = 'reconcile' THEN 1 WHEN direction = 'down_is_saving' THEN -1 ELSE 1 END AS sign,
-    CASE WHEN grain = 'sku' THEN coalesce(volume, 0) / greatest(1, floor(span / 7 + 0.5)) ELSE coalesce(volume, 0) / span * 7 END AS wk
-  FROM (SELECT *, greatest(1, least(window_days, date_diff('day', exec_on, {DAY}))) AS span FROM o_iv) i LEFT JOIN o_volume USING (intervention_id)) JOIN o_est e USING (intervention_id)"""
+ORACLE_VIEWS["o_scale"] = f"""SELECT i.intervention_id, CASE WHEN i.estimator = 'reconcile' THEN 1 WHEN direction = 'down_is_saving' THEN -1 ELSE 1 END AS sign,
+    CASE WHEN grain = 'sku' THEN coalesce(volume, 0) / greatest(1, floor(span / 7 + 0.5)) ELSE coalesce(volume, 0) / span * 7 END AS week_factor
+  FROM (SELECT *, greatest(1, least(window_days, date_diff('day', exec_on, {DAY}))) AS span FROM o_iv) i LEFT JOIN o_volume USING (intervention_id)"""
+ORACLE_VIEWS["o_scaled"] = """SELECT e.* REPLACE (e.point * sign * week_factor AS point, e.se * week_factor AS se, e.mde * week_factor AS mde), sign, week_factor, e.point AS raw_point
+  FROM o_scale JOIN o_est e USING (intervention_id)"""
 ORACLE_VIEWS["o_guard_rows"] = "SELECT * FROM (" + " UNION ALL ".join(
     f"SELECT intervention_id, arm, date, weekly, lever, '{g}' AS guardrail, {x} AS v FROM o_arms" for g, x in _GUARD_SQL.items()
 ) + ") JOIN o_lever_guards USING (lever, guardrail)"
@@ -173,61 +178,72 @@ def evaluated(inp):
     return evaluate.evaluate_interventions(plans(inp), register(inp), feed_table(inp), AS_OF)
 
 
+def _scoped(inp):
+    reg = register(inp)
+    return measure.scope_days(plans(inp), reg.services, AS_OF), (reg.invoices, reg.item_days, reg.menu)
+
+
 def _series(inp):
-    p, reg = plans(inp), register(inp)
-    daily = durable(measure.daily_metrics(p, reg.services, AS_OF))
-    return p, reg, daily, measure.build_series(p, daily, reg.invoices, reg.item_days, reg.menu)
+    scoped, bought = _scoped(inp)
+    return measure.build_series(scoped, *bought, AS_OF)
+
+
+def _spans(inp):
+    return measure.series_spans(plans(inp), inp.view("reg_invoices"), item_days(inp), AS_OF, whole=True)
+
+
+def _scaled(inp):
+    """Scoped plans, the moments of their service series and their estimates by the week."""
+    scoped, bought = _scoped(inp)
+    moments = durable(measure.service_moments(scoped))
+    raw = measure.measure_interventions(scoped, *bought, AS_OF, moments)
+    return scoped.plans, moments, measure.scale_to_week(raw, scoped.plans, measure.window_volume(scoped, *bought), AS_OF)
 
 
 @query("indexed_price", tidy_sql("SELECT * FROM o_indexed", keep="intervention_id arm", doubles="y", dates="date"))
 def indexed_price(inp):
-    return tidy(costing.indexed_price_series(measure.sku_price_arms(plans(inp)), inp.view("reg_invoices")).drop("volume"))
+    return tidy(costing.indexed_price_series(measure.sku_price_arms(plans(inp)), inp.view("reg_invoices"), _spans(inp)).drop("volume"))
 
 
 @query("frozen_price_usage", tidy_sql("SELECT * FROM o_usage_y", keep="intervention_id arm", doubles="y", dates="date", digits=4))
 def frozen_price_usage(inp):
-    return tidy(costing.frozen_price_usage(measure.sku_usage_arms(plans(inp)), inp.view("reg_invoices"), item_days(inp), inp.menu()), 4)
+    return tidy(costing.frozen_price_usage(measure.sku_usage_arms(plans(inp)), inp.view("reg_invoices"), item_days(inp), inp.menu(), _spans(inp)), 4)
 
 
 @query("build_series", tidy_sql("SELECT * FROM o_series", keep="intervention_id", doubles="t c", dates="date", digits=4))
 def build_series(inp):
-    return tidy(_series(inp)[3], 4)
+    return tidy(_series(inp), 4)
 
 
 @query(
     "did_estimates",
     tidy_sql(
-        f"SELECT intervention_id, {_EST_COLS} FROM {did_sql('o_moments')} WHERE ok",
-        keep="intervention_id placebo_ok placebo_pass", ints="n_t_pre n_t_post n_c_pre n_c_post", doubles="point se df t_crit pre_fit mde", digits=4,
+        f"SELECT intervention_id, {_IF_OK} FROM {did_sql('o_moments')}",
+        keep="intervention_id ok placebo_ok placebo_pass", ints="n_t_pre n_t_post n_c_pre n_c_post", doubles="point se df t_crit pre_fit mde", digits=4,
     ),
 )
 def did_estimates(inp):
-    p, _, _, pairs = _series(inp)
     cols = ["point", "se", "df", "t_crit", "pre_fit", "mde", "n_t_pre", "n_t_post", "n_c_pre", "n_c_post", "placebo_ok", "placebo_pass"]
-    return tidy(measure.did(pairs, p).filter("ok").select(KEY, *cols), 4)
+    return tidy(measure.did(_series(inp), plans(inp)).select(KEY, "ok", *cols), 4)
 
 
 @query(
     "reconcile_estimates",
     tidy_sql(
-        f"SELECT intervention_id, {_EST_COLS} FROM {rec_sql('o_moments')} WHERE ok",
-        keep="intervention_id", ints="n_t_pre n_t_post", doubles="point se df t_crit mde index_share", digits=4,
+        f"SELECT intervention_id, {_IF_OK} FROM {rec_sql('o_moments')}",
+        keep="intervention_id ok", ints="n_t_pre n_t_post", doubles="point se df t_crit mde index_share", digits=4,
     ),
 )
 def reconcile_estimates(inp):
-    p, _, _, pairs = _series(inp)
-    return tidy(measure.reconcile(pairs, p).filter("ok").select(KEY, "point", "se", "df", "t_crit", "mde", "index_share", "n_t_pre", "n_t_post"), 4)
+    return tidy(measure.reconcile(_series(inp), plans(inp)).select(KEY, "ok", "point", "se", "df", "t_crit", "mde", "index_share", "n_t_pre", "n_t_post"), 4)
 
 
 @query(
     "weekly_effects",
-    tidy_sql("SELECT * FROM o_scaled WHERE ok", keep="intervention_id", ints="sign", doubles="point se mde week_factor raw_point", digits=3),
+    tidy_sql("SELECT i.intervention_id, coalesce(ok, false) AS ok, s.sign, s.week_factor, CASE WHEN ok THEN point END AS point, CASE WHEN ok THEN se END AS se, CASE WHEN ok THEN mde END AS mde, CASE WHEN ok THEN raw_point END AS raw_point FROM o_iv i LEFT JOIN o_scale s USING (intervention_id) LEFT JOIN o_scaled USING (intervention_id)", keep="intervention_id ok", ints="sign", doubles="point se mde week_factor raw_point", digits=3),
 )
 def weekly_effects(inp):
-    p, reg, daily, pairs = _series(inp)
-    volume = measure.window_volume(p, daily, reg.invoices, reg.item_days, reg.menu)
-    out = measure.scale_to_week(measure.measure_interventions(pairs, p), p, volume, AS_OF)
-    return tidy(out.filter("ok").select(KEY, "sign", "point", "se", "mde", "week_factor", "raw_point"), 3)
+    return tidy(_scaled(inp)[2].select(KEY, "ok", "sign", "point", "se", "mde", "week_factor", "raw_point"), 3)
 
 
 @query(
@@ -235,8 +251,8 @@ def weekly_effects(inp):
     tidy_sql("SELECT * FROM o_guards", keep="intervention_id guardrail label passed", doubles="observed optimistic tolerance", digits=4),
 )
 def guardrail_results(inp):
-    p = plans(inp)
-    out = guardrails.run_guardrails(p, measure.daily_metrics(p, services(inp), AS_OF))
+    scoped = measure.scope_days(plans(inp), services(inp), AS_OF)
+    out = guardrails.run_guardrails(scoped.plans, measure.service_moments(scoped))
     return tidy(out.select(KEY, "guardrail", "label", "passed", "observed", "optimistic", "tolerance"), 4)
 
 
@@ -253,10 +269,8 @@ def gate_results(inp):
 
 
 def _verdicts(inp):
-    p, reg, daily, pairs = _series(inp)
-    volume = measure.window_volume(p, daily, reg.invoices, reg.item_days, reg.menu)
-    scaled = measure.scale_to_week(measure.measure_interventions(pairs, p), p, volume, AS_OF)
-    return evaluate.judge(p, scaled, guardrails.run_guardrails(p, daily), verify.data_quality(p, feed_table(inp)))
+    p, moments, scaled = _scaled(inp)
+    return evaluate.judge(p, scaled, guardrails.run_guardrails(p, moments), verify.data_quality(p, feed_table(inp)))
 
 
 @query("verdicts", tidy_sql("SELECT * FROM o_verdict", keep="intervention_id outcome", ints="bookable_cents"))
@@ -283,7 +297,7 @@ def evaluated_interventions(inp):
 
 # Claims for the persistence queries: every closed window is taken as if it had booked its projected value.
 ORACLE_VIEWS["o_claims"] = f"""SELECT i.intervention_id, i.exec_on, i.baseline_days, i.exec_on + i.latency_days + i.window_days AS eligible_on, i.estimator, s.sign, s.week_factor, i.projected_cents AS bookable_cents
-  FROM o_iv i JOIN o_scaled s USING (intervention_id) WHERE s.ok AND i.exec_on + i.latency_days + i.window_days <= {DAY}"""
+  FROM o_iv i JOIN o_scale s USING (intervention_id) WHERE i.exec_on + i.latency_days + i.window_days <= {DAY}"""
 ORACLE_VIEWS["o_cuts"] = f"SELECT *, eligible_on + CAST(7 * j AS INTEGER) AS cut FROM (SELECT *, unnest(range(0, CAST(floor(date_diff('day', eligible_on, {DAY}) / 7) AS BIGINT) + 1)) AS j FROM o_claims)"
 ORACLE_VIEWS["o_effects"] = """SELECT intervention_id, cut AS date, CASE WHEN estimator = 'did' THEN CASE WHEN tn1 >= 2 AND cn1 >= 2 AND tn0 >= 4 AND cn0 >= 4 THEN greatest(0, (t1 - t0 - (c1 - c0)) * sign * week_factor) ELSE bookable_cents END
     ELSE CASE WHEN tn0 >= 3 AND tn1 >= 2 THEN greatest(0, (t0 - t1) * sign * week_factor) ELSE bookable_cents END END AS y FROM (
@@ -293,11 +307,10 @@ ORACLE_VIEWS["o_effects"] = """SELECT intervention_id, cut AS date, CASE WHEN es
 
 
 def claims(inp):
-    p, reg, daily, pairs = _series(inp)
-    volume = measure.window_volume(p, daily, reg.invoices, reg.item_days, reg.menu)
-    scaled = measure.scale_to_week(measure.measure_interventions(pairs, p), p, volume, AS_OF).filter("ok").select(KEY, "sign", "week_factor")
+    p, _, scaled = _scaled(inp)
+    scaled = scaled.select(KEY, "sign", "week_factor")
     closed = evaluate.closed_windows(p, AS_OF).filter(F.col("eligible_on") <= F.lit(AS_OF).cast("date"))
-    return pairs, closed.withColumn("bookable_cents", F.col("projected_cents")).join(scaled, KEY)
+    return _series(inp), closed.withColumn("bookable_cents", F.col("projected_cents")).join(scaled, KEY)
 
 
 @query("effect_over_time", tidy_sql("SELECT * FROM o_effects", keep="intervention_id", doubles="y", dates="date", digits=2))
@@ -308,20 +321,21 @@ def effect_over_time(inp):
 
 ORACLE_VIEWS["o_fit"] = """SELECT *, sqrt(greatest(syy - 2 * b * sxy + b * b * sxx, 0) / (n - 1) / sxx) AS se, CASE WHEN b < 0 THEN ln(2.0) / -b ELSE 'infinity'::DOUBLE END AS hl FROM (
   SELECT intervention_id, count(*) AS n, regr_slope(l, i) AS b, regr_sxx(l, i) AS sxx, regr_syy(l, i) AS syy, regr_sxy(l, i) AS sxy, arg_max(v, i) / arg_min(v, i) AS retention FROM (
-    SELECT intervention_id, ln(greatest(y, 1)) AS l, greatest(y, 1) AS v, row_number() OVER (PARTITION BY intervention_id ORDER BY date) - 1 AS i FROM o_effects) GROUP BY ALL) WHERE n >= 3"""
+    SELECT intervention_id, ln(greatest(y, 1)) AS l, greatest(y, 1) AS v, row_number() OVER (PARTITION BY intervention_id ORDER BY date) - 1 AS i FROM o_effects) GROUP BY ALL)"""
 
 
 @query(
     "persistence_fit",
     tidy_sql(
-        """SELECT intervention_id, CASE WHEN retention < 0.6 THEN 'decaying' ELSE 'holding' END AS persistence_status, CASE WHEN b - 1.96 * se <= 0 AND b + 1.96 * se >= 0 THEN 'structural' WHEN hl < 8 THEN 'upkeep' ELSE 'durable' END AS persistence_class,
-        b AS slope, retention, floor(n / 4) AS checks, n AS elapsed_weeks FROM o_fit""",
+        """SELECT intervention_id, CASE WHEN n < 3 THEN 'not_assessed' WHEN retention < 0.6 THEN 'decaying' ELSE 'holding' END AS persistence_status,
+        CASE WHEN n < 3 THEN NULL WHEN b - 1.96 * se <= 0 AND b + 1.96 * se >= 0 THEN 'structural' WHEN hl < 8 THEN 'upkeep' ELSE 'durable' END AS persistence_class,
+        CASE WHEN n >= 3 THEN b END AS slope, CASE WHEN n >= 3 THEN retention END AS retention, CASE WHEN n >= 3 THEN floor(n / 4) ELSE 0 END AS checks, CASE WHEN n >= 3 THEN n END AS elapsed_weeks FROM o_fit""",
         keep="intervention_id persistence_status persistence_class", ints="checks elapsed_weeks", doubles="slope retention",
     ),
 )
 def persistence_fit(inp):
     pairs, held = claims(inp)
-    out = persistence.persistence(persistence.effect_over_time(pairs, held, AS_OF), plans(inp)).filter("persistence_status <> 'not_assessed'")
+    out = persistence.persistence(persistence.effect_over_time(pairs, held, AS_OF), plans(inp))
     return tidy(out.select(KEY, "persistence_status", "persistence_class", "slope", "retention", "checks", "elapsed_weeks"))
 
 
@@ -432,5 +446,4 @@ def refreshed_projections(inp):
     ),
 )
 def counterfactual_series(inp):
-    p, _, _, pairs = _series(inp)
-    return tidy(series.counterfactual_series(pairs.join(p.select(KEY, "exec_on"), KEY)).drop("exec_on"), 4)
+    return tidy(series.counterfactual_series(_series(inp).join(plans(inp).select(KEY, "exec_on"), KEY)).drop("exec_on"), 4)
