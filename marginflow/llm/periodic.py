@@ -33,7 +33,8 @@ from .common import without
 MIN_WORDS = 24
 #: A run of 24 words or more repeats all its windows of so many words.
 WINDOW = 8
-CHARS_AT_ONCE = 2_000_000
+CHARS_AT_ONCE = 500_000
+CANDIDATES_AT_ONCE = 200_000
 RUN = T.StructType([T.StructField(n, T.LongType(), False) for n in ("start", "length", "period")])
 _ODD, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
@@ -212,7 +213,7 @@ def crossing(words: np.ndarray, nodes: np.ndarray, min_words: int) -> np.ndarray
         total = np.cumsum(stop - start)
         begin = 0
         while begin < len(nodes):
-            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + 1_000_000, "right")))
+            end = max(begin + 1, int(np.searchsorted(total, (total[begin - 1] if begin else 0) + CANDIDATES_AT_ONCE, "right")))
             many = (stop - start)[begin:end]
             node = np.repeat(np.arange(begin, end), many)
             place = order[np.repeat(start[begin:end], many) + np.arange(len(node)) - np.repeat(np.cumsum(many) - many, many)]
