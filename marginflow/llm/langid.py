@@ -22,6 +22,7 @@ import importlib.util
 from collections import Counter
 from collections.abc import Callable, Iterator
 from functools import lru_cache
+from itertools import chain
 from pathlib import Path
 
 import numpy as np
@@ -45,6 +46,7 @@ FLOOR = 1e-9
 #: Different words that a task keeps before it starts anew.
 REMEMBERED = 200_000
 UNITS_AT_ONCE = 20_000
+ROWS_AT_ONCE = 200
 UNKNOWN = "und"
 _LETTERS = regex.compile(r"\p{L}[\p{L}\p{M}]*")
 
@@ -106,9 +108,10 @@ def pieces_of(path: str) -> Pieces:
 
 def _sweep(values: np.ndarray, source: np.ndarray, target: np.ndarray, factor: np.ndarray, level: np.ndarray, levels: Iterator[int]) -> None:
     """Adds up factor times the source's value at every target, one level of places after another."""
-    order = np.lexsort((target, level))
-    source, target, level = source[order], target[order], level[order]
-    factor = factor[order]
+    # Edges come as few ascending runs, and levels are bytes: both stable sorts are close to linear.
+    order = np.argsort(target, kind="stable")
+    order = order[np.argsort(level[order].astype(np.int8), kind="stable")]
+    source, target, level, factor = source[order], target[order], level[order], factor[order]
     begins = np.searchsorted(level, np.arange(LONGEST + 2))
     for k in levels:
         part = slice(begins[k], begins[k + 1])
@@ -143,9 +146,9 @@ def expected(pieces: Pieces, p: np.ndarray, units: list[bytes], lang: np.ndarray
 
 def units_of(word: str) -> list[bytes]:
     out = []
-    for run in _LETTERS.findall(word):
+    for run in (word,) if word.isalpha() else _LETTERS.findall(word):
         unit = b" " + run.encode("utf-8", "surrogatepass")
-        out += [unit[k : k + LONGEST] for k in range(0, len(unit), LONGEST)]
+        out += [unit] if len(unit) <= LONGEST else [unit[k : k + LONGEST] for k in range(0, len(unit), LONGEST)]
     return out
 
 
@@ -236,27 +239,31 @@ def predictor(model: Model) -> Callable:
             nonlocal table, letters
             found = [units_of(w) for w in fresh]
             many = np.fromiter(map(len, found), np.int64, len(found))
-            flat, added = [u for us in found for u in us], np.zeros((len(fresh), len(model.langs)))
-            owner = np.repeat(np.arange(len(fresh)), many)
-            for k in range(0, len(flat), UNITS_AT_ONCE):
-                np.add.at(added, owner[k : k + UNITS_AT_ONCE], forward(pieces, model.p, flat[k : k + UNITS_AT_ONCE]))
+            number = {u: k for k, u in enumerate(dict.fromkeys(u for us in found for u in us))}
+            units, added = list(number), np.zeros((len(fresh), len(model.langs)))
+            each = [forward(pieces, model.p, units[k : k + UNITS_AT_ONCE]) for k in range(0, len(units), UNITS_AT_ONCE)]
+            if each:
+                flat = np.concatenate(each)[np.fromiter((number[u] for us in found for u in us), np.int64, int(many.sum()))]
+                some = np.flatnonzero(many)
+                added[some] = np.add.reduceat(flat, (np.cumsum(many) - many)[some], axis=0)
             row.update(zip(fresh, range(len(row), len(row) + len(fresh))))
             table, letters = np.concatenate([table, added]), np.concatenate([letters, many])
 
         for whole in batches:
-            for k in range(0, whole.num_rows, 500):
-                batch = whole.slice(k, 500)
+            for k in range(0, whole.num_rows, ROWS_AT_ONCE):
+                batch = whole.slice(k, ROWS_AT_ONCE)
                 likelihood, lettered = np.zeros((batch.num_rows, len(model.langs))), np.zeros(batch.num_rows, np.int64)
                 texts = [_words(t.as_py()) for t in batch.column(batch.num_columns - 1)]
                 if len(row) > REMEMBERED:
                     row, table, letters = {}, table[:0], letters[:0]
-                if fresh := sorted(set().union(*texts).difference(row)):
+                if fresh := list(set().union(*texts).difference(row)):
                     learn_words(fresh)
-                for i, words in enumerate(texts):
-                    if words:
-                        at = np.bincount(np.fromiter(map(row.__getitem__, words), np.int64, len(words)))
-                        used = np.flatnonzero(at)
-                        likelihood[i], lettered[i] = at[used] @ table[used], at[used] @ letters[used]
+                sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+                at = np.fromiter(chain.from_iterable(map(row.__getitem__, words) for words in texts), np.int64, int(sizes.sum()))
+                if len(at):
+                    some = np.flatnonzero(sizes)
+                    begins = (np.cumsum(sizes) - sizes)[some]
+                    likelihood[some], lettered[some] = np.add.reduceat(table[at], begins, axis=0), np.add.reduceat(letters[at], begins)
                 if model.langs:
                     posterior = likelihood + model.prior
                     best = posterior.argmax(axis=1)
