@@ -1,8 +1,7 @@
 """Figures by room and for the group: KPIs, funnel, conversions, accrual, feed risk, bridge.
 
-Every figure of every scope comes from one aggregate over small facts: a claim
-emits one row for the group, one per room it names, and one shared row (``*``)
-that counts in every room where it belongs to the group as a whole.
+Every figure of every scope comes from one star fact (``star``): claims are added
+up per figure and set of rooms, and only sets are ever opened into rooms.
 """
 
 from __future__ import annotations
@@ -17,8 +16,9 @@ from .. import dims
 from ..functions.dates import day, days_in_month, month_of, to_date, week_of
 from ..functions.numeric import round_cents
 from ..functions.text import format_pct, format_usd
-from ..session import attach, rank_in_group
-from .persistence import accrual_days
+from ..session import attach, durable, rank_in_group
+from . import star
+from .persistence import accrual_days, period_cents
 
 Day = str | dt.date
 KEY = "intervention_id"
@@ -65,14 +65,14 @@ def equal_part(cents: Column, position: Column, parts: Column) -> Column:
 
 
 def resolve_locs(records: DataFrame, locations: DataFrame) -> DataFrame:
-    """Gives records of the group that name no room all rooms."""
+    """Gives records of the group that name no room the list of all rooms, for records that are handed out.
+
+    Figures by room do not need it: they take such records as the set of all rooms.
+    """
     named = F.when(F.size("locs") > 0, F.col("locs"))
     every = F.when(F.col("loc") == "group", F.col("_rooms"))
-    return attach(records, _room_list(locations)).withColumn("locs", F.coalesce(named, every, F.array("loc"))).drop("_rooms")
-
-
-def _room_list(locations: DataFrame) -> DataFrame:
-    return locations.agg(F.array_sort(F.collect_set("loc")).alias("_rooms"))
+    rooms = locations.agg(F.array_sort(F.collect_set("loc")).alias("_rooms"))
+    return attach(records, rooms).withColumn("locs", F.coalesce(named, every, F.array("loc"))).drop("_rooms")
 
 
 def claim_location_cents(claims: DataFrame, cents: str = "cents") -> DataFrame:
@@ -81,42 +81,6 @@ def claim_location_cents(claims: DataFrame, cents: str = "cents") -> DataFrame:
     return parts.withColumn("room_cents", equal_part(F.col(cents), F.col("_pos"), F.size("locs"))).drop("_pos")
 
 
-def _scopes(cents: Column) -> Column:
-    """Scope rows of one claim: the group, its rooms, and the shared row of a group claim."""
-    group = F.col("loc") == "group"
-    row = lambda scope, value, n: F.struct(scope.alias("scope"), value.cast("bigint").alias("cents"), n.cast("bigint").alias("n"))
-    rooms = F.transform("locs", lambda room, i: row(room, equal_part(cents, i, F.size("locs")), F.when(group, 0).otherwise(1)))
-    shared = F.when(group, F.array(row(F.lit("*"), F.lit(0), F.lit(1)))).otherwise(F.array().cast("array<struct<scope:string,cents:bigint,n:bigint>>"))
-    return F.concat(F.array(row(F.lit("all"), cents, F.lit(1))), rooms, shared)
-
-
-def _facts(records: DataFrame, entries: dict[str, tuple[Column, Column]]) -> DataFrame:
-    """(figure, scope, cents, n) rows: each entry is a test and an amount."""
-    figures = F.filter(
-        F.array(*(F.when(F.coalesce(test, F.lit(False)), F.struct(F.lit(name).alias("figure"), amount.cast("bigint").alias("amount"))) for name, (test, amount) in entries.items())),
-        lambda e: e.isNotNull(),
-    )
-    rows = records.select("loc", "locs", F.inline(figures))
-    amount = F.coalesce("amount", F.lit(0).cast("bigint"))
-    return rows.withColumn("amount", amount).select("figure", F.inline(_scopes(F.col("amount"))))
-
-
-def _by_scope(facts: DataFrame, locations: DataFrame, figures: list[str]) -> DataFrame:
-    """One row per scope with ``c_<figure>`` cents and ``n_<figure>`` counts; shared rows added to every room."""
-    sums = facts.groupBy("scope").agg(
-        *(F.sum(F.when(F.col("figure") == f, F.col("cents"))).alias(f"c_{f}") for f in figures),
-        *(F.sum(F.when(F.col("figure") == f, F.col("n"))).alias(f"n_{f}") for f in figures),
-    )
-    shared = sums.filter(F.col("scope") == "*").agg(*(F.coalesce(F.max(f"n_{f}"), F.lit(0)).alias(f"s_{f}") for f in figures))
-    spark = locations.sparkSession
-    scopes = locations.select(F.col("loc").alias("scope")).unionByName(spark.range(1).select(F.lit("all").alias("scope")))
-    out = attach(scopes.join(sums, "scope", "left").fillna(0), shared)
-    everywhere = F.col("scope") == "all"
-    for f in figures:
-        out = out.withColumn(f"n_{f}", F.col(f"n_{f}") + F.when(everywhere, 0).otherwise(F.col(f"s_{f}"))).drop(f"s_{f}")
-    return out
-
-
 def _room_count(locations: DataFrame) -> DataFrame:
     return locations.agg(F.count(F.lit(1)).alias("rooms"))
 
@@ -136,14 +100,12 @@ def fee_for_period(monthly_cents: int, scope: Column, rooms: Column, since: Day,
 
 
 def accrual_in_period(evals: DataFrame, as_of: Day, since: Day, through: Day) -> DataFrame:
-    """Rounded accrual of each claim inside a closed period."""
-    return accrual_days(evals, as_of, since, through).groupBy(KEY).agg(round_cents(F.sum("y")).alias("period_cents"))
+    """Rounded accrual of each claim inside a closed period; claims without a day in it have no row."""
+    return evals.withColumn("period_cents", period_cents(as_of, since, through)).filter(F.col("period_cents").isNotNull()).select(KEY, "period_cents")
 
 
-def _eval_facts(evals: DataFrame, sides: DataFrame, as_of: Day, since: Day, through: Day) -> DataFrame:
-    side = sides.select(KEY, F.col("status").alias("side_status"), F.col("observed_cents").alias("side_cents"))
-    period = accrual_in_period(evals, as_of, since, through)
-    return evals.join(side, KEY, "left").join(period, KEY, "left").withColumn("period_cents", F.coalesce("period_cents", F.lit(0)))
+def _sided(evals: DataFrame, sides: DataFrame) -> DataFrame:
+    return evals.join(sides.select(KEY, F.col("status").alias("side_status"), F.col("observed_cents").alias("side_cents")), KEY, "left")
 
 
 def kpis(
@@ -153,7 +115,7 @@ def kpis(
     """The sixteen figures, for every room and for the group, with their class."""
     c = F.col
     zero = F.lit(0)
-    finding_facts = _facts(
+    finding_facts = star.claims(
         findings,
         {
             "exposure": (c("state").isin(list(OPEN)), c("exposure_cents")),
@@ -162,8 +124,8 @@ def kpis(
     )
     held = c("bookable_cents").isNotNull()
     lasting = held & c("persistence_status").isNotNull() & (c("persistence_status") != "decaying")
-    rows = _eval_facts(evals, sides, as_of, since, through)
-    eval_facts = _facts(
+    rows = _sided(evals, sides).withColumn("period_cents", F.coalesce(period_cents(as_of, since, through), zero))
+    eval_facts = star.claims(
         rows,
         {
             "approved": (c("state").isin("approved", "scheduled", "in_progress", "evidence_pending"), c("projected_cents")),
@@ -176,11 +138,12 @@ def kpis(
             "reconciled": (held & (c("side_status") == "reconciled"), c("side_cents")),
         },
     )
-    other = _facts(adjustments, {"adjustments": (c("status") != "open", c("cents"))}).unionByName(
-        _facts(actions.withColumn("locs", F.array("loc")), {"overdue": ((c("state") == "open") & (c("due_on") < day(to_date(as_of))), zero)})
+    other = star.claims(adjustments, {"adjustments": (c("status") != "open", c("cents"))}).unionByName(
+        star.claims(actions.withColumn("locs", F.array("loc")), {"overdue": ((c("state") == "open") & (c("due_on") < day(to_date(as_of))), zero)})
     )
     names = ["exposure", "recoverable", "approved", "active", "measured", "verified", "realized", "persistent", "runrate", "reconciled", "adjustments", "overdue"]
-    wide = with_rooms(_by_scope(finding_facts.unionByName(eval_facts).unionByName(other), locations, names), locations)
+    fact = star.added_up(finding_facts.unionByName(eval_facts).unionByName(other), locations)
+    wide = with_rooms(star.by_scope(fact, locations, names), locations)
     pilot = feeds.filter(c("tier") == "Pilot").agg(F.coalesce(F.avg("completeness"), F.lit(0.0)).alias("dq"))
     wide = attach(wide, pilot)
     fee = round_cents(fee_for_period(fee_monthly_cents, c("scope"), c("rooms"), since, through))
@@ -205,16 +168,15 @@ def funnel(findings: DataFrame, evals: DataFrame, sides: DataFrame, locations: D
     linked = evals.select(c("finding_id").alias("id")).distinct().withColumn("_linked", F.lit(True))
     rows = findings.join(linked, "id", "left")
     accepted = c("state").isin("accepted", "converted") | c("_linked").isNotNull()
-    first = _facts(
+    first = star.claims(
         rows,
         {"Detected": (F.lit(True), c("exposure_cents")), "Qualified": (c("qualified"), c("recoverable_cents")), "Accepted": (accepted, c("recoverable_cents"))},
     )
-    side = sides.select(KEY, c("status").alias("side_status"), c("observed_cents").alias("side_cents"))
     ran = c("fidelity").isin(list(EXECUTED)) & ~c("state").isin("approved", "scheduled")
     held = c("bookable_cents").isNotNull() | c("reversed_claim_cents").isNotNull()
     lasting = held & c("persistence_status").isNotNull() & (c("persistence_status") != "decaying")
-    second = _facts(
-        evals.join(side, KEY, "left"),
+    second = star.claims(
+        _sided(evals, sides),
         {
             "Executed": (ran, c("projected_cents")),
             "Measured": (c("window_closed") & c("point").isNotNull(), F.greatest(F.lit(0), round_cents(c("point")))),
@@ -225,7 +187,7 @@ def funnel(findings: DataFrame, evals: DataFrame, sides: DataFrame, locations: D
     )
     stages = ["Detected", "Qualified", "Accepted", "Executed", "Measured", "Verified", "Persistent", "Reconciled"]
     klass = ["profit_exposure", "recoverable", "recoverable", "committed", "measured", "verified", "bookable", "bookable"]
-    wide = _by_scope(first.unionByName(second), locations, stages)
+    wide = star.by_scope(star.added_up(first.unionByName(second), locations), locations, stages)
     cells = F.array(
         *(
             F.struct(
@@ -238,10 +200,22 @@ def funnel(findings: DataFrame, evals: DataFrame, sides: DataFrame, locations: D
     return wide.select("scope", F.inline(cells))
 
 
-def _membership(records: DataFrame, locations: DataFrame) -> DataFrame:
-    """A record once per scope it shows in: the group, its rooms, and every room if it belongs to the group."""
-    scopes = F.concat(F.array(F.lit("all")), F.when(F.col("loc") == "group", F.col("_rooms")).otherwise(F.col("locs")))
-    return attach(records, _room_list(locations)).withColumn("scope", F.explode(scopes)).drop("_rooms")
+def _lag_medians(lags: DataFrame, locations: DataFrame, names: list[str]) -> DataFrame:
+    """Exact medians per scope of lags in days: claims are counted per set of rooms and lag before any room is named.
+
+    ``lags``: (rooms, of_group and the named columns). A claim of the group counts in every room; its histogram, as long
+    as there are different lags, is the same for all of them.
+    """
+    cells = F.array(*(F.struct(F.lit(n).alias("name"), F.col(n).alias("lag")) for n in names))
+    long = lags.select("rooms", "of_group", F.inline(cells)).filter(F.col("lag").isNotNull())
+    counts = durable(long.groupBy("rooms", "of_group", "name", "lag").agg(F.count(F.lit(1)).alias("n")))
+    own = counts.filter(~F.col("of_group") & (F.col("rooms") != star.EVERY)).select(F.explode(F.array_distinct(star.named_rooms())).alias("scope"), "name", "lag", "n")
+    whole = counts.select(F.lit("all").alias("scope"), "name", "lag", "n")
+    shared = counts.filter("of_group").groupBy("name", "lag").agg(F.sum("n").alias("n")).agg(F.collect_list(F.struct("name", "lag", "n")).alias("_shared"))
+    every = attach(locations.select(F.col("loc").alias("scope")), shared).select("scope", F.inline("_shared"))
+    hist = own.unionByName(whole).unionByName(every).groupBy("scope", "name", "lag").agg(F.sum("n").alias("n"))
+    # Days are small integers: a scope has as many rows as there are different lags.
+    return hist.groupBy("scope").agg(*(F.percentile(F.when(F.col("name") == n, F.col("lag")), 0.5, F.col("n")).alias(n) for n in names))
 
 
 def conversions(
@@ -254,31 +228,28 @@ def conversions(
     closed = c("window_closed") & c("point").isNotNull()
     held = c("bookable_cents").isNotNull() | c("reversed_claim_cents").isNotNull()
     lasting = held & c("persistence_status").isNotNull() & (c("persistence_status") != "decaying")
-    a = _facts(
+    a = star.claims(
         findings,
         {
             "all_f": (F.lit(True), none), "qualified": (c("qualified"), none),
             "presented": (c("state").isin("awaiting_decision", "accepted", "rejected", "converted"), none), "accepted": (c("state").isin("accepted", "converted"), none),
         },
     )
-    rows = evals.join(accrual_in_period(evals, as_of, since, through), KEY, "left")
-    b = _facts(
-        rows,
+    b = star.claims(
+        evals.withColumn("period_cents", period_cents(as_of, since, through)),
         {
             "executed": (ran, none), "evidenced": (ran & (c("evidence_resolved") == c("evidence_total")), none), "measured": (closed, none), "verified": (held, none),
             "guarded": (closed & (c("guardrails_passed") == c("guardrails_total")), none), "persistent": (lasting, F.coalesce("period_cents", none)),
         },
     )
     names = ["all_f", "qualified", "presented", "accepted", "executed", "evidenced", "measured", "verified", "guarded", "persistent"]
-    wide = with_rooms(_by_scope(a.unionByName(b), locations, names), locations)
-    # Days are small integers, so the exact median keeps a bounded table of distinct values.
+    wide = with_rooms(star.by_scope(star.added_up(a.unionByName(b), locations), locations, names), locations)
     found = findings.select(c("id").alias("finding_id"), "detected_on")
     lags = evals.join(found, "finding_id", "left").select(
-        "loc", "locs", F.when(c("detected_on") <= c("decided_on"), F.datediff("decided_on", "detected_on")).alias("to_act"),
-        F.when(held, F.datediff("eligible_on", "decided_on")).alias("to_verify"),
+        star.room_set().alias("rooms"), (c("loc") == star.GROUP).alias("of_group"), F.when(c("detected_on") <= c("decided_on"), F.datediff("decided_on", "detected_on")).alias("t2a"),
+        F.when(held, F.datediff("eligible_on", "decided_on")).alias("t2v"),
     )
-    medians = _membership(lags, locations).groupBy("scope").agg(F.percentile("to_act", 0.5).alias("t2a"), F.percentile("to_verify", 0.5).alias("t2v"))
-    wide = wide.join(medians, "scope", "left")
+    wide = wide.join(_lag_medians(lags, locations, ["t2a", "t2v"]), "scope", "left")
     rate = lambda x, y: F.try_divide(c(f"n_{x}"), c(f"n_{y}"))
     fee = fee_for_period(fee_monthly_cents, c("scope"), c("rooms"), since, through)
     in_scope = F.when(c("scope") == "all", c("rooms")).otherwise(1)
@@ -301,14 +272,10 @@ def conversions(
 # -- accrual ----------------------------------------------------------------
 
 
-def daily_accrual(evals: DataFrame, as_of: Day) -> DataFrame:
+def daily_accrual(evals: DataFrame, locations: DataFrame, as_of: Day) -> DataFrame:
     """Accrual per scope and day. Claims of one set of rooms are summed before they are split."""
-    days = accrual_days(evals, as_of).withColumn("_rooms", F.array_sort("locs")).groupBy("_rooms", "date").agg(F.sum("y").alias("y"))
-    share = 1 / F.size("_rooms")
-    scopes = F.concat(
-        F.array(F.struct(F.lit("all").alias("scope"), F.lit(1.0).alias("share"))), F.transform("_rooms", lambda r: F.struct(r.alias("scope"), share.alias("share")))
-    )
-    return days.select("date", "y", F.inline(scopes)).groupBy("scope", "date").agg(F.sum(F.col("y") * F.col("share")).alias("y"))
+    days = accrual_days(evals.withColumn("rooms", star.room_set()), as_of).select("rooms", "date", F.col("y").alias("amount"))
+    return star.shares(days, locations, ["date"]).withColumnRenamed("amount", "y")
 
 
 def cumulative_accrual(daily: DataFrame) -> DataFrame:
@@ -324,8 +291,11 @@ def accrual_by_week(daily: DataFrame) -> DataFrame:
 def accrual_by_month(daily: DataFrame, adjustments: DataFrame, locations: DataFrame, as_of: Day, fee_monthly_cents: int) -> DataFrame:
     """Months with accrual: cents, adjustments of the month and the fee, the running month in proportion."""
     months = daily.groupBy("scope", month_of("date").alias("month")).agg(round_cents(F.sum("y")).alias("cents"))
-    settled = adjustments.filter(F.col("status") != "open").select("loc", "locs", "cents", month_of("on_date").alias("month"))
-    moved = settled.select("month", F.inline(_scopes(F.col("cents")))).groupBy("scope", "month").agg(F.sum("cents").alias("adjustments_cents"))
+    settled = star.claims(adjustments.withColumn("month", month_of("on_date")), {"moved": (F.col("status") != "open", F.col("cents"))}, also=["month"])
+    fact = star.added_up(settled, locations, by=["figure", "month"])
+    whole = fact.groupBy("month").agg(F.sum("cents").alias("cents")).withColumn("scope", F.lit("all"))
+    moved = star.by_room(fact, locations, by=["figure", "month"]).select("scope", "month", F.col("cents").alias("adjustments_cents"))
+    moved = moved.unionByName(whole.select("scope", "month", F.col("cents").alias("adjustments_cents")))
     today = to_date(as_of)
     running = F.when(F.col("month") == today.strftime("%Y-%m"), F.lit(today.day) / days_in_month(day(today))).otherwise(F.lit(1.0))
     share = F.when(F.col("scope") == "all", F.lit(1.0)).otherwise(1 / F.greatest(F.col("rooms"), F.lit(1)))
@@ -348,13 +318,6 @@ def accrual_now(daily: DataFrame, as_of: Day) -> DataFrame:
 # -- risk and bridge --------------------------------------------------------
 
 
-def _feed_scopes(amount: Column) -> Column:
-    """Unrounded shares of an amount: the group, and each room named."""
-    share = amount / F.size("locs")
-    row = lambda scope, value: F.struct(scope.alias("scope"), value.cast("double").alias("amount"))
-    return F.concat(F.array(row(F.lit("all"), amount)), F.transform("locs", lambda room: row(room, share)))
-
-
 def feed_risk(findings: DataFrame, evals: DataFrame, feeds: DataFrame, locations: DataFrame) -> DataFrame:
     """Dollars that rest on each feed, per scope; a claim is split over the feeds it cites."""
     c = F.col
@@ -363,24 +326,23 @@ def feed_risk(findings: DataFrame, evals: DataFrame, feeds: DataFrame, locations
     blocked = c("state") == "data_insufficient"
     kind = F.when(blocked, "blocked").when(c("state").isin(list(OPEN)), "open")
     amount = F.when(blocked, c("exposure_cents")).otherwise(c("recoverable_cents")) / n
-    a = live.withColumn("kind", kind).filter(c("kind").isNotNull()).withColumn("_amount", amount)
-    a = a.select(F.explode("feeds").alias("code"), "kind", "locs", "_amount").select("code", "kind", F.inline(_feed_scopes(c("_amount"))))
+    a = live.withColumn("kind", kind).filter(c("kind").isNotNull())
+    a = a.select(F.explode("feeds").alias("code"), "kind", star.room_set().alias("rooms"), amount.cast("double").alias("amount"))
     used = F.array(*(F.lit(f) for f in dims.BASE_FEEDS))
     for lever in dims.LEVER_FEEDS:
         used = F.when(c("lever") == lever, F.array(*(F.lit(f) for f in dims.feeds_used(lever)))).otherwise(used)
     rows = evals.withColumn("_used", used)
     kinds = F.array(
-        F.struct(F.when(c("state") == "measuring", "monitoring").alias("kind"), (c("projected_cents") / F.size("_used")).alias("_amount")),
-        F.struct(F.when(c("bookable_cents").isNotNull(), "verified").alias("kind"), (c("bookable_cents") / F.size("_used")).alias("_amount")),
+        F.struct(F.when(c("state") == "measuring", "monitoring").alias("kind"), (c("projected_cents") / F.size("_used")).cast("double").alias("amount")),
+        F.struct(F.when(c("bookable_cents").isNotNull(), "verified").alias("kind"), (c("bookable_cents") / F.size("_used")).cast("double").alias("amount")),
     )
-    b = rows.withColumn("code", F.explode("_used")).select("locs", "code", F.inline(kinds)).filter(c("kind").isNotNull())
-    b = b.select("code", "kind", F.inline(_feed_scopes(c("_amount"))))
+    b = rows.withColumn("code", F.explode("_used")).select(star.room_set().alias("rooms"), "code", F.inline(kinds)).filter(c("kind").isNotNull())
     part = lambda k: round_cents(F.coalesce(F.sum(F.when(c("kind") == k, c("amount"))), F.lit(0.0)))
-    sums = a.unionByName(b).groupBy("code", "scope").agg(
+    sums = star.shares(a.unionByName(b), locations, ["code", "kind"]).groupBy("code", "scope").agg(
         part("open").alias("open_exposure_cents"), part("monitoring").alias("monitoring_cents"), part("verified").alias("verified_at_risk_cents"), part("blocked").alias("blocked_cents"),
     )
-    rooms = locations.agg(F.concat(F.array(F.lit("all")), F.array_sort(F.collect_set("loc"))).alias("_scopes"))
-    grid = attach(feeds.select("code"), rooms).select("code", F.explode("_scopes").alias("scope"))
+    # The feed catalogue has a handful of codes; rooms stay rows.
+    grid = attach(star.scopes(locations), feeds.agg(F.collect_set("code").alias("_codes"))).select(F.explode("_codes").alias("code"), "scope")
     return grid.join(sums, ["code", "scope"], "left").fillna(0)
 
 

@@ -104,6 +104,15 @@ def accrual_days(evals: DataFrame, as_of: Day, since: Day | None = None, through
     return rows.withColumn("date", F.date_add("eligible_on", F.col("_d"))).withColumn("y", y).drop("_d")
 
 
+def period_cents(as_of: Day, since: Day, through: Day) -> Column:
+    """Rounded accrual of a claim inside a closed period, on its own row; null where no day of it accrues."""
+    last = F.least(F.datediff(_stop(as_of), F.col("eligible_on")) - 1, F.datediff(day(to_date(through)), F.col("eligible_on")))
+    first = F.greatest(F.lit(0), F.datediff(day(to_date(since)), F.col("eligible_on")))
+    daily = lambda d: F.col("bookable_cents") / 7 * decay_at(F.col("persistence_class"), F.col("half_life_weeks"), F.floor(d / 7))
+    days = F.when(last >= first, F.sequence(first, last))
+    return F.when(F.col("bookable_cents").isNotNull() & (last >= first), round_cents(F.aggregate(days, F.lit(0.0), lambda acc, d: acc + daily(d))))
+
+
 def realize(evals: DataFrame, as_of: Day) -> DataFrame:
     """Realized cents, weeks held and annual run rate, without expanding the days."""
     days = F.greatest(F.lit(0), F.datediff(_stop(as_of), F.col("eligible_on")))

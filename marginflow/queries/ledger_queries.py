@@ -189,7 +189,7 @@ ORACLE_VIEWS["o_acc"] = f"SELECT scope, date, sum(y * {_SHARE}) AS y FROM o_deca
     tidy_sql("SELECT scope, date, floor(y + 0.5) AS cents, floor(sum(y) OVER (PARTITION BY scope ORDER BY date ROWS UNBOUNDED PRECEDING) + 0.5) AS cumulative FROM o_acc", keep="scope", ints="cents cumulative", dates="date"),
 )
 def scope_accrual(inp):
-    return tidy(ledger.cumulative_accrual(ledger.daily_accrual(evals(inp), AS_OF)))
+    return tidy(ledger.cumulative_accrual(ledger.daily_accrual(evals(inp), inp.view("reg_locations"), AS_OF)))
 
 
 @query(
@@ -197,7 +197,7 @@ def scope_accrual(inp):
     tidy_sql("SELECT scope, date_trunc('week', date)::DATE AS week, floor(sum(y) + 0.5) AS cents FROM o_acc GROUP BY ALL", keep="scope", ints="cents", dates="week"),
 )
 def weekly_accrual(inp):
-    return tidy(ledger.accrual_by_week(ledger.daily_accrual(evals(inp), AS_OF)))
+    return tidy(ledger.accrual_by_week(ledger.daily_accrual(evals(inp), inp.view("reg_locations"), AS_OF)))
 
 
 @query(
@@ -210,7 +210,7 @@ def weekly_accrual(inp):
     ),
 )
 def monthly_accrual(inp):
-    return tidy(ledger.accrual_by_month(ledger.daily_accrual(evals(inp), AS_OF), adjustments(inp), inp.view("reg_locations"), AS_OF, FEE))
+    return tidy(ledger.accrual_by_month(ledger.daily_accrual(evals(inp), inp.view("reg_locations"), AS_OF), adjustments(inp), inp.view("reg_locations"), AS_OF, FEE))
 
 
 @query(
@@ -222,7 +222,7 @@ def monthly_accrual(inp):
     ),
 )
 def accrual_now(inp):
-    return tidy(ledger.accrual_now(ledger.daily_accrual(evals(inp), AS_OF), AS_OF))
+    return tidy(ledger.accrual_now(ledger.daily_accrual(evals(inp), inp.view("reg_locations"), AS_OF), AS_OF))
 
 
 @query("period_accrual", tidy_sql("SELECT id AS intervention_id, period_cents FROM o_period", keep="intervention_id", ints="period_cents"))
