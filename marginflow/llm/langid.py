@@ -44,7 +44,7 @@ EVEN = 0.05
 #: No piece is less likely, so that ``LONGEST`` single bytes stay above the smallest double.
 FLOOR = 1e-9
 #: Different words that a task keeps before it starts anew.
-REMEMBERED = 200_000
+REMEMBERED = 400_000
 UNITS_AT_ONCE = 20_000
 ROWS_AT_ONCE = 200
 UNKNOWN = "und"
@@ -64,22 +64,25 @@ class Pieces:
         fits = [p for p in listed if len(p) <= LONGEST and all(b >= 128 or 97 <= b <= 122 or (b == 32 and not k) for k, b in enumerate(p))]
         # Every byte is a piece, so every unit has a segmentation.
         self.names = sorted({*fits, b" ", *(bytes([b]) for b in (*range(97, 123), *range(128, 256)))})
-        state, keys, follow = {b"": 0}, [], []
+        # Bytes that occur in units get the columns of a table of followers; 0 is no state but the root, which follows none.
+        self.column = np.full(256, -1, np.int64)
+        used = sorted({b for name in self.names for b in name})
+        self.column[used] = np.arange(len(used))
+        state = {b"": 0}
         for name in self.names:
             for k in range(1, len(name) + 1):
-                if name[:k] not in state:
-                    state[name[:k]] = len(state)
-                    keys.append(state[name[: k - 1]] << 8 | name[k - 1])
-                    follow.append(state[name[:k]])
-        order = np.argsort(keys)
-        self.keys, self.follow = np.array(keys, np.int64)[order], np.array(follow, np.int64)[order]
+                state.setdefault(name[:k], len(state))
+        self.follow = np.zeros((len(state), len(used)), np.int32)
+        for prefix, number in state.items():
+            if prefix:
+                self.follow[state[prefix[:-1]], self.column[prefix[-1]]] = number
         self.piece = np.full(len(state), -1, np.int64)
         self.piece[[state[n] for n in self.names]] = np.arange(len(self.names))
 
     def lattice(self, units: list[bytes]) -> tuple[np.ndarray, ...]:
         """Nodes are the places between bytes of each unit. Edges (from, to, piece, place of from, place of to), and first nodes."""
         length = np.fromiter(map(len, units), np.int64, len(units))
-        buffer = np.frombuffer(b"".join(units), np.uint8).astype(np.int64)
+        buffer = self.column[np.frombuffer(b"".join(units), np.uint8)]
         first = np.cumsum(length + 1) - (length + 1)
         unit = np.repeat(np.arange(len(units)), length)
         place = np.arange(len(buffer)) - np.repeat(np.cumsum(length) - length, length)
@@ -90,10 +93,9 @@ class Pieces:
             at, state = at[inside], state[inside]
             if not len(at):
                 break
-            key = state << 8 | buffer[at + depth]
-            hit = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            known = self.keys[hit] == key
-            at, state = at[known], self.follow[hit[known]]
+            state = self.follow[state, buffer[at + depth]]
+            known = state > 0
+            at, state = at[known], state[known]
             whole = self.piece[state] >= 0
             found = at[whole]
             edges.append((node[found], node[found] + depth + 1, self.piece[state[whole]], place[found], place[found] + depth + 1))
@@ -232,11 +234,11 @@ def predictor(model: Model) -> Callable:
     def predict_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pieces_of(model.path)
         row: dict[str, int] = {}
-        table, letters = np.zeros((0, len(model.langs))), np.zeros(0, np.int64)
+        table, letters, filled = np.zeros((0, len(model.langs))), np.zeros(0, np.int64), 0
 
         def learn_words(fresh: list[str]) -> None:
             """Adds a row per new word: the sum over its units, and whether it has any."""
-            nonlocal table, letters
+            nonlocal table, letters, filled
             found = [units_of(w) for w in fresh]
             many = np.fromiter(map(len, found), np.int64, len(found))
             number = {u: k for k, u in enumerate(dict.fromkeys(u for us in found for u in us))}
@@ -246,8 +248,12 @@ def predictor(model: Model) -> Callable:
                 flat = np.concatenate(each)[np.fromiter((number[u] for us in found for u in us), np.int64, int(many.sum()))]
                 some = np.flatnonzero(many)
                 added[some] = np.add.reduceat(flat, (np.cumsum(many) - many)[some], axis=0)
-            row.update(zip(fresh, range(len(row), len(row) + len(fresh))))
-            table, letters = np.concatenate([table, added]), np.concatenate([letters, many])
+            row.update(zip(fresh, range(filled, filled + len(fresh))))
+            if filled + len(fresh) > len(table):
+                more = max(len(table), len(fresh))
+                table, letters = np.concatenate([table, np.zeros((more, len(model.langs)))]), np.concatenate([letters, np.zeros(more, np.int64)])
+            table[filled : filled + len(fresh)], letters[filled : filled + len(fresh)] = added, many
+            filled += len(fresh)
 
         for whole in batches:
             for k in range(0, whole.num_rows, ROWS_AT_ONCE):
@@ -255,7 +261,7 @@ def predictor(model: Model) -> Callable:
                 likelihood, lettered = np.zeros((batch.num_rows, len(model.langs))), np.zeros(batch.num_rows, np.int64)
                 texts = [_words(t.as_py()) for t in batch.column(batch.num_columns - 1)]
                 if len(row) > REMEMBERED:
-                    row, table, letters = {}, table[:0], letters[:0]
+                    row, filled = {}, 0
                 if fresh := list(set().union(*texts).difference(row)):
                     learn_words(fresh)
                 sizes = np.fromiter(map(len, texts), np.int64, len(texts))
