@@ -16,8 +16,8 @@ from .. import dims
 from ..functions.dates import day, days_in_month, month_of, to_date, week_of
 from ..functions.numeric import round_cents
 from ..functions.text import format_pct, format_usd
-from ..session import attach, durable, rank_in_group
-from . import star
+from ..session import attach, durable
+from . import selection, star
 from .persistence import accrual_days, period_cents
 
 Day = str | dt.date
@@ -39,22 +39,46 @@ def typed_sum(amounts: DataFrame, by: list[str] | None = None, cents: str = "cen
     return total.withColumn("cents", F.when(F.col("_n") > 1, refuse).otherwise(F.col("cents"))).drop("_n")
 
 
-def apportion(rows: DataFrame, claim: list[str], total: str = "total", weight: str = "weight", position: str = "pos") -> DataFrame:
+def apportion(
+    rows: DataFrame, claim: list[str], total: str = "total", weight: str = "weight", position: str = "pos", direct_rows: int = selection.DIRECT_ROWS
+) -> DataFrame:
     """Largest-remainder parts of an integer total; parts of a claim sum exactly.
 
     Equal remainders go to the lower position first. With no positive weight every
-    row takes the same floor and the first row the rest. Ranks are global positions,
-    so a claim with any number of parts never sits in one task.
+    row takes the same floor and the first row the rest. Claims of up to ``direct_rows``
+    parts are ranked in their task; of a larger one only the cut is looked for, the
+    remainder down to which parts get a cent and the last position that does among
+    equals, by selection from counts: its rows are neither sorted nor moved together.
     """
     sums = rows.groupBy(*claim).agg(F.sum(F.col(weight).cast("double")).alias("_w"), F.count(F.lit(1)).alias("_n"), F.min(position).alias("_p0"))
-    sized = rows.join(sums, claim)
+    met = lambda a, b: selection.same(a, b, claim)
+    keep = lambda side, *more: [F.col(f"{side}.{c}").alias(c) for c in more]
     flat = F.col("_w") <= 0
     raw = F.when(flat, F.col(total) / F.col("_n")).otherwise(F.try_divide(F.col(total) * F.col(weight), F.col("_w")))
+    sized = rows.alias("a").join(sums.alias("b"), met("a", "b")).select("a.*", "_w", "_n", "_p0")
     sized = sized.withColumn("_floor", F.floor(raw)).withColumn("_frac", F.when(flat, 0.0).otherwise(raw - F.floor(raw)))
-    left = sized.groupBy(*claim).agg((F.max(total) - F.sum("_floor")).alias("_left"))
-    ranked = rank_in_group(sized.join(left, claim), claim, [F.col("_frac").desc(), F.col(position)], "_rank")
-    extra = F.when(flat, F.when(F.col(position) == F.col("_p0"), F.col("_left")).otherwise(0)).otherwise((F.col("_rank") <= F.col("_left")).cast("int"))
-    return ranked.withColumn("part", (F.col("_floor") + extra).cast("bigint")).drop("_w", "_n", "_p0", "_floor", "_frac", "_left", "_rank")
+    claims = durable(sized.groupBy(*claim).agg((F.max(total) - F.sum("_floor")).alias("_left"), F.max("_n").alias("_n"), F.max("_w").alias("_w")))
+    sized = sized.alias("a").join(claims.select(*claim, "_left").alias("b"), met("a", "b")).select("a.*", "_left")
+    # Only claims with weights have a cut to look for.
+    large = claims.filter((F.col("_n") > direct_rows) & (F.col("_w") > 0) & (F.col("_left") > 0))
+    small = sized.filter((F.col("_n") <= direct_rows) & ~flat).withColumn("_rank", F.row_number().over(W.partitionBy(*claim).orderBy(F.col("_frac").desc(), position)))
+    small = small.withColumn("_extra", (F.col("_rank") <= F.col("_left")).cast("bigint")).drop("_rank")
+    level = sized.filter(flat).withColumn("_extra", F.when(F.col(position) == F.col("_p0"), F.col("_left")).otherwise(0).cast("bigint"))
+    out = small.unionByName(level)
+    if claims.filter(F.col("_n") > direct_rows).limit(1).count():
+        rest = sized.filter((F.col("_n") > direct_rows) & ~flat)
+        asked = large.select(*claim, (F.col("_n") - F.col("_left")).alias("rank"))
+        cut = selection.values_at(rest, claim, "_frac", asked).select(*claim, F.col("value").alias("_cut"))
+        cutting = rest.alias("a").join(cut.alias("b"), met("a", "b"), "left").select("a.*", "_cut")
+        # Of the parts at the cut itself, the lowest positions get what is left.
+        above = cutting.groupBy(*claim).agg(F.count(F.when(F.col("_frac") > F.col("_cut"), 1)).alias("_above"), F.max("_left").alias("_left"), F.max("_cut").alias("_cut"))
+        last = above.filter(F.col("_cut").isNotNull()).select(*claim, (F.col("_left") - F.col("_above") - 1).alias("rank"))
+        ties = cutting.filter(F.col("_frac") == F.col("_cut"))
+        until = selection.values_at(ties, claim, position, last).select(*claim, F.col("value").alias("_until"))
+        placed = cutting.alias("a").join(until.alias("b"), met("a", "b"), "left").select("a.*", "_until")
+        gets = (F.col("_frac") > F.col("_cut")) | ((F.col("_frac") == F.col("_cut")) & (F.col(position) <= F.col("_until")))
+        out = out.unionByName(placed.withColumn("_extra", F.coalesce(gets.cast("bigint"), F.lit(0).cast("bigint"))).drop("_cut", "_until"))
+    return out.withColumn("part", (F.col("_floor") + F.col("_extra")).cast("bigint")).drop("_w", "_n", "_p0", "_floor", "_frac", "_left", "_extra")
 
 
 def equal_part(cents: Column, position: Column, parts: Column) -> Column:

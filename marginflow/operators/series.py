@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.dates import week_of
-from ..functions.numeric import at_least, mean0, pearson0, quantile0, sd0, var0
+from ..functions.numeric import at_least, mean0, pearson0, sd0, var0
+from . import selection
 
 Agg = Literal["mean", "sum"]
 
@@ -107,8 +108,8 @@ def describe(series: DataFrame, by: Sequence[str], y: str = "y") -> DataFrame:
 
 
 def quantiles(series: DataFrame, by: Sequence[str], levels: dict[str, float], y: str = "y") -> DataFrame:
-    """Exact interpolated quantiles. A series is one row per date, which bounds the buffer."""
-    return series.groupBy(*by).agg(*(quantile0(F.col(y), q).alias(name) for name, q in levels.items()))
+    """Exact interpolated quantiles of groups of any size (``selection``); 0 for a group without values."""
+    return selection.quantiles(series, by, levels, y)
 
 
 def correlation(pairs: DataFrame, by: Sequence[str], x: str, y: str) -> DataFrame:

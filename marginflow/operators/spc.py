@@ -6,7 +6,6 @@ the calendar. All windows of one operator share one exchange and one sort.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 
+#: Points that a block of the weighted mean folds.
+EWMA_BLOCK = 128
+
+
 class _Frames:
     def __init__(self, by: Sequence[str]):
         self.full = W.partitionBy(*by)
@@ -39,20 +42,26 @@ def ewma_chart(
 ) -> DataFrame:
     """Exponentially weighted mean with its time-varying limits and signals.
 
-    The weights fall below double precision after a fixed number of rows, so the
-    recursion is folded over a bounded frame.
+    The recursion z = lam * x + (1 - lam) * z is an affine map of z, and so is a block
+    of points. Each row folds the points of its own block and, over the ends of the
+    blocks before, the maps of whole blocks from the baseline mean on. All points stay
+    in the sum, whatever the weight.
     """
-    depth = math.ceil(math.log(1e-16) / math.log(1 - lam)) if lam < 1 else 1
+    keep = 1 - lam
     f = _Frames(by)
-    recent = f.seq.rowsBetween(-(depth - 1), W.currentRow)
-    based = baseline_moments(series, by, baseline_n, v)
-    windowed = based.withColumn("_x", F.collect_list(F.col(v).cast("double")).over(recent))
-    z = F.aggregate("_x", F.col("mu"), lambda acc, x: F.lit(lam) * x + F.lit(1 - lam) * acc)
+    based = baseline_moments(series, by, baseline_n, v).withColumn("_k", F.pmod(F.col("i") - 1, F.lit(EWMA_BLOCK)).cast("int") + 1)
+    recent = F.collect_list(F.col(v).cast("double")).over(f.seq.rowsBetween(-(EWMA_BLOCK - 1), W.currentRow))
+    own = F.aggregate(F.slice("_x", -F.col("_k"), F.col("_k")), F.lit(0.0), lambda acc, x: F.lit(lam) * x + F.lit(keep) * acc)
+    folded = based.withColumn("_x", recent).withColumn("_own", own)
+    ended = F.collect_list(F.when(F.col("_k") == EWMA_BLOCK, F.col("_own"))).over(f.seq.rowsBetween(W.unboundedPreceding, -1))
+    start = F.aggregate("_ended", F.col("mu"), lambda acc, end: end + F.lit(float(keep**EWMA_BLOCK)) * acc)
+    windowed = folded.withColumn("_ended", ended)
+    z = F.col("_own") + F.pow(F.lit(float(keep)), F.col("_k")) * start
     width = F.lit(limit) * F.col("sd") * F.sqrt(F.lit(lam / (2 - lam)) * (1 - F.pow(F.lit(1 - lam), 2 * F.col("i"))))
     out = windowed.withColumn("z", z).withColumn("ucl", F.col("mu") + width).withColumn("lcl", F.col("mu") - width)
     return out.withColumn(
         "signal", F.when(F.col("z") > F.col("ucl"), "high").when(F.col("z") < F.col("lcl"), "low")
-    ).drop("_x")
+    ).drop("_x", "_k", "_own", "_ended")
 
 
 def cusum_chart(
