@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import heapq
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -288,12 +288,17 @@ def find_runs(texts: list[list[bytes]], min_words: int = MIN_WORDS) -> tuple[np.
     return runs[order], np.bincount(owner, minlength=len(texts))
 
 
-def _chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
+#: What a row's words are, given its doc_id and the words of its text.
+Change = Callable[[int | None, list[bytes]], list[bytes]]
+
+
+def _chunks(ids: pa.Array | None, column: pa.Array, change: Change | None) -> Iterator[tuple[int, list[list[bytes]]]]:
     """First row and words of consecutive texts, about ``CHARS_AT_ONCE`` together."""
     held, chars = [], 0
     for i, text in enumerate(column):
         text = text.as_py() or b""
-        held.append(text.split())
+        # Bytes split at the six ASCII blanks only.
+        held.append(change(ids[i].as_py(), text.split()) if change else text.split())
         chars += len(text)
         if chars >= CHARS_AT_ONCE:
             yield i + 1 - len(held), held
@@ -302,13 +307,13 @@ def _chunks(column: pa.Array) -> Iterator[tuple[int, list[list[bytes]]]]:
         yield len(column) - len(held), held
 
 
-def collapser(min_words: int):
+def collapser(min_words: int, change: Change | None = None):
     """Batches (…, text last) to batches (…, n_words, runs, text)."""
 
     def collapse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            # Bytes split at the six ASCII blanks only.
-            for first, texts in _chunks(batch.column(batch.num_columns - 1).cast(pa.binary())):
+            ids = batch.column(batch.schema.get_field_index("doc_id")) if change else None
+            for first, texts in _chunks(ids, batch.column(batch.num_columns - 1).cast(pa.binary()), change):
                 runs, many = find_runs(texts, min_words)
                 ends = np.cumsum(many)
                 kept = []
@@ -326,9 +331,12 @@ def collapser(min_words: int):
     return collapse
 
 
-def collapse_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """Adds n_words and runs; of each run the text keeps the first period, words joined by one blank."""
+def collapse_runs(docs: DataFrame, min_words: int = MIN_WORDS, change: Change | None = None) -> DataFrame:
+    """Adds n_words and runs; of each run the text keeps the first period, words joined by one blank.
+
+    ``change``: makes the words to search from a row's doc_id and its text's words, for texts that are edited on the way.
+    """
     docs = without(docs, "n_words", "runs")
     kept = [c for c in docs.columns if c != "text"]
     result = T.StructType([*(docs.schema[c] for c in kept), T.StructField("n_words", T.LongType()), T.StructField("runs", T.ArrayType(RUN, False)), T.StructField("text", T.StringType())])
-    return docs.select(*(F.col(f"`{c}`") for c in kept), "text").mapInArrow(collapser(min_words), result)
+    return docs.select(*(F.col(f"`{c}`") for c in kept), "text").mapInArrow(collapser(min_words, change), result)

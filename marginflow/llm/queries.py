@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD
 from .quality import ALPHA, DELTA, RULES
 
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -268,6 +268,17 @@ _CRC_SQL = (
 )
 
 
+def _planted(doc_id: int | None, words: list[bytes]) -> list[bytes]:
+    """The words of one document in ten go on periodically from some place."""
+    h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
+    if h % 10 or not words:
+        return words
+    g = h // 10
+    a = g % len(words)
+    p = 1 + (len(words) - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(len(words) - a) // p))[: len(words) - a]
+
+
 @register(
     "op12_periodic_runs",
     rf"""
@@ -304,17 +315,7 @@ FROM taken t LEFT JOIN listed ON t.r = listed.r LEFT JOIN ranked ON t.r = ranked
 def op12_periodic_runs(spark, sf_dir):
     from .periodic import collapse_runs
 
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    h = F.crc32(F.col("doc_id").cast("string"))
-    g = F.floor(h / 10)
-    words = F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))
-    cut = docs.where(h % 10 == 0).withColumn("_words", words).withColumn("_n", F.size("_words")).where("_n > 0").withColumn("_a", (g % F.col("_n")).cast("int"))
-    cut = cut.withColumn("_p", (1 + F.floor((F.col("_n") - F.col("_a")) / (3 + g % 8))).cast("int"))
-    rest = F.col("_n") - F.col("_a")
-    tail = F.slice(F.flatten(F.array_repeat(F.slice("_words", F.col("_a") + 1, F.col("_p")), F.ceil(rest / F.col("_p")).cast("int"))), F.lit(1), rest)
-    edited = cut.select("doc_id", F.concat_ws(" ", F.slice("_words", F.lit(1), F.col("_a")), tail).alias("text"))
-    whole = docs.where(F.coalesce(h % 10 != 0, F.lit(True)) | F.col("text").isNull() | ~F.col("text").rlike(WORD))
-    found = collapse_runs(whole.unionByName(edited))
+    found = collapse_runs(table(spark, sf_dir, "documents").select("doc_id", "text"), change=_planted)
     # The greatest exact length/period: by cross products, the first of equals in order of start and period.
     ahead = lambda best, x: F.when(best.isNull() | (x["length"] * best["period"] > best["length"] * x["period"]), x).otherwise(best)
     top = F.aggregate("runs", F.get("runs", F.lit(0)), ahead)
