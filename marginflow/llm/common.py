@@ -8,6 +8,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql import Window as W
 
 from ..session import durable, scratch_dir
@@ -64,14 +65,23 @@ def group_key(name: str) -> Column:
     return F.coalesce(F.concat(F.lit("="), F.col(name).cast("string")), F.lit("null"))
 
 
-def shuffle_key(seed: str, *ids: str) -> Column:
-    """A hex hash of the ids: the order of a seeded shuffle, the same in every run and engine."""
-    return F.md5(F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), F.lit("null")) for c in ids)))
+def row_hash(df: DataFrame) -> Column:
+    """A hash of all that a row holds, but for columns that cannot be compared."""
+    return F.xxhash64(*(F.col(f"`{f.name}`") for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))))
+
+
+def shuffle_key(df: DataFrame, seed: str, *ids: str) -> Column:
+    """A hex hash of the ids: the order of a seeded shuffle, the same in every run and engine.
+
+    Rows without an id are shuffled by all that they hold, so that they are spread like others; equal ones tie.
+    """
+    row = F.concat(F.lit("null "), row_hash(df).cast("string"))
+    return F.md5(F.concat_ws(":", F.lit(seed), *(F.coalesce(F.col(c).cast("string"), row) for c in ids)))
 
 
 def sliced(df: DataFrame, group: str, ids: Sequence[str], seed: str) -> DataFrame:
     """Adds ``_g`` (the group), ``_h`` (its shuffle order) and ``_slice`` (the leading 12 bits of that order)."""
-    return df.withColumn("_g", group_key(group)).withColumn("_h", shuffle_key(seed, *ids)).withColumn("_slice", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
+    return df.withColumn("_g", group_key(group)).withColumn("_h", shuffle_key(df, seed, *ids)).withColumn("_slice", F.conv(F.substring("_h", 1, 3), 16, 10).cast("int"))
 
 
 def slice_totals(rows: DataFrame, group: str, **sums: Column) -> DataFrame:
@@ -85,6 +95,6 @@ def before_slice(totals: DataFrame, name: str) -> Column:
     return F.coalesce(F.sum(name).over(w), F.lit(0))
 
 
-def in_slice(ties: Sequence[str]):
+def in_slice(ties: Sequence[str | Column]):
     """The shuffle order inside a slice. Equal rows that tie in every id are interchangeable."""
     return W.partitionBy("_g", "_slice").orderBy("_h", *ties)

@@ -29,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import staged
+from ..session import number_rows
+from .common import row_hash, staged
 from .components import components
 
 NGRAM = 5
@@ -271,6 +272,45 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     return full.unionByName(empty).drop("high", "low")
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """Adds ``_row``, one number per different (doc_id, text), and tells whether rows share one.
+
+    A doc_id that one row has is its own number. Rows without a doc_id, or with one that other rows have too, are
+    numbered below all of them by doc_id and digest of the text, the same in every run.
+    """
+    several = staged(docs.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("doc_id is null or n > 1").select("doc_id"))
+    if not several.limit(1).count():
+        return docs.withColumn("_row", F.col("doc_id").cast("long")), False
+    least = min(0, docs.agg(F.min(F.col("doc_id").cast("long"))).first()[0] or 0)
+    digest = F.sha2(F.coalesce("text", F.lit("")), 256)
+    odd = docs.alias("a").join(several.alias("b"), F.expr("a.doc_id <=> b.doc_id"), "left_semi").select("doc_id", digest.alias("_digest")).distinct()
+    numbers = staged(number_rows(odd, [F.col("doc_id"), F.col("_digest")], "_at").select("doc_id", "_digest", (least - F.col("_at")).alias("_number")))
+    met = docs.withColumn("_digest", digest).alias("a").join(numbers.alias("b"), F.expr("a.doc_id <=> b.doc_id and a._digest = b._digest"), "left")
+    return met.select(*(f"a.`{c}`" for c in docs.columns), F.coalesce("_number", F.col("a.doc_id").cast("long")).alias("_row")), True
+
+
+def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
+    """The rows without near copies: of each group of linked texts one row stays.
+
+    The longest text stays, of equally long ones that of the largest doc_id (null is none), then by hash of the row. Rows
+    are judged by their own text: a doc_id that stands for several texts links none of them to the copies of another.
+    Texts without words link with nothing and stay, all but repeats of one (doc_id, text).
+    """
+    rows, shared = _numbered(docs)
+    if shared:
+        rows = rows.withColumn("_hash", row_hash(docs))
+    else:
+        rows = rows.withColumn("_hash", F.lit(0).cast("long"))
+    groups = jaccard_join(rows.select(F.col("_row").alias("doc_id"), "text"), ngram, percent).select(F.col("doc_id").alias("_row"), "component_id").distinct()
+    facts = rows.select("_row", "_hash", F.length(F.coalesce("text", F.lit(""))).alias("_size"), F.col("doc_id").cast("long").alias("_id"))
+    placed = staged(facts.join(groups, "_row"))
+    best = placed.groupBy("component_id").agg(F.max(F.struct("_size", "_id", "_hash", "_row")).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    # Narrow rows, and only those of groups: most documents are in none.
+    lost = placed.join(best, "component_id").where("_row <> _best._row or _hash <> _best._hash").select("_row", "_hash").distinct()
+    kept = rows.join(staged(lost), ["_row", "_hash"], "left_anti")
+    return (kept.dropDuplicates(["_row"]) if shared else kept).drop("_row", "_hash")
+
+
 def _verify(docs: DataFrame, classes: DataFrame, pairs: DataFrame, ngram: int, percent: int, repeats: bool) -> DataFrame:
     """The pairs of classes that link. Shingle sets are made again for the classes in question only.
 

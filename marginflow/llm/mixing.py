@@ -7,7 +7,7 @@ a document's words begin where the words before it end, and the cumulative deman
 its training position. The last document of a target is taken in part, so targets are met to the word.
 
 Nulls: a null text has no words; a null source is a source of its own, last in order. Documents without words take
-nothing. Repeated rows are separate documents. An empty table gives an empty result.
+nothing. Rows with a null doc_id are shuffled by all that they hold. Repeated rows are separate documents. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, schedule: Callable[[Column], Column] | None = None, sha
     sources = durable(totals.groupBy("_g").agg(F.first("_name").alias("_name"), F.sum("size").alias("source_size")))
     plan = targets(sources, schedule or repeating_schedule(), share, max_repeats).select("_g", "source_size", "target", "weight", "pieces")
     slices = join_sized(totals.select("_g", "_slice", before_slice(totals, "size").alias("_before")), durable(plan), ["_g"])
-    w = in_slice(["doc_id", "size"])
+    w = in_slice(["doc_id", "size", F.xxhash64("text")])
     placed = rows.withColumn("_begin", F.sum("size").over(w.rowsBetween(W.unboundedPreceding, -1))).join(slices, ["_g", "_slice"])
     begin = F.col("_before") + F.coalesce(F.col("_begin"), F.lit(0))
 

@@ -5,7 +5,7 @@ Rows are shuffled by a seeded hash and ranked inside their source; a row's fract
 order into equal stretches gives shards whose counts differ by one at most (law ``rows``) and whose mixtures agree.
 
 Equal texts are not kept together: only counts and mixture are promised. Nulls: a null source is a stratum of its own;
-a null text has no bytes; a null doc_id is shuffled as the word null. Repeated rows are separate rows, in either order.
+a null text has no bytes; rows with a null doc_id are shuffled by all that they hold. Repeated rows are separate rows, in either order.
 An empty table gives an empty result.
 """
 
@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import number_rows
-from .common import before_slice, in_slice, join_sized, slice_totals, sliced, without
+from .common import before_slice, in_slice, join_sized, row_hash, slice_totals, sliced, without
 
 SEED = "shard-1"
 SHARDS = 8
@@ -29,10 +29,11 @@ def shard(docs: DataFrame, shards: int = SHARDS, seed: str = SEED) -> DataFrame:
     """
     docs = without(docs, "shard", "slot")
     rows = sliced(docs, "source", ["doc_id"], seed)
+    tie = row_hash(docs)
     totals = slice_totals(rows, "source", n=F.lit(1))
     sizes = totals.groupBy("_g").agg(F.sum("n").alias("_n"))
     slices = join_sized(totals.select("_g", "_slice", before_slice(totals, "n").alias("_before")), sizes, ["_g"])
-    ranked = rows.withColumn("_in", F.row_number().over(in_slice(["doc_id"]))).join(slices, ["_g", "_slice"])
+    ranked = rows.withColumn("_in", F.row_number().over(in_slice(["doc_id", tie]))).join(slices, ["_g", "_slice"])
     placed = ranked.withColumn("_part", (2 * (F.col("_before") + F.col("_in")) - 1) / (2 * F.col("_n")))
     numbered = number_rows(placed, [F.col("_part"), F.col("_g"), F.col("_h")], "_at")
     total = totals.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]

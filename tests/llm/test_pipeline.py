@@ -122,10 +122,52 @@ def test_line_stage(spark, docs, rows, folder):
     assert out.columns == docs.columns and got == want and drops
 
 
+def best_rows(rows):
+    """Row numbers that stay: of each component of different (doc_id, text) the longest, then the largest doc_id."""
+    texts = {}
+    for k, r in enumerate(rows):
+        texts.setdefault((r[0], r[1] or ""), k)
+    linked = components_of([(k, text) for (_, text), k in texts.items()], 5, 80)
+    groups = defaultdict(list)
+    for (i, text), k in texts.items():
+        groups[linked[k][1]].append((len(text), -(10**9) if i is None else i, i, text))
+    return sorted(((i, text) for v in groups.values() for _, _, i, text in [max(v, key=lambda g: g[:2])]), key=repr)
+
+
 def test_near_duplicate_stage(spark, docs, rows, folder):
     out = STAGES["n-gram Jaccard join"](spark, docs, folder)
-    want = {i for i, (_, low) in components_of(rows, 5, 80).items() if i == low}
-    assert out.columns == docs.columns and sorted(r["doc_id"] for r in out.collect()) == sorted(want)
+    assert out.columns == docs.columns and sorted(((r["doc_id"], r["text"] or "") for r in out.collect()), key=repr) == best_rows(rows)
+
+
+def test_near_duplicates_are_judged_row_by_row(spark, folder):
+    """Repeated and null ids, equal rows, clashing columns: another text of a doc_id is no copy, and copies without an id go."""
+    a, b, c = (" ".join(f"{x}{k}" for k in range(40)) for x in "abc")
+    rows = [(1, a), (5, a + " more"), (5, b), (5, b), (None, c), (None, c), (None, c + " end"), (7, c), (None, b + " x"), (8, None), (8, ""), (9, ""), (None, ""), (None, None), (3, "short one"), (4, "short one")]
+    df = spark.createDataFrame([(i, t, "en", None, k % 2, "clash", "clash") for k, (i, t) in enumerate(rows)], SCHEMA + ", component_id string, class string").repartition(3)
+    out = STAGES["n-gram Jaccard join"](spark, df, folder)
+    got = sorted(((r["doc_id"], r["text"] or "") for r in out.collect()), key=repr)
+    assert out.columns == df.columns and got == best_rows(rows)
+    assert {t for _, t in got} == {a + " more", b + " x", c + " end", "", "short one"}
+
+
+def test_shared_lines_survive_line_dedup_and_near_duplicates(spark, rows, docs, folder):
+    """Near copies that share lines: the copy that kept the lines is the one that stays."""
+    body = " ".join(f"w{k}" for k in range(60))
+    lines = ["this line is held by many pages", "so is this one, and by all of the copies"]
+    own = [(k, f"{body} {k}\n" + "\n".join(lines[: 1 + k % 2]), "en", "a", 0) for k in range(12)] + [(50 + k, f"other page {k} " + " ".join(f"p{k}x{j}" for j in range(30)) + "\n" + lines[k % 2], "en", "b", 0) for k in range(4)]
+    thin = STAGES["line dedup"](spark, spark.createDataFrame(own, SCHEMA), folder)
+    left = [r["text"] for r in STAGES["n-gram Jaccard join"](spark, thin, folder).collect()]
+    assert len(left) == 5 and all(sum(line in t.split("\n") for t in left) == 1 for line in lines)
+
+
+def test_every_stage_takes_null_ids_and_repeats_alike(spark, folder):
+    """Two runs over other partitions give the same rows, whatever ids are missing or repeated."""
+    base = [(None if k % 3 == 0 else k % 40, " ".join(f"v{k}x{j}" for j in range(20 + k % 30)), "en", ["a", "b", None][k % 3 and k % 2], 0) for k in range(200)]
+    rows = base + base[:20]
+    for name, stage in corpus_pipeline.STAGES:
+        keep = ["doc_id", "text", "source"]
+        got = [sorted(map(repr, stage(spark, spark.createDataFrame(rows, SCHEMA).repartition(n), folder).select(keep).collect())) for n in (2, 7)]
+        assert got[0] == got[1] and got[0], name
 
 
 def test_mixing_stage(spark, docs, rows, folder):
@@ -181,3 +223,52 @@ def test_the_pipeline_is_registered():
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries()
+
+
+def brute_signatures(text):
+    """The signature sets of a text by hand: each common word with the next three content words."""
+    from marginflow.llm.spotsigs import ANCHORS, CHAIN
+
+    t = [w for w in re.split(r"[^\w]+|_", (text or "").lower()) if w]
+    found = set()
+    for i, w in enumerate(t):
+        chain = [x for x in t[i + 1 :] if x not in ANCHORS][:CHAIN]
+        if w in ANCHORS and len(chain) == CHAIN:
+            found.add((w, *chain))
+    return found or ({tuple(t)} if t else set())
+
+
+def test_fingerprints_and_likeness_by_hand(spark):
+    from marginflow.llm.spotsigs import alike, edited_fingerprints
+
+    pick = random.Random(2)
+    glue, content = ["the", "of", "and", "la", "und"], [f"c{k}" for k in range(60)]
+    prose = lambda n: " ".join(pick.choice(glue if pick.random() < 0.3 else content) for _ in range(n))
+    texts = {k: prose(pick.choice([3, 30, 200])) for k in range(60)}
+    for k in range(60, 90):
+        near = texts[k % 20].split()
+        near[pick.randrange(len(near))] = f"x{k}"
+        texts[k] = " ".join(near)
+    texts |= {90: None, 91: "", 92: texts[3], 93: texts[3].upper(), 94: "the of and"}
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    sets = {k: brute_signatures(t) for k, t in texts.items()}
+    like = lambda a, b: float(a == b) if not a or not b else len(a & b) / len(a | b)
+    order = sorted(texts, reverse=True)
+    after = dict(zip(order, order[1:] + order[:1], strict=True))
+    prints = {}
+    for r in edited_fingerprints(df).collect():
+        t = texts[r["doc_id"]] or ""
+        half = len(t) // 2
+        edited = t[: len(t) - half] + (texts[after[r["doc_id"]]] or "")[:half]
+        assert r["near_edited"] == pytest.approx(like(sets[r["doc_id"]], brute_signatures(edited)))
+        assert r["near_next"] == pytest.approx(like(sets[r["doc_id"]], sets[after[r["doc_id"]]]))
+        prints[r["doc_id"]] = r["fingerprint"]
+    assert all((prints[a] == prints[b]) == (sets[a] == sets[b]) for a in texts for b in texts)
+    for least in (0.8, 0.3):
+        got = {frozenset((r["class_a"], r["class_b"])): r["likeness"] for r in alike(df, least).collect()}
+        first = {}
+        for k in sorted(texts):
+            first.setdefault(frozenset(sets[k]), k)
+        want = {frozenset((x, y)): like(a, b) for a, x in first.items() for b, y in first.items() if a and b and x < y and like(a, b) >= least}
+        assert set(got) == set(want) and all(got[p] == pytest.approx(want[p]) for p in want) and want
+    assert alike(df.limit(0)).count() == 0
