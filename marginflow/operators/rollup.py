@@ -94,7 +94,11 @@ def rollup_services(
         F.coalesce(F.max("holiday"), F.lit(False)).alias("holiday"),
         F.coalesce(F.max("capacity"), F.lit(0)).alias("capacity"),
     )
-    services = total.filter(F.col("anchor").isNotNull())
+    return as_services(total.filter(F.col("anchor").isNotNull()))
+
+
+def as_services(services: DataFrame) -> DataFrame:
+    """Service measures in the stored layout, each rating carried on to services without reviews."""
     return carry_forward_rating(services).select(
         "loc",
         "date",

@@ -15,7 +15,7 @@ from ..operators import detectors, feeds as feed_ops, ledger, lifecycle, persist
 from ..session import durable
 from ..schemas import columns, ddl
 from ..sources import register as reg
-from ..sources import store
+from ..sources import keyed, store
 from .detect import detection_pass
 from .evaluate import Register, evaluate_interventions
 
@@ -43,6 +43,16 @@ SIDES = columns("intervention_id string, period string, status string, claim_cen
 RUNS = columns("as_of date, fired bigint, transitions bigint, notes string, org_id string")
 
 
+#: Buckets of a tenant's records; a night rewrites those that changed.
+BUCKETS = 16
+
+
+def record_table(path: str, name: str) -> keyed.KeyedTable:
+    """A keyed record table of the nightly job, by tenant and bucket of its key."""
+    schema, key = {"findings": (FINDINGS, "id"), "evaluations": (EVALS, "intervention_id"), "adjustments": (ADJUSTMENTS, "id")}[name]
+    return keyed.KeyedTable(f"{path}/{name}", ddl(schema), (key,), ("org_id",), BUCKETS)
+
+
 @dataclass
 class NightlyResult:
     as_of: dt.date
@@ -77,6 +87,7 @@ def nightly(
     today = to_date(as_of)
     tenant = F.col("org_id") == org
     record = lambda name, schema: store.read_records(spark, f"{path}/{name}", ddl(schema)).filter(tenant)
+    kept = lambda name: record_table(path, name).read(spark).filter(tenant)
     number = record("pipeline_runs", RUNS).count()
     if register_through is None:
         run = spark.range(1).select(F.lit(today).alias("as_of"), F.lit(0).alias("fired"), F.lit(0).alias("transitions"), F.lit("No register yet.").alias("notes"))
@@ -90,7 +101,7 @@ def nightly(
     newest = feed_ops.feed_newest(day(today), day(to_date(register_through)))
     feeds = durable(feed_ops.feed_health(feed_rows.withColumn("newest", newest), today))
 
-    before = durable(record("findings", FINDINGS))
+    before = durable(kept("findings"))
     prior = before.filter(~F.coalesce("historical", F.lit(False)))
     passed = lifecycle.expire_stale(detection_pass(register, feeds, today, prior, server_roles, th), today)
     live = durable(_shape(passed, FINDINGS, org))
@@ -100,7 +111,7 @@ def nightly(
     events = [_shape(audit, AUDIT, org)]
     verdicts = None
     if declarations is not None:
-        old = durable(record("evaluations", EVALS))
+        old = durable(kept("evaluations"))
         result = evaluate_interventions(declarations, register, feeds, today)
         evals = durable(_shape(result.evals.withColumn("half_life_weeks", finite(F.col("half_life_weeks"))), EVALS, org))
         known = old.select("intervention_id", F.col("state").alias("from_state"), F.col("outcome").alias("_outcome"), F.col("window_closed").alias("_closed"))
@@ -118,7 +129,7 @@ def nightly(
         )
         changed = F.col("window_closed") & (F.col("_outcome").isNull() | (F.col("_outcome") != F.col("outcome")) | ~F.coalesce("_closed", F.lit(False)))
         verdicts = _shape(joined.filter(changed).withColumn("as_of", F.lit(today)), VERDICTS, org)
-        existing = durable(record("adjustments", ADJUSTMENTS))
+        existing = durable(kept("adjustments"))
         numbered = durable(persistence.number_adjustments(existing, persistence.derive_adjustments(evals, today)))
         added = numbered.join(existing.select("id"), "id", "left_anti")
         events.append(
@@ -143,11 +154,11 @@ def nightly(
     if verdicts is not None:
         verdicts = durable(verdicts.withColumn("run", F.lit(number).cast("bigint")))
         store.append_once(verdicts, record("verification_results", VERDICTS).filter(this_run), f"{path}/verification_results", ("intervention_id", "outcome"))
-    store.replace_partition(store.upsert_records(before, live, ["id"]), f"{path}/findings")
+    keyed.upsert(spark, record_table(path, "findings"), live)
     if declarations is not None:
         lo, hi = closed_period_for(today)
-        store.replace_partition(store.upsert_records(old, evals, ["intervention_id"]), f"{path}/evaluations")
-        store.replace_partition(_shape(store.restate_adjustments(existing, _shape(numbered, ADJUSTMENTS, org)), ADJUSTMENTS, org), f"{path}/adjustments")
+        keyed.upsert(spark, record_table(path, "evaluations"), evals)
+        keyed.restate(spark, record_table(path, "adjustments"), _shape(numbered, ADJUSTMENTS, org))
         if accounting is not None:
             claims = ledger.accrual_in_period(evals, today, lo, hi).filter(F.col("period_cents") > 0)
             booked = claims.join(accounting, "intervention_id").withColumn("claim_cents", F.col("period_cents")).withColumn("period", F.lit(lo.strftime("%Y-%m")))

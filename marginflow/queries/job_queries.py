@@ -14,12 +14,11 @@ from ..operators import quality, report
 from ..plans import detect, evaluate
 from ..session import durable, scratch_dir
 from ..sources import register as reg
-from ..sources import store
+from ..sources import keyed, store
 from ..streaming.cusum import stream_cusum as live_cusum
 from ..streaming.land import stream_land as start_landing
 from ..streaming.land import stream_to_parquet
-from ..streaming.rollup import service_sums, stream_service_sums
-from ..streaming.rollup import stream_service_rollup as live_rollup
+from ..streaming import rollup as live
 from .detector_queries import CMP_BODY, LAB_BODY, MIX_BODY, POR_BODY, PPV_BODY, PRC_BODY, RELAXED, ROLES, TKT_BODY
 from .ledger_queries import evals
 from .lifecycle_queries import feed_table, findings_with_feeds, values_view
@@ -57,13 +56,24 @@ def high_water_marks(inp):
     return tidy(reg.high_water_marks(services(inp), inp.view("reg_invoices"), CUT))
 
 
+def keyed_table(spark, schema: str, **layout) -> keyed.KeyedTable:
+    return keyed.KeyedTable(f"{scratch_dir(spark)}/table-{uuid.uuid4().hex}", schema, **layout)
+
+
 @query(
     "upserted_records",
-    tidy_sql("SELECT id, CASE WHEN f.k % 2 = 0 THEN f.state ELSE p.state END AS state FROM rec_findings f LEFT JOIN rec_prior p USING (id) WHERE f.k % 2 = 0 OR p.id IS NOT NULL", keep="id state"),
+    tidy_sql("SELECT loc AS org_id, id, CASE WHEN f.k % 2 = 0 THEN f.state ELSE p.state END AS state FROM rec_findings f LEFT JOIN rec_prior p USING (id) WHERE f.k % 2 = 0 OR p.id IS NOT NULL", keep="org_id id state"),
 )
 def upserted_records(inp):
-    fresh = inp.view("rec_findings").filter("k % 2 = 0").select("id", "state")
-    return store.upsert_records(inp.view("rec_prior").select("id", "state"), fresh, ["id"])
+    """An earlier snapshot with newer records put in by key, each room as a tenant; the newest comes twice."""
+    spark = inp.spark
+    table = keyed_table(spark, "org_id string, id string, state string, version int", keys=("id",), partition=("org_id",), buckets=8, order=("version",))
+    loc = inp.view("rec_findings").select("id", F.col("loc").alias("org_id"), "k", F.col("state").alias("_new"))
+    before = inp.view("rec_prior").select("id", "state").join(loc, "id")
+    keyed.upsert(spark, table, before.select("org_id", "id", "state", F.lit(0).alias("version")))
+    fresh = loc.filter("k % 2 = 0").select("org_id", "id", F.col("_new").alias("state"), F.lit(2).alias("version"))
+    keyed.upsert(spark, table, fresh.unionByName(fresh.withColumn("state", F.lit("superseded by version 2")).withColumn("version", F.lit(1))))
+    return table.read(spark).select("org_id", "id", "state")
 
 
 @query(
@@ -75,13 +85,17 @@ def upserted_records(inp):
     ),
 )
 def restated_adjustments(inp):
+    """Stored adjustments, some of them restated and some new; the identity of a restated one does not change, whatever the update says."""
+    spark = inp.spark
     rows = inp.view("rec_adjustments").select("id", "k", "kind", "intervention_id", "cents", "status")
     changed = rows.filter("k % 8 = 0 OR k % 16 = 4").withColumn("cents", F.col("cents") - 5).withColumn("status", F.lit("accepted"))
-    # identity columns of a restated row must not change, whatever the update says
     changed = changed.withColumn("kind", F.when(F.col("k") % 8 == 0, "changed").otherwise(F.col("kind"))).withColumn(
         "id", F.when(F.col("k") % 8 == 0, F.col("id")).otherwise(F.concat("id", F.lit("-N")))
     )
-    return tidy(store.restate_adjustments(rows, changed).drop("k"))
+    table = keyed_table(spark, "id string, kind string, intervention_id string, cents bigint, status string", keys=("id",), buckets=8)
+    keyed.upsert(spark, table, rows)
+    keyed.restate(spark, table, changed)
+    return tidy(table.read(spark))
 
 
 @query(
@@ -194,10 +208,6 @@ def run_folder(spark) -> str:
     return f"{spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
 
 
-def check_rows(inp):
-    return inp.view("reg_checks").withColumn("closed_at", F.to_timestamp(F.col("business_date")) + F.expr("INTERVAL 12 HOURS"))
-
-
 def replay(spark, rows, folder: str, name: str):
     """Writes rows once and reads them back as a stream of files."""
     path = f"{folder}/{name}"
@@ -208,19 +218,21 @@ def replay(spark, rows, folder: str, name: str):
 @query(
     "stream_service_rollup",
     tidy_sql(
-        """SELECT loc, business_date AS date, daypart, sum(guest_count) AS covers, sum(subtotal_cents) + sum(comp_cents) AS gross_cents, sum(comp_cents) AS comps_cents, sum(subtotal_cents) AS net_cents FROM reg_checks
-        WHERE NOT voided AND business_date + INTERVAL 1 DAY <= (SELECT max(business_date) FROM reg_checks WHERE NOT voided) + INTERVAL 12 HOUR - INTERVAL 1 DAY GROUP BY ALL""",
-        keep="loc daypart", ints="covers gross_cents comps_cents net_cents", dates="date",
+        "SELECT * FROM services", keep="loc daypart holiday", ints="dow covers turned_away gross_cents comps_cents net_cents cogs_cents labor_cents capacity", doubles="hours ticket_min rating constrained_share", dates="date",
     ),
 )
 def stream_service_rollup(inp):
-    """Streamed roll-up of the checks, in date order, equal to the batch one for every day the watermark has passed."""
+    """All five sources as streams, some checks wrong at first and put right by a correction: equal to the batch roll-up, row by row."""
     spark = inp.spark
     folder = run_folder(spark)
-    ordered = check_rows(inp).select("loc", "daypart", "closed_at", "guest_count", "comp_cents", "subtotal_cents", "voided").repartitionByRange(4, "closed_at")
-    live = live_rollup(replay(spark, ordered, folder, "checks"), "1 day")
-    stream_to_parquet(live, f"{folder}/out", f"{folder}/state").awaitTermination()
-    return tidy(spark.read.schema(live.schema).parquet(f"{folder}/out"))
+    checks = inp.view("reg_checks").withColumn("weight", F.lit(1))
+    wrong = checks.filter("id % 20 = 3").withColumn("guest_count", F.col("guest_count") + 5).withColumn("comp_cents", F.lit(7).cast("bigint"))
+    sources = {"checks": checks.unionByName(wrong).unionByName(wrong.withColumn("weight", F.lit(-1)))}
+    sources |= {name: inp.view(f"reg_{name}") for name in ("order_items", "shifts", "reviews", "reservations")}
+    streams = {name: replay(spark, rows.repartition(8), folder, name) for name, rows in sources.items()}
+    live.stream_service_rollup(live.arriving(**streams), f"{folder}/sums", f"{folder}/state").awaitTermination()
+    live.compact(spark, f"{folder}/sums")
+    return tidy(live.service_rollup(spark, f"{folder}/sums"))
 
 
 @query(
@@ -231,23 +243,26 @@ def stream_service_rollup(inp):
     ),
 )
 def stream_service_days(inp):
-    """Streamed sums of the checks, delivered in no order over several batches, equal to the batch roll-up on every service day."""
+    """Streamed sums of the checks alone, delivered in no order over several batches, equal to the batch roll-up on every service day."""
     spark = inp.spark
     folder = run_folder(spark)
-    rows = check_rows(inp).select("loc", "daypart", "closed_at", "guest_count", "comp_cents", "subtotal_cents", "voided")
-    stream_service_sums(replay(spark, rows.repartition(12), folder, "checks"), f"{folder}/sums", f"{folder}/state").awaitTermination()
-    return tidy(service_sums(spark, f"{folder}/sums"))
+    checks = replay(spark, inp.view("reg_checks").repartition(12), folder, "checks")
+    live.stream_service_rollup(live.arriving(checks=checks), f"{folder}/sums", f"{folder}/state").awaitTermination()
+    return tidy(live.service_rollup(spark, f"{folder}/sums").select("loc", "date", "daypart", "covers", "gross_cents", "comps_cents", "net_cents"))
 
 
-@query("stream_land", tidy_sql("SELECT id, loc, guest_count FROM reg_checks", keep="loc", ints="id guest_count"))
+@query("stream_land", tidy_sql("SELECT id, loc, business_date, guest_count FROM reg_checks", keep="loc", ints="id guest_count", dates="business_date"))
 def stream_land(inp):
-    """Checks landed from a delivery that repeats a part of itself: every check once."""
+    """Checks landed by month and key from a delivery that repeats a part of itself, once with an older version: every check once, as last told."""
     spark = inp.spark
     folder = run_folder(spark)
-    rows = inp.view("reg_checks").select("id", "loc", "guest_count")
-    source = replay(spark, rows.unionByName(rows.filter("id % 3 = 0")), folder, "deliveries")
-    start_landing(source, f"{folder}/landed", ["id"], f"{folder}/state").awaitTermination()
-    return tidy(spark.read.schema(rows.schema).parquet(f"{folder}/landed"))
+    rows = inp.view("reg_checks").select("id", "loc", "business_date", "guest_count", F.trunc("business_date", "year").alias("year"), F.lit(2).alias("version"))
+    older = rows.filter("id % 3 = 0").withColumn("guest_count", F.lit(0).cast("bigint")).withColumn("version", F.lit(1))
+    # A key's versions come in one file, so in one batch.
+    source = replay(spark, rows.unionByName(older).repartition(4, "year"), folder, "deliveries")
+    table = keyed.KeyedTable(f"{folder}/landed", "id bigint, loc string, business_date date, guest_count bigint, year date, version int", keys=("id",), partition=("year",), buckets=4, order=("version",))
+    start_landing(source, table, f"{folder}/state").awaitTermination()
+    return tidy(table.read(spark).select("id", "loc", "business_date", "guest_count"))
 
 
 ORACLE_VIEWS["o_hourly"] = "SELECT event_type AS series, date_trunc('hour', ts) AS date, avg(value) AS v FROM events GROUP BY ALL"

@@ -1,4 +1,4 @@
-"""Record tables: keyed upserts, append-only logs, partition replacement and listings."""
+"""Record tables: append-only logs, partition replacement and listings; ``keyed`` has the upserts."""
 
 from __future__ import annotations
 
@@ -12,19 +12,6 @@ from pyspark.sql import types as T
 from ..session import durable
 
 
-def upsert_records(target: DataFrame, updates: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Target with the updates put in by key."""
-    return target.join(updates.select(*keys), list(keys), "left_anti").unionByName(updates, allowMissingColumns=True)
-
-
-def restate_adjustments(target: DataFrame, updates: DataFrame) -> DataFrame:
-    """New adjustments are added; a known one restates only its cents and status, its identity stays."""
-    fresh = updates.select("id", F.col("cents").alias("_cents"), F.col("status").alias("_status"))
-    kept = target.join(fresh, "id", "left").withColumn("cents", F.coalesce("_cents", "cents")).withColumn("status", F.coalesce("_status", "status"))
-    added = updates.join(target.select("id"), "id", "left_anti")
-    return kept.drop("_cents", "_status").unionByName(added, allowMissingColumns=True)
-
-
 def read_records(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
     """A record table, empty if it was never written."""
     try:

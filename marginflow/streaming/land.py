@@ -2,27 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from ..sources import keyed
 
-from ..sources.store import read_records
 
+def stream_land(rows: DataFrame, table: keyed.KeyedTable, checkpoint: str):
+    """Starts landing what has arrived and stops when it is landed.
 
-def land_batch(batch: DataFrame, path: str, keys: Sequence[str], partition: Sequence[str] = ()) -> None:
-    """Appends the rows of a batch whose keys are not stored yet; a repeated batch adds nothing."""
-    spark: SparkSession = batch.sparkSession
-    stored = read_records(spark, path, batch.schema)
-    one = batch.dropDuplicates(list(keys))
-    fresh = one.join(stored.select(*keys), list(keys), "left_anti")
-    writer = fresh.write.mode("append")
-    (writer.partitionBy(*partition) if partition else writer).parquet(path)
-
-
-def stream_land(rows: DataFrame, path: str, keys: Sequence[str], checkpoint: str, partition: Sequence[str] = ()):
-    """Starts landing what has arrived and stops when it is landed."""
+    A batch reads only the folders that its keys may be in, so its cost follows the batch: with a date among the
+    partition columns, old dates are never looked at again. Of unequal rows of one key the table's order decides inside
+    a batch, and the first landed one stays between batches. A repeated batch adds nothing.
+    """
     return (
-        rows.writeStream.foreachBatch(lambda batch, _id: land_batch(batch, path, keys, partition))
+        rows.writeStream.foreachBatch(lambda batch, _id: keyed.land(batch.sparkSession, table, batch))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

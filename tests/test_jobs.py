@@ -14,8 +14,7 @@ from marginflow.plans.nightly import land_and_run, nightly
 from marginflow.session import durable
 from marginflow.sources import register as reg
 from marginflow.streaming.cusum import stream_cusum
-from marginflow.streaming.land import land_batch, stream_to_parquet
-from marginflow.streaming.rollup import service_sums, stream_service_rollup, stream_service_sums
+from marginflow.streaming.land import stream_to_parquet
 
 import fixtures as fx
 
@@ -116,14 +115,14 @@ def test_a_dead_run_is_finished_without_loss(spark, stored, register, monkeypatc
     """The other tenant's job dies after its logs and its findings; repeated, it leaves what the first tenant's whole run left."""
     path, facts, cut = stored
     decl, feed_rows = fx.declarations(spark), fx.feed_rows(spark)
-    whole = nightly_module.store.replace_partition
+    whole = nightly_module.keyed.upsert
 
-    def dies(rows, target, *more):
-        if target.endswith("/evaluations"):
+    def dies(session, table, rows):
+        if table.path.endswith("/evaluations"):
             raise RuntimeError("lost")
-        whole(rows, target, *more)
+        return whole(session, table, rows)
 
-    monkeypatch.setattr(nightly_module.store, "replace_partition", dies)
+    monkeypatch.setattr(nightly_module.keyed, "upsert", dies)
     with pytest.raises(RuntimeError):
         nightly(spark, path, "o2", cut, cut - dt.timedelta(days=1), decl, feed_rows)
     monkeypatch.undo()
@@ -145,14 +144,6 @@ def test_a_dead_landing_goes_on_where_each_table_stopped(spark, stored):
     assert reg.landed_marks(spark, f"{path}/nothing", "o2") == dict.fromkeys(reg.FACTS)
 
 
-def test_landing_the_same_rows_twice_adds_nothing(spark):
-    path = tempfile.mkdtemp(prefix="marginflow-test-")
-    rows = spark.range(10).withColumn("v", F.col("id") * 2)
-    land_batch(rows, path, ["id"])
-    land_batch(rows.unionByName(spark.range(10, 12).withColumn("v", F.lit(1).cast("bigint"))), path, ["id"])
-    assert spark.read.parquet(path).count() == 12
-
-
 def test_stream_monitor_over_many_batches(spark):
     """One file per trigger: state crosses batches, and the result equals the batch chart."""
     folder = tempfile.mkdtemp(prefix="marginflow-test-")
@@ -192,33 +183,3 @@ def test_stream_monitor_short_late_and_disordered(spark):
     assert len(found) == len(rows) + 1 and len(got) == len(chart) == len(rows)
     for r in chart:
         assert got[r["series"], r["at"]] == (pytest.approx(r["s_hi"], abs=1e-9), pytest.approx(r["s_lo"], abs=1e-9))
-
-
-def test_stream_rollup_holds_back_open_days(spark):
-    folder = tempfile.mkdtemp(prefix="marginflow-test-")
-    start = dt.datetime(2026, 1, 1, 12)
-    rows = [("oak", "L", start + dt.timedelta(days=d), 2, 10, 100, False) for d in range(6) for _ in range(3)]
-    checks = spark.createDataFrame(rows, "loc string, daypart string, closed_at timestamp, guest_count bigint, comp_cents bigint, subtotal_cents bigint, voided boolean")
-    checks.write.parquet(f"{folder}/in")
-    live = stream_service_rollup(spark.readStream.schema(checks.schema).parquet(f"{folder}/in"), "1 day")
-    stream_to_parquet(live, f"{folder}/out", f"{folder}/state").awaitTermination()
-    got = {r["date"].isoformat(): (r["covers"], r["gross_cents"]) for r in spark.read.parquet(f"{folder}/out").collect()}
-    assert got == {f"2026-01-0{d}": (6, 330) for d in range(1, 5)}
-
-
-def test_stream_sums_hold_every_day_and_late_checks(spark):
-    """Three runs: open days are there at once, and a check that comes days late counts."""
-    folder = tempfile.mkdtemp(prefix="marginflow-test-")
-    start = dt.datetime(2026, 1, 1, 12)
-    schema = "loc string, daypart string, closed_at timestamp, guest_count bigint, comp_cents bigint, subtotal_cents bigint, voided boolean"
-    want = {}
-    assert service_sums(spark, f"{folder}/none").count() == 0
-    for days in (range(6), (0, 9), (3,)):
-        rows = [("oak", "L", start + dt.timedelta(days=d), 2, 10, 100, void) for d in days for void in (False, False, True)]
-        for d in days:
-            day = f"2026-01-{d + 1:02d}"
-            want[day] = (want.get(day, (0, 0))[0] + 4, want.get(day, (0, 0))[1] + 220)
-        spark.createDataFrame(rows, schema).write.mode("append").parquet(f"{folder}/in")
-        live = spark.readStream.schema(schema).option("maxFilesPerTrigger", 2).parquet(f"{folder}/in")
-        stream_service_sums(live, f"{folder}/out", f"{folder}/state").awaitTermination()
-        assert {r["date"].isoformat(): (r["covers"], r["gross_cents"]) for r in service_sums(spark, f"{folder}/out").collect()} == want
