@@ -1,4 +1,4 @@
-"""Connected components of a link table, by alternating large and small stars."""
+"""Connected components of a link table, by hooking to the smallest neighbour and contracting."""
 
 from __future__ import annotations
 
@@ -8,27 +8,38 @@ from pyspark.sql import functions as F
 from .common import staged
 
 
+def _roots(parents: DataFrame) -> DataFrame:
+    """(node, root) of a forest (node, up) whose parents are smaller than their children, by pointer jumping."""
+    while True:
+        further = parents.select(F.col("node").alias("up"), F.col("up").alias("_next"))
+        jumped = staged(parents.join(further, "up", "left").select("node", F.coalesce("_next", "up").alias("up"), F.col("_next").isNotNull().alias("_moved")))
+        parents = jumped.select("node", "up")
+        if not jumped.where("_moved").limit(1).count():
+            return parents.withColumnRenamed("up", "root")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (a, b): component is the smallest node that can be reached.
 
-    A large star hangs a node's larger neighbours on the smallest of its neighbourhood, a small star its smaller ones;
-    the link count never grows, and chains shrink to stars in a number of rounds that follows the logarithm of the
-    nodes. Every round is a minimum per node, combined before the shuffle, and a join that AQE can split. Rounds are
-    staged in the shared folder, so a lost executor costs one round. The driver sees two sums per round.
+    Each node hooks to the smallest node of its neighbourhood, a minimum that is combined before the shuffle; the trees
+    that this makes are replaced by their roots, their smallest nodes, and so are the ends of the links. Links inside a
+    tree are gone after one round, and at least half of the nodes that still have links, so rounds follow the logarithm
+    of the nodes and links shrink fast. Joins are ones that AQE can split. Rounds are staged in the shared folder, so a
+    lost executor costs one round.
     """
     edges = staged(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    before = None
-    while True:
+    named = None
+    while edges.limit(1).count():
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("low")).select("a", F.least("a", "low").alias("low"))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("low").alias("b")).distinct()
-        small_least = large.groupBy("a").agg(F.min("b").alias("low"))
-        small = large.join(small_least, "a")
-        hung = small.select(F.col("b").alias("a"), F.col("low").alias("b")).where("a <> b").unionByName(small_least.select("a", F.col("low").alias("b"))).distinct()
-        edges = staged(hung)
-        # The sum of all parents falls in every round that changes a link.
-        now = tuple(edges.agg(F.count(F.lit(1)), F.sum(F.col("b").cast("decimal(38,0)")), F.sum(F.col("a").cast("decimal(38,0)"))).first())
-        if now == before:
-            break
-        before = now
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
+        least = staged(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("up")))
+        # Every node but the local minima hangs on a smaller one.
+        roots = _roots(least.where("up < node"))
+        tree = staged(least.select("node").join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root")))
+        moved = edges.join(tree.select(F.col("node").alias("a"), F.col("root").alias("_a")), "a").join(tree.select(F.col("node").alias("b"), F.col("root").alias("_b")), "b")
+        edges = staged(moved.where("_a <> _b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct())
+        if named is None:
+            named = tree.select("node", F.col("root").alias("component"))
+        else:
+            up = tree.select(F.col("node").alias("component"), F.col("root").alias("_root"))
+            named = staged(named.join(up, "component", "left").select("node", F.coalesce("_root", "component").alias("component")))
+    return links.sparkSession.createDataFrame([], "node long, component long") if named is None else named
