@@ -6,8 +6,9 @@ logistic unit scores the window. A document is all its overlapping windows of ``
 score is that of the worst window. Labels are of documents, so training pushes the worst window of a toxic document up
 and the worst window of a clean one down.
 
-Training uses at most ``MAX_PER_CLASS`` labelled documents per class, the first in a seeded shuffle, on the driver;
-everything else covers every window of every document. Nulls: a null or empty text is one window of one padding token.
+Training uses at most ``MAX_PER_CLASS`` labelled documents per class, the first in a seeded shuffle, on the driver, and
+of a text of over ``MAX_TRAIN_WORDS`` tokens one random stretch of so many per step; everything else covers every window
+of every document. Nulls: a null or empty text is one window of one padding token.
 Labels with a null doc_id or null mark are not used; without labels of both classes every score is the prior. Repeated
 rows get the same score. An empty table gives an empty result.
 """

@@ -14,6 +14,7 @@ responses. Rows with equal payloads and only null page_ids are all responses. An
 
 from __future__ import annotations
 
+import datetime as dt
 import uuid
 
 import numpy as np
@@ -31,7 +32,7 @@ END = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 #: Payloads under so many bytes are never stored by reference.
 MIN_REVISIT = 1000
-IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+IDENTICAL = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 
 
 def _safe(c: Column) -> Column:
@@ -54,24 +55,24 @@ def with_record_types(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataF
     return typed.withColumn("record_type", F.when(revisit, "revisit").otherwise("response")).withColumn("refers_to", F.when(revisit, F.col("_first"))).drop("_equal", "_first")
 
 
-def record(row_type: Column) -> Column:
-    """The text of a record after its magic line, up to the blank lines that end it."""
+def record(row_type: Column, written_at: dt.datetime) -> Column:
+    """The text of a record with its magic line, up to the blank lines that end it."""
     revisit = row_type == "revisit"
     block = F.concat(F.lit(HTTP), F.when(revisit, "").otherwise(F.coalesce(F.col("html"), F.lit(""))))
     urn = lambda c: F.concat(F.lit("<urn:page:"), F.coalesce(c.cast("string"), F.lit("")), F.lit(">\r\n"))
     refers = F.when(revisit, F.concat(F.lit(f"WARC-Profile: {IDENTICAL}\r\nWARC-Refers-To: "), urn(F.col("refers_to")))).otherwise("")
     return F.concat(
-        F.lit(MAGIC), F.lit("WARC-Type: "), row_type, F.lit("\r\nWARC-Record-ID: "), urn(F.col("page_id")), F.lit("WARC-Target-URI: "), _safe(F.col("url")),
+        F.lit(MAGIC), F.lit("WARC-Type: "), row_type, F.lit("\r\nWARC-Record-ID: "), urn(F.col("page_id")), F.lit(f"WARC-Date: {written_at:%Y-%m-%dT%H:%M:%SZ}\r\nWARC-Target-URI: "), _safe(F.col("url")),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), F.col("payload_digest"), F.lit("\r\n"), refers, F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "),
         F.octet_length(block).cast("string"), F.lit("\r\n\r\n"), block,
     )
 
 
-def write_archives(pages: DataFrame, path: str) -> int:
-    """One record per row of (page_id, url, html); the files hold nothing but records. Returns their number."""
+def write_archives(pages: DataFrame, path: str, written_at: dt.datetime | None = None) -> int:
+    """One record per row of (page_id, url, html), dated ``written_at`` or now; the files hold nothing but records. Returns their number."""
     typed = with_record_types(pages)
     seen = Observation()
-    typed.select(record(F.col("record_type")).alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", END).text(path)
+    typed.select(record(F.col("record_type"), written_at or dt.datetime.now(dt.timezone.utc)).alias("value")).observe(seen, F.count(F.lit(1)).alias("n")).write.option("lineSep", END).text(path)
     return seen.get["n"]
 
 
@@ -209,10 +210,22 @@ def read_archives(spark: SparkSession, path: str, written: int | None = None) ->
 
 
 def _mended(spark: SparkSession, path: str, found: DataFrame, broken: DataFrame) -> DataFrame:
-    """Payloads that lie in several pieces, put together in order; the pieces of their files are staged once."""
-    spans = broken.select("file", F.col("at").alias("start"), "next", "body", "content")
-    parts = found.select("file", "at").join(spans, "file").where("at >= start and at < next")
-    again = _pieces(spark, path).withColumn("bytes", F.octet_length("piece").cast("long")).join(F.broadcast(broken.select("file").distinct()), "file", "left_semi")
+    """Payloads that lie in several pieces, put together in order; the pieces of their files are staged once.
+
+    Every piece carries the last broken record that begins before it, inside its block from window to window and from
+    block to block by the blocks' last ones: one pass over a file's pieces, however many of its payloads are broken.
+    """
+    own = F.struct(F.col("at").alias("start"), "next", "body", "content")
+    starts = broken.select("file", "at", own.alias("_own"))
+    inside = found.select("file", "block", "at").join(broken.select("file").distinct(), "file", "left_semi")
+    marked = inside.join(starts, ["file", "at"], "left").withColumn("_here", F.last("_own", ignorenulls=True).over(W.partitionBy("file", "block").orderBy("at")))
+    by_block = marked.groupBy("file", "block").agg(F.max_by("_own", F.when(F.col("_own").isNotNull(), F.col("at"))).alias("_last"))
+    # A file has few blocks.
+    so_far = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    carried = by_block.select("file", "block", F.last("_last", ignorenulls=True).over(so_far).alias("_carried"))
+    held = marked.join(carried, ["file", "block"]).withColumn("_of", F.coalesce("_here", "_carried"))
+    parts = held.where("at < _of.next").select("file", "at", "_of.start", "_of.body", "_of.content")
+    again = _pieces(spark, path).withColumn("bytes", F.octet_length("piece").cast("long")).join(broken.select("file").distinct(), "file", "left_semi")
     text = parts.join(_placed(staged(again)).select("file", "at", "piece"), ["file", "at"])
     whole = text.groupBy("file", "start", "body", "content").agg(F.array_sort(F.collect_list(F.struct("at", "piece"))).alias("_all"))
     joined = F.aggregate(F.slice("_all", 2, F.size("_all")), F.get("_all", F.lit(0))["piece"], lambda a, x: F.concat(a, F.lit(MAGIC).cast("binary"), x["piece"]))
