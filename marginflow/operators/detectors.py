@@ -177,15 +177,17 @@ def detect_usage_drift(
 def peer_comps(services: DataFrame) -> DataFrame:
     """Pooled comps rate of the other rooms, per room, daypart and date.
 
-    Each (room, daypart) meets the daily totals of its daypart, a table as long as
-    the calendar, and its own row is taken out of the total: no self-join on rooms.
+    Each (room, daypart) is laid out over the calendar and meets the total of its daypart on
+    each day, from which its own row is taken out: no self-join on rooms, and no join on dayparts alone.
     """
     totals = services.groupBy("daypart", "date").agg(
         F.sum("comps_cents").alias("_comps"), F.sum("gross_cents").alias("_gross"), F.count(F.lit(1)).alias("_rooms")
     )
     own = services.select("loc", "daypart", "date", "comps_cents", "gross_cents")
     units = own.select("loc", "daypart").distinct()
-    grid = units.join(totals, "daypart").join(own, ["loc", "daypart", "date"], "left")
+    calendar = attach(units, totals.agg(F.min("date").alias("_lo"), F.max("date").alias("_hi")))
+    days = calendar.filter(F.col("_lo").isNotNull()).select("loc", "daypart", F.explode(F.sequence("_lo", "_hi")).alias("date"))
+    grid = days.join(totals, ["daypart", "date"]).join(own, ["loc", "daypart", "date"], "left")
     grid = grid.withColumn("_peers", F.col("_rooms") - F.when(F.col("gross_cents").isNotNull(), 1).otherwise(0))
     comps = F.col("_comps") - F.coalesce("comps_cents", F.lit(0))
     gross = F.col("_gross") - F.coalesce("gross_cents", F.lit(0))

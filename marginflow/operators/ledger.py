@@ -418,22 +418,3 @@ def largest_unexplained(sides: DataFrame) -> DataFrame:
     """The bridge with the largest unexplained line, if any is above 0."""
     best = F.max(F.struct(F.col("unexplained_cents"), F.col(KEY), F.col("claim_cents")))
     return sides.filter(F.col("unexplained_cents") > 0).agg(best.alias("b")).filter(F.col("b").isNotNull()).select("b.*")
-
-
-def metric_contracts(kpi_rows: DataFrame, through: Day) -> DataFrame:
-    """The ten attributes every figure carries."""
-    c = F.col
-    strength = {k: v[0] for k, v in dims.CLAIM_CLASSES.items()}
-    level = F.coalesce(F.create_map(*(F.lit(x) for kv in strength.items() for x in kv))[c("klass")], F.lit("none"))
-    return kpi_rows.select(
-        "scope", "kpi", F.concat(F.lit("figure "), c("kpi")).alias("definition"), F.lit(f"through {to_date(through).isoformat()}").alias("date_range"),
-        F.when(c("scope") == "all", "All rooms").otherwise(F.concat(c("scope"), F.lit(" only"))).alias("location_scope"), level.alias("status"), level.alias("confidence"),
-        F.lit(to_date(through).isoformat()).alias("freshness"), F.lit("register").alias("lineage"), c("kpi").alias("drill_to"), F.lit("after a second closed period").alias("change_explanation"),
-        F.lit(dims.CALC_VERSION).alias("calc_version"),
-    )
-
-
-def contract_gaps(contracts: DataFrame) -> DataFrame:
-    """Attributes that are missing or empty, one row each."""
-    cells = F.array(*(F.struct(F.lit(f).alias("attribute"), F.col(f).alias("value")) for f in dims.METRIC_CONTRACT_FIELDS))
-    return contracts.select("scope", "kpi", F.inline(cells)).filter(F.coalesce(F.col("value") == "", F.lit(True))).drop("value")

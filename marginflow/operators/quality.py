@@ -1,57 +1,13 @@
-"""Contract rules, reserved words and registry references."""
+"""Vocabularies, reserved words and registry references; ``contracts`` has the rules of tables."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import dims
 
 
-def enum(column: str, values) -> Column:
-    return F.col(column).isin(list(values))
-
-
-def not_negative(column: str) -> Column:
-    return F.col(column) >= 0
-
-
-def present(column: str) -> Column:
-    return F.col(column).isNotNull()
-
-
-FINDING_RULES = {
-    "id is present": lambda: present("id"),
-    "state is known": lambda: enum("state", dims.FINDING_STATES),
-    "lever is known": lambda: enum("lever", dims.LEVERS),
-    "exposure is not negative": lambda: not_negative("exposure_cents"),
-    "overlap status is known": lambda: enum("overlap_status", dims.OVERLAP_STATES),
-    "expiry is after opening": lambda: F.col("expires_on") > F.col("decision_opened_on"),
-}
-INTERVENTION_RULES = {
-    "metric is known": lambda: enum("metric", dims.SERVICE_METRICS + dims.SCOPE_METRICS),
-    "fidelity is known": lambda: enum("fidelity", dims.FIDELITIES),
-    "rung is 1 to 7": lambda: enum("rung", dims.RUNGS),
-    "decided before executed": lambda: F.col("decided_on") <= F.col("exec_on"),
-    "estimator is known": lambda: enum("estimator", ("did", "reconcile")),
-}
-SERVICE_RULES = {
-    "covers are not negative": lambda: not_negative("covers"),
-    "gross is net plus comps": lambda: F.col("gross_cents") == F.col("net_cents") + F.col("comps_cents"),
-    "weekday is 0 to 6": lambda: enum("dow", range(7)),
-    "constrained share is a share": lambda: F.col("constrained_share").between(0, 1),
-    "rating is 0 to 5": lambda: F.col("rating").between(0, 5),
-}
-
-
-def check_contracts(table: str, rows: DataFrame, rules: dict) -> DataFrame:
-    """Violations per rule, all rules in one scan; a null result is a violation."""
-    broken = {name: F.count(F.when(~F.coalesce(rule(), F.lit(False)), 1)) for name, rule in rules.items()}
-    wide = rows.agg(*(c.alias(f"r{i}") for i, c in enumerate(broken.values())), F.count(F.lit(1)).alias("rows"))
-    cells = F.array(*(F.struct(F.lit(name).alias("rule"), F.col(f"r{i}").alias("violations")) for i, name in enumerate(broken)))
-    return wide.select(F.lit(table).alias("table"), "rows", F.inline(cells))
-
-
 def check_enum(rows: DataFrame, column: str, vocabulary: DataFrame) -> DataFrame:
     """Values that a vocabulary table does not hold, with their counts."""
     return rows.join(vocabulary, column, "left_anti").groupBy(column).agg(F.count(F.lit(1)).alias("rows"))
@@ -71,7 +27,3 @@ def check_registry(findings: DataFrame) -> DataFrame:
     known = spark.createDataFrame([(k,) for k in dims.EQUATIONS], "equation string")
     cited = findings.select("id", F.explode("equations").alias("equation"))
     return cited.join(F.broadcast(known), "equation", "left_anti")
-
-
-def check_units(rows: DataFrame, column: str = "unit") -> DataFrame:
-    return rows.filter(~F.coalesce(F.col(column).isin(list(dims.UNITS)), F.lit(False)))

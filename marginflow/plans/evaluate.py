@@ -71,7 +71,7 @@ def evaluate_interventions(plans: DataFrame, register: Register, feeds: DataFram
     staged = closed_windows(plans, as_of)
     bought = (register.invoices, register.item_days, register.menu)
     scoped = measure.scope_days(plans, register.services, as_of)
-    pairs = durable(measure.build_series(scoped, *bought, as_of))
+    pairs = durable(measure.build_series(scoped, *bought, as_of, whole=False))
     moments = durable(measure.service_moments(scoped))
     raw = measure.measure_interventions(scoped, *bought, as_of, moments)
     scaled = measure.scale_to_week(raw, plans, measure.window_volume(scoped, *bought), as_of)

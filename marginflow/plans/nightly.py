@@ -71,6 +71,19 @@ def _shape(rows: DataFrame, schema: dict[str, str], org: str) -> DataFrame:
     return rows.select(*cols)
 
 
+#: Weeks before today that the detectors look at, and one for the start of a week.
+DETECTION_WEEKS = 53
+
+
+def first_day(declarations: DataFrame | None, today: dt.date) -> dt.date:
+    """The first day of services that a run needs: the detectors' window, or the earliest baseline. Invoices and item-days are read whole."""
+    lo = today - dt.timedelta(weeks=DETECTION_WEEKS)
+    if declarations is None:
+        return lo
+    earliest = declarations.agg(F.min(F.date_sub("exec_on", F.col("baseline_days")))).first()[0]
+    return lo if earliest is None else min(lo, earliest - dt.timedelta(days=7))
+
+
 def nightly(
     spark: SparkSession, path: str, org: str, as_of: Day, register_through: Day | None, declarations: DataFrame | None, feed_rows: DataFrame,
     accounting: DataFrame | None = None, server_roles: Sequence[str] = ("server",), th: detectors.Thresholds = detectors.DEFAULTS,
@@ -94,7 +107,8 @@ def nightly(
         store.append_log(_shape(run, RUNS, org), f"{path}/pipeline_runs")
         return NightlyResult(today, 0, 0, "no register")
 
-    tables = reg.load_register(spark, path, org)
+    first = first_day(declarations, today)
+    tables = reg.load_register(spark, path, org, {"services": first, "shifts": first, "reservation_days": first})
     register = Register(
         tables["services"], tables["item_days"], tables["invoices"], tables["menu"], tables["shifts"], tables["skus"], tables["dayparts"], tables["locations"]
     )

@@ -163,13 +163,13 @@ def service_rate(inp):
 @query(
     "required_hours",
     tidy_sql(
-        """SELECT loc, date, daypart, required, abs((l / mu + 0.3 / sqrt(greatest(l, 0.01)) * (l / mu)) * dp_hours * roster_ratio) * rel_se * mu AS se FROM (
-        SELECT *, covers / dp_hours / mu AS l FROM o_req WHERE mu IS NOT NULL)""",
+        """SELECT loc, date, daypart, CASE WHEN mu IS NOT NULL THEN required END AS required, CASE WHEN mu IS NOT NULL THEN abs((l / mu + 0.3 / sqrt(greatest(l, 0.01)) * (l / mu)) * dp_hours * roster_ratio) * rel_se * mu END AS se FROM (
+        SELECT *, covers / dp_hours / mu AS l FROM o_req)""",
         keep="loc daypart", doubles="required se", dates="date", digits=4,
     ),
 )
 def required_hours(inp):
-    rows = detectors.excess_rows(services(inp), role_shifts(inp), inp.view("reg_dayparts"), AS_OF, ROLES, RELAXED).filter("mu IS NOT NULL")
+    rows = detectors.excess_rows(services(inp), role_shifts(inp), inp.view("reg_dayparts"), AS_OF, ROLES, RELAXED)
     se = labour.required_hours_se(F.col("covers"), F.col("daypart_hours"), F.col("mu"), F.col("rel_se"), F.col("roster_ratio"))
     return tidy(rows.select("loc", "date", "daypart", "required", se.alias("se")), 4)
 
@@ -343,3 +343,44 @@ TKT_BODY = f"""SELECT *, coalesce(services >= 10 AND signal_date IS NOT NULL AND
 )
 def detect_ticket_drift(inp):
     return tidy(detectors.detect_ticket_drift(services(inp), item_days(inp), AS_OF, th=RELAXED).drop("blocked"))
+
+
+def _stricter(body: str, *swaps: tuple[str, str]) -> str:
+    """A detector's SQL with the engine's own limits in place of the relaxed ones."""
+    for old, new in swaps:
+        assert old in body, old
+        body = body.replace(old, new)
+    return body
+
+
+_SIDES_4_3 = ("n_pre >= 1 AND n_post >= 1", "n_pre >= 4 AND n_post >= 3")
+DEFAULT_BODIES = {
+    "PPV": ("sku", _stricter(PPV_BODY, _SIDES_4_3, ("price_leg >= 1,", "price_leg >= 8000,"))),
+    "POR": ("loc || '/' || sku", _stricter(POR_BODY, ("lines >= 5 ", "lines >= 16 "), _SIDES_4_3, ("exposure_cents >= 1,", "exposure_cents >= 6000,"))),
+    "CMP": ("loc || '/' || daypart", _stricter(CMP_BODY, ("services >= 10 AND signals >= 1 ", "services >= 40 AND signals >= 8 "), ("p.n >= 10 AND p.signals >= 1,", "p.n >= 40 AND p.signals >= 8,"), ("exposure_cents >= 1,", "exposure_cents >= 5000,"))),
+    "PRC": ("loc || '/' || item", _stricter(PRC_BODY, ("rows >= 20 ", "rows >= 120 "), ("weeks >= 10 ", "weeks >= 24 "), ("exposure_cents >= 1,", "exposure_cents >= 5000,"))),
+    "MIX": ("loc", _stricter(MIX_BODY, ("rows_pre >= 20 AND rows_post >= 20 AND weekly_cents <= -1 ", "rows_pre >= 200 AND rows_post >= 200 AND weekly_cents <= -9000 "))),
+    "TKT": ("loc || '/' || daypart", _stricter(TKT_BODY, ("services >= 10 ", "services >= 40 "), ("n_post >= 1 AND n_pre >= 1 AND delta_min >= 0.01,", "n_post >= 8 AND n_pre >= 12 AND delta_min >= 1.5,"))),
+}
+
+
+@query(
+    "default_detections",
+    "\nUNION ALL ".join(f"SELECT '{code}' AS detector, {scope} AS scope, fired FROM ({body})" for code, (scope, body) in DEFAULT_BODIES.items()),
+)
+def default_detections(inp):
+    """What the detectors judge at the engine's own limits, fired or not: one row per unit that each looked at."""
+    sold, served, bought = item_days(inp), services(inp), inp.view("reg_invoices")
+    found = {
+        "PPV": (("sku",), detectors.detect_price_variance(bought, AS_OF)),
+        "POR": (("loc", "sku"), detectors.detect_usage_drift(bought, sold, inp.menu(), inp.view("reg_skus"), AS_OF)),
+        "CMP": (("loc", "daypart"), detectors.detect_comps_rate(served, AS_OF)),
+        "PRC": (("loc", "item"), detectors.detect_underpriced_item(sold, served, inp.menu(), AS_OF)),
+        "MIX": (("loc",), detectors.detect_mix_shift(sold, AS_OF)),
+        "TKT": (("loc", "daypart"), detectors.detect_ticket_drift(served, sold, AS_OF)),
+    }
+    parts = [df.select(F.lit(code).alias("detector"), F.concat_ws("/", *unit).alias("scope"), "fired") for code, (unit, df) in found.items()]
+    out = parts[0]
+    for more in parts[1:]:
+        out = out.unionByName(more)
+    return out

@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 from .. import dims
 from ..functions import dates
 from ..functions.collections import from_document, to_document
-from ..operators import quality, report
+from ..operators import contracts, quality, report, rollup, series
 from ..plans import detect, evaluate
 from ..session import durable, scratch_dir
 from ..sources import register as reg
-from ..sources import keyed, store
+from ..sources import documents, keyed, store
 from ..streaming.cusum import stream_cusum as live_cusum
 from ..streaming.land import stream_land as start_landing
 from ..streaming.land import stream_to_parquet
@@ -100,11 +100,12 @@ def restated_adjustments(inp):
 
 @query(
     "listed_findings",
-    tidy_sql("SELECT id, exposure_cents AS recoverable_cents FROM rec_findings WHERE state = 'awaiting_decision' AND NOT historical ORDER BY exposure_cents DESC, id LIMIT 50", keep="id", ints="recoverable_cents"),
+    tidy_sql("SELECT id, exposure_cents AS recoverable_cents, row_number() OVER (ORDER BY exposure_cents DESC, id) AS position FROM rec_findings WHERE state = 'awaiting_decision' AND NOT historical ORDER BY exposure_cents DESC, id LIMIT 50", keep="id", ints="recoverable_cents position"),
 )
 def listed_findings(inp):
     rows = inp.view("rec_findings").withColumn("recoverable_cents", F.col("exposure_cents"))
-    return tidy(store.list_findings(rows, "awaiting_decision", False, 50).select("id", "recoverable_cents"))
+    top = store.list_findings(rows, "awaiting_decision", False, 50).select("id", "recoverable_cents")
+    return tidy(report.placed(top, [F.col("recoverable_cents").desc(), F.col("id")]))
 
 
 @query("record_counts", tidy_sql("SELECT loc AS org_id, count(*) AS findings, count(*) FILTER (k % 2 = 0) AS interventions FROM rec_findings GROUP BY loc", keep="org_id", ints="findings interventions"))
@@ -119,6 +120,71 @@ def documents_round_trip(inp):
     return tidy(from_document(to_document(rows, ["id"]).select("record"), rows.schema))
 
 
+ORACLE_VIEWS["o_stored"] = """SELECT f.id, f.k, f.evidence_count, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS version, s.date, s.v FROM rec_findings f JOIN comps_series s ON s.loc = f.loc AND s.daypart = f.daypart WHERE f.daypart IS NOT NULL"""
+
+
+def stored_documents(inp):
+    """Findings of a daypart with their comps series, written as documents: the even ones by the first layout, the others by the second."""
+    spark = inp.spark
+    rows = findings_with_feeds(inp).filter("daypart IS NOT NULL")
+    values = services(inp).select("loc", "daypart", "date", series.comps_rate().alias("v"))
+    points = rows.select("id", "loc", "daypart").join(values, ["loc", "daypart"]).select("id", "date", "v")
+    refs = inp.view("rec_findings").filter("overlap_with IS NOT NULL").select("id", F.col("overlap_with").alias("other_id"), F.col("overlap_cents").alias("cents"))
+    tests = rows.select("id", (F.col("evidence_count") >= 6).alias("data"), (F.col("exposure_cents") >= 6000).alias("worth"))
+    new = documents.finding_documents(rows.filter("k % 2 = 1"), points, refs, tests)
+    path = f"{scratch_dir(spark)}/documents-{uuid.uuid4().hex}"
+    documents.flat_documents(rows.filter("k % 2 = 0")).write.parquet(f"{path}")
+    new.write.mode("append").parquet(path)
+    return documents.read_findings(spark.read.parquet(path))
+
+
+@query(
+    "stored_findings",
+    tidy_sql(
+        """SELECT f.id, CASE WHEN k % 2 = 0 THEN 1 ELSE 2 END AS version, lever, exposure_cents, CASE WHEN k % 2 = 1 THEN coalesce(n, 0) ELSE 0 END AS points, CASE WHEN k % 2 = 1 THEN evidence_count >= 6 END AS t_data,
+        CASE WHEN k % 2 = 1 THEN exposure_cents >= 6000 END AS t_worth, CASE WHEN k % 2 = 1 AND overlap_with IS NOT NULL THEN 1 ELSE 0 END AS shared_with, CASE WHEN k % 2 = 1 AND overlap_with IS NOT NULL THEN overlap_cents ELSE 0 END AS shared_cents
+        FROM rec_findings f LEFT JOIN (SELECT id, count(*) AS n FROM o_stored GROUP BY id) USING (id) WHERE daypart IS NOT NULL""",
+        keep="id lever t_data t_worth", ints="version exposure_cents points shared_with shared_cents",
+    ),
+)
+def stored_findings(inp):
+    """What documents of both layouts give back; the first layout knows no series, tests or references."""
+    out = stored_documents(inp)
+    shared = F.aggregate("overlaps", F.lit(0).cast("bigint"), lambda a, o: a + F.coalesce(o["cents"], F.lit(0)))
+    return tidy(
+        out.select(
+            "id", "version", "lever", "exposure_cents", F.size("series").alias("points"), F.col("tests.data").alias("t_data"), F.col("tests.worth").alias("t_worth"),
+            F.size("overlaps").alias("shared_with"), shared.alias("shared_cents"),
+        )
+    )
+
+
+@query(
+    "stored_charts",
+    tidy_sql(
+        """SELECT id, date, i AS idx, v, mu, mu + 3 * sd AS ucl, v > mu + 3 * sd OR v < mu - 3 * sd AS outside FROM (SELECT *, CASE WHEN coalesce(sd0, 0) = 0 THEN 1e-9 ELSE sd0 END AS sd FROM (
+          SELECT *, avg(CASE WHEN i <= greatest(2, least(28, n)) THEN v END) OVER (PARTITION BY id) AS mu, stddev_samp(CASE WHEN i <= greatest(2, least(28, n)) THEN v END) OVER (PARTITION BY id) AS sd0 FROM (
+            SELECT *, row_number() OVER (PARTITION BY id ORDER BY date) AS i, count(*) OVER (PARTITION BY id) AS n FROM (
+              SELECT *, row_number() OVER (PARTITION BY id ORDER BY date DESC) AS back FROM o_stored WHERE version = 2) WHERE back <= 60)) WHERE n >= 3)""",
+        keep="id outside", ints="idx", doubles="v mu ucl", dates="date",
+    ),
+)
+def stored_charts(inp):
+    """Control charts of stored findings, from their documents alone."""
+    out = documents.charts(stored_documents(inp), points=60)
+    return tidy(out.select("id", "date", "idx", "v", "mu", "ucl", "outside"))
+
+
+@query(
+    "stored_confidence",
+    tidy_sql("SELECT q.id, CASE WHEN q.k % 2 = 1 THEN c.data ELSE least(1.0, 0.0 + q.evidence_count / 12 * 0.5 + q.completeness * 0.4 + CASE WHEN q.stale_n = 0 THEN 0.1 ELSE 0 END) END AS data FROM o_qualified q JOIN o_fconf c USING (id) WHERE q.daypart IS NOT NULL", keep="id", doubles="data"),
+)
+def stored_confidence(inp):
+    """Confidence of stored findings, from their documents and the feeds."""
+    out = report.finding_confidence(stored_documents(inp), feed_table(inp))
+    return tidy(out.select("id", F.col("confidence.data").alias("data")))
+
+
 ORACLE_VIEWS["o_detectors"] = values_view([(k, v[0], v[4]) for k, v in dims.DETECTORS.items()], "detector, lever, effort")
 ORACLE_VIEWS["o_fired"] = f"""SELECT 'F-LAB-' || loc || '-' || daypart || '-' || ['SUN', 'MON', 'TUE', 'WED', 'THU', 'FRI', 'SAT'][dow + 1] AS id, 'LAB' AS detector, loc, exposure_cents, n_recent AS evidence FROM ({LAB_BODY}) WHERE fired
   UNION ALL SELECT 'F-PPV-' || sku, 'PPV', 'group', exposure_cents, n_post FROM ({PPV_BODY}) WHERE fired UNION ALL SELECT 'F-POR-' || loc || '-' || sku, 'POR', loc, exposure_cents, n_post FROM ({POR_BODY}) WHERE fired
@@ -157,23 +223,74 @@ def detection_pass(inp):
     return tidy(out.select("id", "detector", "loc", "exposure_cents", "overlap_status", "overlap_cents", "recoverable_cents", "ev_per_hour", "qualified", "state"))
 
 
-@query(
-    "contract_violations",
-    tidy_sql(
-        f"""SELECT 'findings' AS "table", rule, n FROM (SELECT unnest(['id is present', 'state is known', 'lever is known', 'exposure is not negative', 'overlap status is known', 'expiry is after opening']) AS rule,
-          unnest([0, 0, 0, count(*) FILTER (exposure_cents < 0), 0, count(*) FILTER (expires_on <= decision_opened_on)]) AS n FROM rec_findings)
-        UNION ALL SELECT 'interventions', rule, n FROM (SELECT unnest(['metric is known', 'fidelity is known', 'rung is 1 to 7', 'decided before executed', 'estimator is known']) AS rule,
-          unnest([0, count(*) FILTER (fidelity NOT IN {dims.FIDELITIES}), count(*) FILTER (rung > 7), count(*) FILTER (decided_on > exec_on), 0]) AS n FROM rec_interventions)
-        UNION ALL SELECT 'services', rule, n FROM (SELECT unnest(['covers are not negative', 'gross is net plus comps', 'weekday is 0 to 6', 'constrained share is a share', 'rating is 0 to 5']) AS rule,
-          unnest([count(*) FILTER (covers < 0), count(*) FILTER (gross_cents <> net_cents + comps_cents), count(*) FILTER (dow > 6), count(*) FILTER (constrained_share NOT BETWEEN 0 AND 1), count(*) FILTER (rating NOT BETWEEN 0 AND 5)]) AS n FROM services)""",
-        keep='"table" rule', ints="n",
-    ),
-)
+# The tables under contract: the view each is in, and rows spoiled on purpose (column: value) or repeated.
+SPOILED: dict[str, tuple[str, dict[str, str], str]] = {
+    "checks": ("reg_checks", {"guest_count": "CASE WHEN id % 500 = 7 THEN -1 ELSE guest_count END", "loc": "CASE WHEN id % 700 = 9 THEN 'R9' ELSE loc END"}, "id % 900 = 11"),
+    "order_items": ("reg_order_items", {"qty": "CASE WHEN id % 811 = 1 THEN CAST(0 AS BIGINT) ELSE qty END", "menu_item_id": "CASE WHEN id % 977 = 2 THEN 'Brand#99' WHEN id % 977 = 3 THEN NULL ELSE menu_item_id END", "check_id": "CASE WHEN id % 613 = 4 THEN -check_id ELSE check_id END"}, "id % 997 = 5"),
+    "shifts": ("reg_shifts", {"clocked_hours": "CASE WHEN id % 769 = 3 THEN -1.0 WHEN id % 769 = 4 THEN 25.0 ELSE clocked_hours END", "daypart": "CASE WHEN id % 859 = 6 THEN 'X' ELSE daypart END"}, "id % 997 = 8"),
+    "reviews": ("reg_reviews", {"rating": "CASE WHEN id % 300 = 6 THEN CAST(5.5 AS DOUBLE) WHEN id % 300 = 9 THEN NULL ELSE rating END"}, "id % 600 = 12"),
+    "reservations": ("reg_reservations", {"walk_in": "CASE WHEN id % 400 = 1 THEN booked + 1 ELSE walk_in END", "capacity": "CASE WHEN id % 350 = 2 THEN 0 ELSE capacity END"}, "id % 800 = 3"),
+    "invoices": ("reg_invoices", {"week": "CASE WHEN unit_price_cents % 97 = 0 THEN week + 1 ELSE week END", "vendor": "CASE WHEN unit_price_cents % 89 = 0 THEN 'V9' ELSE vendor END"}, "unit_price_cents % 1013 = 0"),
+    "recipe_costs": ("reg_recipe_costs", {"item": "CASE WHEN cost_cents % 5 = 0 THEN 'Brand#77' ELSE item END"}, "cost_cents % 7 = 1"),
+    "menu": ("reg_menu", {"qty_per_unit": "CASE WHEN brand_no = 3 THEN CAST(0 AS DOUBLE) ELSE qty_per_unit END", "uses_sku": "CASE WHEN brand_no = 6 THEN 'S99' ELSE uses_sku END"}, "brand_no = 9"),
+    "skus": ("reg_skus", {"vendor": "CASE WHEN sku = 'S4' THEN NULL ELSE vendor END"}, "sku = 'S5'"),
+    "locations": ("reg_locations", {"name": "CASE WHEN loc = 'R2' THEN NULL ELSE name END"}, "loc = 'R3'"),
+    "dayparts": ("reg_dayparts", {"hours": "CASE WHEN daypart = 'O' THEN CAST(30 AS DOUBLE) ELSE hours END"}, "daypart = 'P'"),
+    "services": ("services", {"gross_cents": "CASE WHEN covers = 7 THEN gross_cents + 1 ELSE gross_cents END", "rating": "CASE WHEN covers = 9 THEN CAST(6 AS DOUBLE) ELSE rating END"}, "covers = 11"),
+    "item_days": ("item_days", {"item": "CASE WHEN units = 49 THEN 'Brand#88' ELSE item END", "date": "CASE WHEN units = 48 THEN date + 4000 ELSE date END"}, "units = 47"),
+    "role_shifts": ("role_shifts", {"rate_cents": "CASE WHEN rate_cents % 500 = 0 THEN CAST(0 AS BIGINT) ELSE rate_cents END", "loc": "CASE WHEN rate_cents % 490 = 0 THEN 'R8' ELSE loc END"}, "rate_cents % 470 = 0"),
+    "reservation_days": ("o_reservation_days", {"walk_in": "CASE WHEN booked = 3 THEN booked + 2 ELSE walk_in END", "daypart": "CASE WHEN booked = 4 AND walk_in = 1 THEN 'X' ELSE daypart END"}, "booked = 5"),
+    "feeds": ("rec_feed_catalogue", {"completeness": "CASE WHEN code = 'kds' THEN CAST(1.2 AS DOUBLE) ELSE completeness END"}, "code = 'auth'"),
+    "findings": ("rec_findings", {"state": "CASE WHEN k % 60 = 1 THEN 'lost' ELSE state END", "exposure_cents": "CASE WHEN k % 61 = 2 THEN CAST(-5 AS BIGINT) ELSE exposure_cents END"}, "k % 301 = 4"),
+    "decisions": ("rec_decisions", {"decision": "CASE WHEN finding_id LIKE '%0' THEN 'shrug' ELSE decision END", "finding_id": "CASE WHEN finding_id LIKE '%52' THEN 'F-none' ELSE finding_id END"}, "finding_id LIKE '%4'"),
+    "interventions": ("rec_interventions", {"decided_on": "CASE WHEN k % 9 = 1 THEN exec_on + 1 ELSE decided_on END", "rung": "CASE WHEN k % 8 = 1 THEN 9 ELSE rung END"}, "k % 33 = 2"),
+    "evaluations": ("rec_evals", {"guardrails_passed": "CASE WHEN k % 100 = 3 THEN 9 ELSE guardrails_passed END", "lever": "CASE WHEN k % 120 = 5 THEN 'luck' ELSE lever END"}, "k % 299 = 7"),
+    "actions": ("rec_actions", {"done_on": "CASE WHEN k % 12 = 0 THEN NULL ELSE done_on END", "intervention_id": "CASE WHEN k % 75 = 2 THEN 'IV-none' ELSE intervention_id END"}, "k % 99 = 2"),
+    "adjustments": ("rec_adjustments", {"cents": "CASE WHEN k % 40 = 0 THEN CAST(9 AS BIGINT) ELSE cents END", "kind": "CASE WHEN k % 44 = 0 THEN 'Gift' ELSE kind END"}, "k % 52 = 0"),
+    "ledger_sides": ("rec_sides", {"unexplained_cents": "CASE WHEN claim_cents % 9 = 0 THEN claim_cents * 2 + 1 ELSE unexplained_cents END"}, "claim_cents % 11 = 0"),
+}
+
+
+def _contract_sql() -> str:
+    """Every rule counted by itself, row by row."""
+    parts = []
+    key_of = lambda c: "concat_ws('|', " + ", ".join(f"coalesce(CAST({k} AS VARCHAR), 'null')" for k in c.key) + ")"
+    for name, (_, _, _) in SPOILED.items():
+        c, src = contracts.CONTRACTS[name], f"bad_{name}"
+        key, rows = key_of(c), f"(SELECT count(*) FROM {src}) AS rows"
+        tests = [(rule, f"NOT coalesce({text}, false)") for rule, text in c.rules.items()]
+        if c.unique:
+            tests.append(("key is unique", f"{key} IN (SELECT {key} FROM {src} GROUP BY 1 HAVING count(*) > 1)"))
+        for ref in c.references:
+            named = " AND ".join(f"x.{a} IS NOT NULL" for a in ref.columns)
+            same = " AND ".join([f"x.{a} = p.{b}" for a, b in zip(ref.columns, ref.their)] + [f"x.{a} IS NOT DISTINCT FROM p.{a}" for a in ref.agree])
+            tests.append((ref.name, f"{named} AND NOT EXISTS (SELECT 1 FROM bad_{ref.table} p WHERE {same})"))
+        parts += [f"""SELECT '{name}' AS "table", '{rule}' AS rule, {rows}, count(*) AS violations, min({key}) AS first_key, max({key}) AS last_key FROM {src} x WHERE {test}""" for rule, test in tests]
+    return "\nUNION ALL ".join(parts)
+
+
+def _replaced(view: str, values: dict[str, str], repeated: str) -> str:
+    rows = f"SELECT * REPLACE ({', '.join(f'{text} AS {c}' for c, text in values.items())}) FROM {view}"
+    return f"{rows} UNION ALL SELECT * FROM {view} WHERE {repeated}"
+
+
+ORACLE_VIEWS["o_reservation_days"] = "SELECT loc, business_date AS date, daypart, arg_max(booked, id) AS booked, arg_max(walk_in, id) AS walk_in FROM reg_reservations GROUP BY ALL"
+ORACLE_VIEWS.update({f"bad_{name}": _replaced(*spec) for name, spec in SPOILED.items()})
+
+
+def spoiled_tables(inp):
+    made = {"services": services, "item_days": item_days, "role_shifts": role_shifts, "o_reservation_days": lambda inp: rollup.rollup_reservations(inp.view("reg_reservations")).select("loc", "date", "daypart", "booked", "walk_in")}
+    out = {}
+    for name, (view, values, repeated) in SPOILED.items():
+        rows = made[view](inp) if view in made else inp.view(view)
+        out[name] = durable(rows.withColumns({c: F.expr(text) for c, text in values.items()}).unionByName(rows.filter(repeated)))
+    return out
+
+
+@query("contract_violations", tidy_sql(_contract_sql(), keep='"table" rule first_key last_key', ints="rows violations"))
 def contract_violations(inp):
-    a = quality.check_contracts("findings", inp.view("rec_findings"), quality.FINDING_RULES)
-    b = quality.check_contracts("interventions", inp.view("rec_interventions"), quality.INTERVENTION_RULES)
-    c = quality.check_contracts("services", services(inp), quality.SERVICE_RULES)
-    return tidy(a.unionByName(b).unionByName(c).select("table", "rule", F.col("violations").alias("n")))
+    """All rules of all tables, over rows some of which were spoiled or repeated on purpose."""
+    return tidy(contracts.check_contracts(spoiled_tables(inp)))
 
 
 @query("registry_violations", "SELECT f.id, 'X9' AS equation FROM rec_findings f WHERE k % 50 = 7")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from .. import dims
-from ..operators import ledger, persistence, report
+from ..operators import contract, ledger, persistence, report
 from .lifecycle_queries import feed_table, lifecycle, qualified, values_view
 from .measure_queries import KEY, records
 from .oracle_views import ORACLE_VIEWS
@@ -318,12 +318,48 @@ def largest_unexplained(inp):
     return tidy(ledger.largest_unexplained(sides(inp)))
 
 
-@query("metric_contract_gaps", "SELECT scope, kpi, 'none' AS attribute FROM (SELECT 'x' AS scope, 'y' AS kpi) WHERE false")
-def metric_contract_gaps(inp):
+ORACLE_VIEWS.update(
+    {
+        "o_figures": values_view([(f, e) for f, (_, uses) in dims.FIGURES.items() for e in uses], "figure, node"),
+        "o_reads": values_view([(e, i) for e, inputs in dims.EQUATION_INPUTS.items() for i in inputs], "node, reads"),
+        "o_delivers": values_view([(i, f) for i, feeds in dims.INPUT_FEEDS.items() for f in feeds], "node, code"),
+    }
+)
+# The walk is spelled out in each query: a recursive part must stand in the query itself.
+_WALK = "WITH RECURSIVE walk AS (SELECT figure, node FROM o_figures UNION SELECT w.figure, r.reads FROM walk w JOIN o_reads r ON r.node = w.node) SELECT DISTINCT figure, code FROM walk JOIN o_delivers USING (node)"
+_SOURCES = f"""SELECT figure, string_agg(code, ' + ' ORDER BY code) AS feeds, coalesce(string_agg(code, ', ' ORDER BY code) FILTER (stale), '') AS late, count(*) FILTER (newest IS NULL) AS n_never, min(newest) AS oldest
+  FROM ({_WALK}) LEFT JOIN o_feeds USING (code) GROUP BY figure"""
+
+
+def _contracts(inp):
     out = ledger.kpis(
         findings(inp), evals(inp), inp.view("rec_actions"), adjustments(inp), feed_table(inp), sides(inp), inp.view("reg_locations"), AS_OF, SINCE, THROUGH, FEE
     )
-    return ledger.contract_gaps(ledger.metric_contracts(out, THROUGH))
+    return contract.metric_contracts(out, feed_table(inp), SINCE, THROUGH)
+
+
+@query("metric_lineage", tidy_sql(f"SELECT figure, feeds, late, CASE WHEN n_never = 0 THEN oldest END AS fresh_through FROM ({_SOURCES})", keep="figure feeds late", dates="fresh_through"))
+def metric_lineage(inp):
+    out = contract.figure_sources(feed_table(inp))
+    return tidy(out.select("figure", F.array_join("feeds", " + ").alias("feeds"), F.array_join("stale_feeds", ", ").alias("late"), "fresh_through"))
+
+
+@query(
+    "metric_contracts",
+    f"""SELECT scope, figure AS kpi, CASE WHEN n_never = 0 THEN strftime(oldest, '%Y-%m-%d') END AS freshness, CASE WHEN n_never = 0 THEN feeds END AS lineage,
+      CASE WHEN n_never = 0 THEN CASE WHEN late = '' THEN 'up to date' ELSE 'waits for ' || late END END AS status, CASE WHEN scope = 'all' THEN 'every room' ELSE 'room ' || scope END AS location_scope
+      FROM o_scopes, ({_SOURCES})""",
+)
+def metric_contracts(inp):
+    return _contracts(inp).select("scope", "kpi", "freshness", "lineage", "status", "location_scope")
+
+
+@query(
+    "metric_contract_gaps",
+    f"SELECT scope, figure AS kpi, unnest(['status', 'freshness', 'lineage']) AS attribute FROM o_scopes, ({_SOURCES}) WHERE n_never > 0",
+)
+def metric_contract_gaps(inp):
+    return contract.contract_gaps(_contracts(inp))
 
 
 # -- confidence, queue, listings --------------------------------------------
@@ -355,6 +391,29 @@ def confidence_words(inp):
     return tidy(out.select(KEY, "word", p("measurement", "meas"), p("guardrail", "guard"), p("persistence", "pers"), p("reconciliation", "recon"), p("comparability", "comp")))
 
 
+@query(
+    "finding_bases",
+    f"""SELECT id, evidence_count || ' observations, ' || n_feeds || ' feeds, ' || {fixed_sql('completeness * 100', 1)} || '% complete' || CASE WHEN stale_n = 0 THEN '' ELSE ', one is late' END AS data, n_guards || ' limits named' AS guardrail, 'not begun' AS execution
+      FROM o_qualified JOIN (SELECT lever, count(*) AS n_guards FROM o_lever_guards GROUP BY lever) USING (lever)""",
+)
+def finding_bases(inp):
+    out = report.finding_confidence(findings_full(inp), feed_table(inp))
+    return out.select("id", *(F.col(f"confidence_basis.{d}").alias(d) for d in ("data", "guardrail", "execution")))
+
+
+@query(
+    "intervention_bases",
+    f"""SELECT id AS intervention_id, CASE WHEN data_pass THEN 'feeds complete' ELSE 'a feed is incomplete' END AS data, CASE WHEN point IS NULL THEN 'window open' ELSE {usd_sql('abs(point)')} || ' seen, ' || {usd_sql('mde')} || ' needed' END AS measurement,
+      'rung ' || rung AS attribution, evidence_resolved || ' of ' || evidence_total || ' records found, ' || fidelity AS execution, CASE WHEN point IS NULL THEN 'no estimate' ELSE 'fit ' || {fixed_sql('pre_fit * 100', 0)} || '%' END AS comparability,
+      guardrails_observed || ' of ' || guardrails_total || ' seen, ' || (guardrails_total - guardrails_passed) || ' broken' AS guardrail,
+      CASE WHEN persistence_status IS NULL THEN 'no claim' ELSE checks || ' checks in ' || elapsed_weeks || ' weeks' || CASE WHEN persistence_status = 'decaying' THEN ', falling' ELSE '' END END AS persistence,
+      coalesce(status_label, 'no bridge') AS reconciliation FROM o_evals LEFT JOIN o_recon ON status = side_status""",
+)
+def intervention_bases(inp):
+    out = report.intervention_confidence(evals(inp), sides(inp))
+    return out.select(KEY, *(F.col(f"confidence_basis.{d}").alias(d) for d in dims.CONFIDENCE_DIMENSIONS))
+
+
 @query(
     "finding_summaries",
     tidy_sql("SELECT id, state, lever, loc, exposure_cents, recoverable_cents, ev_per_hour, 'Estimated' AS confidence_word, detected_on, expires_on FROM o_qualified", keep="id state lever loc confidence_word", ints="exposure_cents recoverable_cents ev_per_hour", dates="detected_on expires_on"),
@@ -402,10 +461,13 @@ def cards(inp):
     return report.queue(findings(inp), evals(inp), inp.view("rec_actions"), adjustments(inp), feed_table(inp), refs, AS_OF)
 
 
-@query("queue_cards", tidy_sql("SELECT id, type, rank, coalesce(money, -1) AS money_cents, band FROM o_bands", keep="id type band", ints="rank money_cents"))
+@query(
+    "queue_cards",
+    tidy_sql("SELECT id, type, rank, coalesce(money, -1) AS money_cents, band, row_number() OVER (ORDER BY rank, coalesce(money, 0) DESC, id) AS position FROM o_bands", keep="id type band", ints="rank money_cents position"),
+)
 def queue_cards(inp):
-    out = report.rank_queue(cards(inp)).withColumn("band", report.card_band())
-    return tidy(out.select("id", "type", "band", "rank", F.coalesce("money_cents", F.lit(-1)).alias("money_cents")))
+    out = report.placed(cards(inp).withColumn("band", report.card_band()), report.queue_order())
+    return tidy(out.select("id", "type", "band", "rank", F.coalesce("money_cents", F.lit(-1)).alias("money_cents"), "position"))
 
 
 @query("band_counts", tidy_sql("SELECT band, count(*) AS n FROM o_bands GROUP BY band", keep="band", ints="n"))
@@ -425,9 +487,9 @@ def view_counts(inp):
     return tidy(report.view_counts(inp.view("rec_findings")))
 
 
-@query("ordered_feeds", "SELECT code, tier, stale FROM o_feeds")
+@query("ordered_feeds", "SELECT code, tier, stale, row_number() OVER (ORDER BY stale DESC, CASE tier WHEN 'Pilot' THEN 0 WHEN 'Next' THEN 1 ELSE 2 END, code) AS position FROM o_feeds")
 def ordered_feeds(inp):
-    return report.order_feeds(feed_table(inp)).select("code", "tier", "stale")
+    return report.placed(feed_table(inp), report.feed_order()).select("code", "tier", "stale", "position")
 
 
 @query(
@@ -441,9 +503,13 @@ def home_sections(inp):
     return report.home_sections(evals(inp), cards(inp), AS_OF).select("section", "ref_id")
 
 
-@query("savings_ledger", tidy_sql("SELECT id AS intervention_id, coalesce(bookable_cents, 0) AS booked FROM o_evals WHERE bookable_cents IS NOT NULL OR reversed_claim_cents IS NOT NULL OR outcome = 'reversed'", keep="intervention_id", ints="booked"))
+@query(
+    "savings_ledger",
+    tidy_sql("SELECT id AS intervention_id, coalesce(bookable_cents, 0) AS booked, row_number() OVER (ORDER BY coalesce(bookable_cents, 0) DESC, id) AS position FROM o_evals WHERE bookable_cents IS NOT NULL OR reversed_claim_cents IS NOT NULL OR outcome = 'reversed'", keep="intervention_id", ints="booked position"),
+)
 def savings_ledger(inp):
-    return tidy(report.savings_ledger(evals(inp)).select(KEY, F.coalesce("bookable_cents", F.lit(0)).alias("booked")))
+    out = report.placed(report.savings_ledger(evals(inp)), report.claim_order())
+    return tidy(out.select(KEY, F.coalesce("bookable_cents", F.lit(0)).alias("booked"), "position"))
 
 
 def _d(c: str) -> str:

@@ -278,21 +278,28 @@ def verdicts(inp):
     return tidy(_verdicts(inp).select(KEY, "outcome", "bookable_cents"))
 
 
-ORACLE_VIEWS["o_closed"] = f"""SELECT *, exec_on + latency_days + window_days AS eligible_on, fidelity IN ('complete', 'modified', 'partial') AS executed,
+ORACLE_VIEWS["o_closed"] = f"""SELECT * EXCLUDE (sign, week_factor), exec_on + latency_days + window_days AS eligible_on, fidelity IN ('complete', 'modified', 'partial') AS executed,
   fidelity IN ('complete', 'modified', 'partial') AND exec_on + latency_days + window_days <= {DAY} AS window_closed FROM o_verdict"""
 
 
 @query(
     "evaluated_interventions",
     tidy_sql(
-        """SELECT intervention_id, eligible_on, window_closed, CASE WHEN NOT window_closed THEN 'pending' ELSE outcome END AS outcome,
+        f"""SELECT intervention_id, eligible_on, executed, window_closed, lever, CASE WHEN NOT window_closed THEN 'pending' ELSE outcome END AS outcome,
         CASE WHEN NOT executed THEN 'approved' WHEN NOT window_closed THEN 'measuring' WHEN outcome IN ('verified', 'verified_limited') THEN 'verified' WHEN outcome IN ('no_effect', 'negative', 'directional') THEN 'failed'
-          WHEN outcome = 'guardrail_failure' THEN 'guardrail_failed' ELSE 'inconclusive' END AS verdict_state FROM o_closed""",
-        keep="intervention_id window_closed outcome verdict_state", dates="eligible_on",
+          WHEN outcome = 'guardrail_failure' THEN 'guardrail_failed' ELSE 'inconclusive' END AS verdict_state, coalesce(ok, false) AS ok, data_pass, CASE WHEN window_closed THEN bookable_cents END AS bookable_cents,
+        CASE WHEN ok THEN point END AS point, CASE WHEN ok THEN se END AS se, CASE WHEN ok THEN mde END AS mde, CASE WHEN ok THEN t_crit END AS t_crit, CASE WHEN ok THEN pre_fit END AS pre_fit, n_t_pre, n_t_post, n_c_pre, n_c_post, sign, week_factor,
+        CASE WHEN executed AND NOT window_closed THEN coalesce(seen, 0) ELSE 0 END AS observed, guards AS guardrails_total, guards - n_failed AS guardrails_passed
+        FROM o_closed LEFT JOIN (SELECT intervention_id, count(*) AS seen FROM o_arms WHERE arm = 't' AND date >= exec_on AND date < {DAY} GROUP BY ALL) USING (intervention_id)
+        JOIN (SELECT intervention_id, count(*) AS guards FROM o_guards GROUP BY ALL) USING (intervention_id) LEFT JOIN (SELECT intervention_id, sign, week_factor FROM o_scale) USING (intervention_id)""",
+        keep="intervention_id executed window_closed lever outcome verdict_state ok data_pass", dates="eligible_on", doubles="point se mde t_crit pre_fit week_factor",
+        ints="bookable_cents n_t_pre n_t_post n_c_pre n_c_post sign observed guardrails_total guardrails_passed", digits=3,
     ),
 )
 def evaluated_interventions(inp):
-    return tidy(evaluated(inp).evals.select(KEY, "window_closed", "outcome", "verdict_state", "eligible_on"))
+    cols = ["executed", "window_closed", "lever", "outcome", "verdict_state", "data_pass", "eligible_on", "point", "se", "mde", "t_crit", "pre_fit", "week_factor", "bookable_cents"]
+    counts = ["n_t_pre", "n_t_post", "n_c_pre", "n_c_post", "sign", "observed", "guardrails_total", "guardrails_passed"]
+    return tidy(evaluated(inp).evals.select(KEY, F.coalesce("ok", F.lit(False)).alias("ok"), *cols, *counts), 3)
 
 
 # Claims for the persistence queries: every closed window is taken as if it had booked its projected value.

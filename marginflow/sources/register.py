@@ -25,15 +25,22 @@ def table_schema(name: str) -> str:
     return ddl({**cols, "org_id": "string"})
 
 
-def load_table(spark: SparkSession, path: str, name: str, org: str) -> DataFrame:
-    """One register table of one tenant. The tenant and any later date filter reach the scan."""
+def load_table(spark: SparkSession, path: str, name: str, org: str, since: dt.date | str | None = None) -> DataFrame:
+    """One register table of one tenant; of facts only the rows from ``since`` on.
+
+    The tenant and the Monday of ``since`` are partition filters, so older weeks are not even listed; the date itself
+    and any later filter go down to the files.
+    """
     rows = spark.read.schema(table_schema(name)).parquet(f"{path}/{name}").filter(F.col("org_id") == org)
+    if since is not None and name in FACTS:
+        first = to_date(since)
+        rows = rows.filter((F.col("week") >= F.lit(first - dt.timedelta(days=first.weekday()))) & (F.col(FACTS[name]) >= F.lit(first)))
     return rows.select(*REGISTER_TABLES[name])
 
 
-def load_register(spark: SparkSession, path: str, org: str) -> dict[str, DataFrame]:
-    """All ten register tables of a tenant."""
-    return {name: load_table(spark, path, name, org) for name in REGISTER_TABLES}
+def load_register(spark: SparkSession, path: str, org: str, since: dict[str, dt.date | None] | None = None) -> dict[str, DataFrame]:
+    """All ten register tables of a tenant; ``since``: the first day that is needed of a fact table."""
+    return {name: load_table(spark, path, name, org, (since or {}).get(name)) for name in REGISTER_TABLES}
 
 
 def increment(rows: DataFrame, date_column: str, after: dt.date | str | None) -> DataFrame:
