@@ -1,13 +1,14 @@
 """N-gram Jaccard join: exact near-duplicate links between sets of word shingles.
 
 1. Texts with equal shingle sets fall into one class; only class representatives go on.
-2. A class sends the first shingles of its set in one global order: classes that link must share one of them (prefix
+2. A class sends the first shingles of its set in one global order: classes that link must share some of them (prefix
    filter). The order puts shingles that many documents hold last, so shared passages do not attract candidates.
 3. Classes that share such a shingle form a tile per size band; bands are one threshold wide, so links stay inside a band
    or between neighbours.
-4. A class is first held against the hubs (the smallest class of a shingle) that it shares most shingles with, then, once what these links connect is known,
-   against every class of the tile that is still in another component. So a large group of near copies is not
-   compared pair by pair, and no link between components is missed.
+4. A class is first held against the hubs (the smallest class of a shingle) that it shares most shingles with, then, once
+   what these links connect is known, against the nearest classes of other components, and at last against every class of
+   the tile that is still in another component. Pairs whose prefixes share fewer shingles than their sizes ask for are
+   left out. So a large group of near copies is not compared pair by pair, and no link between components is missed.
 5. A pair is bounded from above by bit counts of hashed bitmaps, then intersected exactly on sorted arrays.
 
 Shingles are 64-bit hashes of word n-grams after lower-casing A-Z; sets are told apart by 128 bits. Nulls: a null or
@@ -43,6 +44,8 @@ LEAST_LOCAL = 3
 RUN_SHINGLES = 2_000_000
 #: Hubs a class is held against in the first round; all other candidates follow in the second.
 FIRST_HUBS = 3
+#: Classes of other components that a class is held against before all others.
+NEAREST = 8
 #: Bits that mark the documents whose sets are made again.
 WANTED_BITS = 1 << 23
 #: Words whose hashes a task remembers, and shingles that a task prepares at once.
@@ -249,19 +252,11 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     pairs = shared.withColumn("k", F.row_number().over(nearest)).where(F.col("k") <= FIRST_HUBS).select(F.col("hub").alias("a"), F.col("class").alias("b"))
     links = _verify(docs, classes, pairs, ngram, percent, repeats)
 
-    # Shingles whose classes are not all connected yet: every pair of different components is a candidate.
-    first = components(links)
-    placed = members.join(first.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("hub")
-    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
-    open_rows = staged(placed.join(mixed, "token").withColumn("band", _band(F.col("n"), percent)))
-    left = open_rows.select("token", "band", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
-    right = open_rows.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
-    # Two sets of these sizes that link share a shingle among the first n - need + 1 of each.
-    need = F.ceil(percent * (F.col("na") + F.col("nb")) / float(100 + percent))
-    early = (F.col("pa") + need <= F.col("na")) & (F.col("pb") + need <= F.col("nb"))
-    tile = left.join(right, ["token", "band"]).where((F.col("ca") != F.col("cb")) & early & _fitting(F.col("na"), F.col("nb"), percent) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))))
-    rest = tile.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    links = links.unionByName(_verify(docs, classes, rest, ngram, percent, repeats))
+    # Then the pairs of different components under one shingle: first the nearest of every class, which connect most of what
+    # can be connected, and after that every pair that is still in different components.
+    for all_pairs in (False, True):
+        rest = _open_pairs(members, components(links), percent)
+        links = links.unionByName(_verify(docs, classes, rest.select("a", "b") if all_pairs else _nearest(rest), ngram, percent, repeats))
 
     found = components(links)
     named = classes.select("high", "low", "class").join(found.select(F.col("node").alias("class"), "component"), "class", "left")
@@ -272,6 +267,33 @@ def jaccard_join(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) ->
     return full.unionByName(empty).drop("high", "low")
 
 
+def _open_pairs(members: DataFrame, found: DataFrame, percent: int) -> DataFrame:
+    """(a, b, spare): the pairs of classes of different components that may link, and how many more shingles than they must their prefixes share.
+
+    Shingles whose classes are all connected are left out before any pair is formed.
+    """
+    placed = members.join(found.select(F.col("node").alias("class"), "component"), "class", "left").withColumn("component", F.coalesce("component", "class")).drop("hub")
+    mixed = placed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("token")
+    open_rows = staged(placed.join(mixed, "token").withColumn("band", _band(F.col("n"), percent)))
+    left = open_rows.select("token", "band", F.col("class").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("component").alias("ca"))
+    right = open_rows.select("token", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("band").alias("own"), F.col("class").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("component").alias("cb"))
+    # Two sets of these sizes that link share ``need`` shingles, so k of them lie among the first n - need + k of each, for
+    # any k; the prefixes allow this one, which grows with the sets.
+    need = F.ceil(percent * (F.col("na") + F.col("nb")) / float(100 + percent))
+    k = need + 1 - F.greatest(F.ceil(percent * F.col("na") / 100.0), F.ceil(percent * F.col("nb") / 100.0))
+    early = (F.col("pa") + need < F.col("na") + k) & (F.col("pb") + need < F.col("nb") + k)
+    tile = left.join(right, ["token", "band"]).where((F.col("ca") != F.col("cb")) & early & _fitting(F.col("na"), F.col("nb"), percent) & ((F.col("own") > F.col("band")) | (F.col("a") < F.col("b"))))
+    met = tile.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg((F.count(F.lit(1)) - F.first(k)).alias("spare"))
+    return met.where("spare >= 0")
+
+
+def _nearest(pairs: DataFrame) -> DataFrame:
+    """Of every class the pairs with the classes whose prefixes are nearest to its own."""
+    ends = staged(pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), "spare").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other"), "spare")))
+    ranked = ends.withColumn("k", F.row_number().over(W.partitionBy("class").orderBy(F.col("spare").desc(), "other"))).where(F.col("k") <= NEAREST)
+    return ranked.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, bool]:
     """Adds ``_row``, one number per different (doc_id, text), and tells whether rows share one.
 
