@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import dates
 from ..operators import costing, detectors, labour
+from ..session import durable
 from .oracle_views import ORACLE_VIEWS
 from .register_queries import item_days, role_shifts, services
 from .registry import query, tidy, tidy_sql
@@ -26,6 +27,15 @@ RELAXED = detectors.Thresholds(
 DAY = f"DATE '{AS_OF}'"
 
 
+def served(inp):
+    """Services as the register stores them: rolled up once, read by every branch of a detector."""
+    return durable(services(inp))
+
+
+def sold(inp):
+    return durable(item_days(inp))
+
+
 def chart_sql(src: str, by: str, baseline: str) -> str:
     """CUSUM columns over a CTE with (by…, date, v)."""
     base = f"CASE WHEN i <= greatest(2, least({baseline}, n)) THEN v END"
@@ -190,7 +200,7 @@ LAB_BODY = f"""SELECT *, coalesce(n_recent >= 1 AND n_prior >= 1 AND services >=
     ),
 )
 def detect_excess_hours(inp):
-    out = detectors.detect_excess_hours(services(inp), role_shifts(inp), inp.view("reg_dayparts"), AS_OF, ROLES, RELAXED)
+    out = detectors.detect_excess_hours(served(inp), durable(role_shifts(inp)), inp.view("reg_dayparts"), AS_OF, ROLES, RELAXED)
     return tidy(
         out.select("loc", "daypart", "dow", "services", "peers", "mu", "n_recent", "n_prior", "delta_hours", "blended_rate", "exposure_cents", "onset_date", "signal_date", "fired")
     )
@@ -232,7 +242,7 @@ POR_BODY = f"""SELECT *, coalesce(lines >= 5 AND signal_date IS NOT NULL AND n_p
     ),
 )
 def detect_usage_drift(inp):
-    return tidy(detectors.detect_usage_drift(inp.view("reg_invoices"), item_days(inp), inp.menu(), inp.view("reg_skus"), AS_OF, RELAXED).drop("items"), 4)
+    return tidy(detectors.detect_usage_drift(inp.view("reg_invoices"), sold(inp), inp.menu(), inp.view("reg_skus"), AS_OF, RELAXED).drop("items"), 4)
 
 
 def _last28(src: str) -> str:
@@ -256,7 +266,7 @@ CMP_BODY = f"""SELECT *, coalesce(services >= 10 AND signals >= 1 AND NOT peers_
     ),
 )
 def detect_comps_rate(inp):
-    return tidy(detectors.detect_comps_rate(services(inp), AS_OF, RELAXED))
+    return tidy(detectors.detect_comps_rate(served(inp), AS_OF, RELAXED))
 
 
 _GAIN = "floor((target - cost) * units_now * (target / price) ** ({e}) - (price - cost) * units_now + 0.5)"
@@ -283,7 +293,7 @@ PRC_BODY = f"""SELECT *, coalesce(p_star > max_price * 1.25, false) AS extrapola
     ),
 )
 def detect_underpriced_item(inp):
-    out = detectors.detect_underpriced_item(item_days(inp), services(inp), inp.menu(), AS_OF, RELAXED)
+    out = detectors.detect_underpriced_item(sold(inp), served(inp), inp.menu(), AS_OF, RELAXED)
     return tidy(out.withColumn("target", F.col("target").cast("double")).drop("low_cents", "high_cents", "t_crit"), 4)
 
 
@@ -322,7 +332,7 @@ MIX_BODY = """SELECT *, abs(weekly_cents) AS exposure_cents, rows_pre >= 20 AND
     ),
 )
 def detect_mix_shift(inp):
-    return tidy(detectors.detect_mix_shift(item_days(inp), AS_OF, RELAXED))
+    return tidy(detectors.detect_mix_shift(sold(inp), AS_OF, RELAXED))
 
 
 TKT_BODY = f"""SELECT *, coalesce(services >= 10 AND signal_date IS NOT NULL AND n_post >= 1 AND n_pre >= 1 AND delta_min >= 0.01, false) AS fired FROM (
@@ -342,7 +352,7 @@ TKT_BODY = f"""SELECT *, coalesce(services >= 10 AND signal_date IS NOT NULL AND
     ),
 )
 def detect_ticket_drift(inp):
-    return tidy(detectors.detect_ticket_drift(services(inp), item_days(inp), AS_OF, th=RELAXED).drop("blocked"))
+    return tidy(detectors.detect_ticket_drift(served(inp), sold(inp), AS_OF, th=RELAXED).drop("blocked"))
 
 
 def _stricter(body: str, *swaps: tuple[str, str]) -> str:
@@ -370,14 +380,14 @@ DEFAULT_BODIES = {
 )
 def default_detections(inp):
     """What the detectors judge at the engine's own limits, fired or not: one row per unit that each looked at."""
-    sold, served, bought = item_days(inp), services(inp), inp.view("reg_invoices")
+    items, services_, bought = sold(inp), served(inp), inp.view("reg_invoices")
     found = {
         "PPV": (("sku",), detectors.detect_price_variance(bought, AS_OF)),
-        "POR": (("loc", "sku"), detectors.detect_usage_drift(bought, sold, inp.menu(), inp.view("reg_skus"), AS_OF)),
-        "CMP": (("loc", "daypart"), detectors.detect_comps_rate(served, AS_OF)),
-        "PRC": (("loc", "item"), detectors.detect_underpriced_item(sold, served, inp.menu(), AS_OF)),
-        "MIX": (("loc",), detectors.detect_mix_shift(sold, AS_OF)),
-        "TKT": (("loc", "daypart"), detectors.detect_ticket_drift(served, sold, AS_OF)),
+        "POR": (("loc", "sku"), detectors.detect_usage_drift(bought, items, inp.menu(), inp.view("reg_skus"), AS_OF)),
+        "CMP": (("loc", "daypart"), detectors.detect_comps_rate(services_, AS_OF)),
+        "PRC": (("loc", "item"), detectors.detect_underpriced_item(items, services_, inp.menu(), AS_OF)),
+        "MIX": (("loc",), detectors.detect_mix_shift(items, AS_OF)),
+        "TKT": (("loc", "daypart"), detectors.detect_ticket_drift(services_, items, AS_OF)),
     }
     parts = [df.select(F.lit(code).alias("detector"), F.concat_ws("/", *unit).alias("scope"), "fired") for code, (unit, df) in found.items()]
     out = parts[0]

@@ -48,6 +48,25 @@ def land_increment(inp):
     return tidy(reg.load_table(spark, path, "services", "o1").select("loc", "date", "daypart", "covers", "net_cents"))
 
 
+@query(
+    "land_tenants",
+    tidy_sql("SELECT org_id, loc, date, daypart, covers, net_cents FROM services, (VALUES ('o1'), ('o2'), ('o3')) o(org_id) WHERE org_id <> 'o3' OR covers % 2 = 0", keep="org_id loc daypart", ints="covers net_cents", dates="date"),
+)
+def land_tenants(inp):
+    """Three tenants landed together: one is ahead of the second, the third is new and has other rows; the delivery comes twice."""
+    full = durable(services(inp).select("loc", "date", "daypart", "covers", "net_cents"))
+    spark = full.sparkSession
+    path = f"{scratch_dir(spark)}/register-{uuid.uuid4().hex}"
+    org = lambda name, rows: rows.withColumn("org_id", F.lit(name))
+    early = lambda day: full.filter(F.col("date") <= dates.day(day))
+    reg.land_tenants(spark, {"services": org("o1", early(CUT)).unionByName(org("o2", early("2000-01-01")))}, path)
+    delivery = org("o1", full).unionByName(org("o2", full)).unionByName(org("o3", full.filter("covers % 2 = 0")))
+    for _ in range(2):
+        reg.land_tenants(spark, {"services": delivery}, path)
+    stored = store.read_records(spark, f"{path}/services", reg.table_schema("services"))
+    return tidy(stored.select("org_id", "loc", "date", "daypart", "covers", "net_cents"))
+
+
 @query(
     "high_water_marks",
     tidy_sql(f"SELECT (SELECT max(date) FROM services) AS last_date, (SELECT count(*) FROM services WHERE date > DATE '{CUT}') AS services_after, (SELECT max(week) FROM reg_invoices) AS last_week", ints="services_after", dates="last_date last_week"),
