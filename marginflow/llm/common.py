@@ -21,6 +21,8 @@ BLANKS = " \t\n\x0b\x0c\r"
 SLICES = 4096
 #: Rows of a table that may be broadcast; a larger one is joined by shuffle.
 BROADCAST_ROWS = 50_000
+#: Rows of a narrow table that one task writes.
+FILE_ROWS = 100_000
 
 
 def text_of(name: str = "text") -> Column:
@@ -41,11 +43,14 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a compressed table in the shared folder; for tables too wide for ``durable``."""
+def staged(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """Cuts lineage with a compressed table in the shared folder; for tables too wide for ``durable``.
+
+    A table that holds at most ``rows`` rows is written by as many tasks as they need, not by one per shuffle partition.
+    """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    (df if rows is None else df.coalesce(max(1, -(-rows // FILE_ROWS)))).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

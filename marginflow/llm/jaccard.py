@@ -289,7 +289,8 @@ def _open_pairs(members: DataFrame, found: DataFrame, percent: int) -> DataFrame
 
 def _nearest(pairs: DataFrame) -> DataFrame:
     """Of every class the pairs with the classes whose prefixes are nearest to its own."""
-    ends = staged(pairs.select(F.col("a").alias("class"), F.col("b").alias("other"), "spare").unionByName(pairs.select(F.col("b").alias("class"), F.col("a").alias("other"), "spare")))
+    both = F.array(F.struct(F.col("a").alias("class"), F.col("b").alias("other")), F.struct(F.col("b").alias("class"), F.col("a").alias("other")))
+    ends = pairs.select("spare", F.inline(both))
     ranked = ends.withColumn("k", F.row_number().over(W.partitionBy("class").orderBy(F.col("spare").desc(), "other"))).where(F.col("k") <= NEAREST)
     return ranked.select(F.least("class", "other").alias("a"), F.greatest("class", "other").alias("b")).distinct()
 
@@ -329,7 +330,7 @@ def keep_one(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> Dat
     best = placed.groupBy("component_id").agg(F.max(F.struct("_size", "_id", "_hash", "_row")).alias("_best"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
     # Narrow rows, and only those of groups: most documents are in none.
     lost = placed.join(best, "component_id").where("_row <> _best._row or _hash <> _best._hash").select("_row", "_hash").distinct()
-    kept = rows.join(staged(lost), ["_row", "_hash"], "left_anti")
+    kept = rows.join(lost, ["_row", "_hash"], "left_anti")
     return (kept.dropDuplicates(["_row"]) if shared else kept).drop("_row", "_hash")
 
 
