@@ -227,13 +227,31 @@ def crossing(words: np.ndarray, nodes: np.ndarray, min_words: int) -> np.ndarray
             long = last - first >= np.maximum(min_words, 3 * q)
             out.append(np.stack([node[long], first[long], last[long], q[long]], axis=1))
             begin = end
-    found = np.unique(np.concatenate(out), axis=0)
+    every = np.unique(np.concatenate(out), axis=0)
     # Of the periods of one stretch the smallest counts.
-    found = found[np.append(True, (np.diff(found[:, :3], axis=0) != 0).any(axis=1))[: len(found)]]
-    sound = [bool((words[a : b - q] == words[a + q : b]).all()) for _, a, b, q in found]
-    if not all(sound):
-        raise ArithmeticError("two different stretches of words share a 64-bit hash")
-    return found
+    found = every[np.append(True, (np.diff(every[:, :3], axis=0) != 0).any(axis=1))[: len(every)]]
+    # Hashes may agree by chance, and do in texts made for it; nodes where one did are searched word by word.
+    false = {int(node) for node, a, b, q in found if not (words[a : b - q] == words[a + q : b]).all()}
+    if not false:
+        return found
+    doubtful = np.isin(every[:, 0], list(false))
+    again = [(node, *run) for node, q in np.unique(every[doubtful][:, [0, 3]], axis=0) for run in _direct(words, *nodes[node, :3], q, min_words)]
+    sound = found[~np.isin(found[:, 0], list(false))]
+    return np.unique(np.concatenate([sound, np.array(again, np.int64).reshape(-1, 4)]), axis=0)
+
+
+def _direct(words: np.ndarray, lo: int, mid: int, hi: int, q: int, min_words: int) -> set[tuple[int, int, int]]:
+    """The stretches of period q within a node that hold the words on both sides of its middle."""
+    equal = np.concatenate([[False], words[lo : hi - q] == words[lo + q : hi], [False]])
+    breaks = np.flatnonzero(~equal)
+    out = set()
+    for at in (mid - lo, mid - q - lo):
+        if 0 < at < len(equal) and equal[at]:
+            k = int(np.searchsorted(breaks, at))
+            start, end = lo + int(breaks[k - 1]), lo + int(breaks[k]) - 1 + q
+            if end - start >= max(min_words, 3 * q):
+                out.add((start, end, int(q)))
+    return out
 
 
 def _maximal(pieces: np.ndarray) -> np.ndarray:

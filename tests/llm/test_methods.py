@@ -70,6 +70,25 @@ def test_runs_of_long_texts():
     assert list(map(tuple, runs[at + many[1] :].tolist())) == runs_by_hand(fibonacci[1][:3000], 24)
 
 
+def test_runs_where_hashes_agree_by_chance():
+    """Words in the order of Thue and Morse collide in any hash by powers of two; runs beside them are still found."""
+    order = [0]
+    while len(order) < 8192:
+        order += [1 - x for x in order]
+    words = [b"%d" % x for x in order] * 3 + [b"a", b"b"] * 40
+    runs, many = find_runs([words[:4096] + [b"a", b"b"] * 40, words])
+    got = list(map(tuple, runs.tolist()))
+    for text, mine in ((words[:4096] + [b"a", b"b"] * 40, got[: many[0]]), (words, got[many[0] :])):
+        assert (len(text) - 80, 80, 2) in mine
+        for start, length, period in mine:
+            part = text[start : start + length]
+            assert part[period:] == part[:-period] and length >= max(24, 3 * period)
+            assert start == 0 or text[start - 1] != text[start - 1 + period]
+            assert start + length == len(text) or text[start + length] != text[start + length - period]
+    # Three whole copies are a run of their own length.
+    assert any(length >= 3 * 8192 for _, length, _ in got[many[0] :])
+
+
 def test_collapsing_keeps_the_first_period(spark):
     song = "row the boat ashore " * 9
     rows = [(1, f"start {song}end here", "keep", 3), (2, None, "keep", None), (3, "", "x", 1), (4, "a  b\tc", "x", 1), (1, f"start {song}end here", "keep", 3), (None, "w " * 30, "x", 0)]
