@@ -228,8 +228,7 @@ def crossing(words: np.ndarray, nodes: np.ndarray, min_words: int) -> np.ndarray
             out.append(np.stack([node[long], first[long], last[long], q[long]], axis=1))
             begin = end
     every = np.unique(np.concatenate(out), axis=0)
-    # Of the periods of one stretch the smallest counts.
-    found = every[np.append(True, (np.diff(every[:, :3], axis=0) != 0).any(axis=1))[: len(every)]]
+    found = _smallest(every)
     # Hashes may agree by chance, and do in texts made for it; nodes where one did are searched word by word.
     false = {int(node) for node, a, b, q in found if not (words[a : b - q] == words[a + q : b]).all()}
     if not false:
@@ -237,7 +236,12 @@ def crossing(words: np.ndarray, nodes: np.ndarray, min_words: int) -> np.ndarray
     doubtful = np.isin(every[:, 0], list(false))
     again = [(node, *run) for node, q in np.unique(every[doubtful][:, [0, 3]], axis=0) for run in _direct(words, *nodes[node, :3], q, min_words)]
     sound = found[~np.isin(found[:, 0], list(false))]
-    return np.unique(np.concatenate([sound, np.array(again, np.int64).reshape(-1, 4)]), axis=0)
+    return _smallest(np.unique(np.concatenate([sound, np.array(again, np.int64).reshape(-1, 4)]), axis=0))
+
+
+def _smallest(rows: np.ndarray) -> np.ndarray:
+    """Of the periods of one stretch the smallest counts: the first of sorted rows (node, from, to, period)."""
+    return rows[np.append(True, (np.diff(rows[:, :3], axis=0) != 0).any(axis=1))[: len(rows)]]
 
 
 def _direct(words: np.ndarray, lo: int, mid: int, hi: int, q: int, min_words: int) -> set[tuple[int, int, int]]:
