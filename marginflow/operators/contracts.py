@@ -1,7 +1,7 @@
 """Contracts of the tables: rules on rows, unique keys, references and agreements between tables.
 
-A contract is data; it is compiled into one grouped pass per table, by its key, which serves every rule on rows and the
-key's uniqueness, and into one anti-join or join per reference, of rows that were counted per referenced value before.
+A contract is data; it is compiled into one pass per table without a shuffle, which serves every rule on rows, one count per
+key where it is unique, and one anti-join per reference. Keys become text only in rows that break a rule.
 Each broken rule comes with the number of rows that break it and the least and greatest key among them.
 
 A rule that is null for a row is broken. A null reference refers to nothing and is not broken; whether it may be null is a
@@ -135,33 +135,40 @@ def _cells(wide: DataFrame, table: str, cells: list[tuple[str, str, str, str]])
 
 
 def check_rows(table: str, rows: DataFrame, contract: Contract) -> DataFrame:
-    """Rules on rows and uniqueness of the key, from one grouped pass."""
-    names = list(contract.rules)
-    broken = [F.count(F.when(~F.coalesce(F.expr(contract.rules[n]), F.lit(False)), 1)).alias(f"b{i}") for i, n in enumerate(names)]
-    keys = rows.withColumn("_key", _shown(contract.key)).groupBy("_key").agg(F.count(F.lit(1)).alias("n"), *broken)
-    tests = [(n, F.col(f"b{i}"), F.col(f"b{i}") > 0) for i, n in enumerate(names)]
+    """Rules on rows, added up where the rows lie, and uniqueness of the key."""
+    key, aggs = _shown(contract.key), [F.count(F.lit(1)).alias("rows")]
+    for i, text in enumerate(contract.rules.values()):
+        broken = ~F.coalesce(F.expr(text), F.lit(False))
+        aggs += [F.count(F.when(broken, 1)).alias(f"v{i}"), F.min(F.when(broken, key)).alias(f"lo{i}"), F.max(F.when(broken, key)).alias(f"hi{i}")]
+    parts = [_cells(rows.agg(*aggs), table, [(name, f"v{i}", f"lo{i}", f"hi{i}") for i, name in enumerate(contract.rules)])] if contract.rules else []
     if contract.unique:
-        tests.append(("key is unique", F.col("n"), F.col("n") > 1))
-    aggs = [F.sum("n").alias("rows")]
-    for i, (_, n, test) in enumerate(tests):
-        aggs += [F.sum(F.when(test, n)).alias(f"v{i}"), F.min(F.when(test, F.col("_key"))).alias(f"lo{i}"), F.max(F.when(test, F.col("_key"))).alias(f"hi{i}")]
-    return _cells(keys.agg(*aggs), table, [(name, f"v{i}", f"lo{i}", f"hi{i}") for i, (name, _, _) in enumerate(tests)])
+        # Two whole numbers have one text just when they are equal, so they need none to be grouped.
+        whole = len(contract.key) == 1 and dict(rows.dtypes)[contract.key[0]] in ("tinyint", "smallint", "int", "bigint")
+        counted = rows.groupBy((F.col(contract.key[0]) if whole else key).alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+        shown = F.when(F.col("n") > 1, _shown(["_key"]))
+        wide = counted.agg(F.sum("n").alias("rows"), F.sum(F.when(F.col("n") > 1, F.col("n"))).alias("v"), F.min(shown).alias("lo"), F.max(shown).alias("hi"))
+        parts.append(_cells(wide, table, [("key is unique", "v", "lo", "hi")]))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def check_reference(table: str, rows: DataFrame, contract: Contract, ref: Reference, parent: DataFrame) -> DataFrame:
-    """Rows whose reference is not found, or whose row there does not agree; counted per referenced value before they meet it."""
+    """Rows whose reference is not found, or whose row there does not agree.
+
+    No texts are gathered per referenced value, as that would sort all rows. Small tables referred to are broadcast and hot
+    values of large ones are split, as Catalyst and AQE see fit.
+    """
     named = F.lit(True)
     for c in ref.columns:
         named = named & F.col(c).isNotNull()
-    own = rows.filter(named).select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(ref.columns)), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(ref.agree)), _shown(contract.key).alias("_key"))
+    own = rows.filter(named).select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(ref.columns)), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(ref.agree)), *(F.col(c).alias(f"_k{i}") for i, c in enumerate(contract.key)))
     met = [f"_r{i}" for i in range(len(ref.columns))] + [f"_a{i}" for i in range(len(ref.agree))]
-    counted = own.groupBy(*met).agg(F.count(F.lit(1)).alias("n"), F.min("_key").alias("lo"), F.max("_key").alias("hi"))
-    theirs = parent.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(ref.their)), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(ref.agree))).distinct()
+    theirs = parent.select(*(F.col(c).alias(f"_r{i}") for i, c in enumerate(ref.their)), *(F.col(c).alias(f"_a{i}") for i, c in enumerate(ref.agree)))
     same = F.lit(True)
     for c in met:
         same = same & (F.col(f"a.{c}").eqNullSafe(F.col(f"b.{c}")) if c.startswith("_a") else F.col(f"a.{c}") == F.col(f"b.{c}"))
-    lost = counted.alias("a").join(theirs.alias("b"), same, "left_anti")
-    wide = attach(lost.agg(F.sum("n").alias("v"), F.min("lo").alias("lo"), F.max("hi").alias("hi")), rows.agg(F.count(F.lit(1)).alias("rows")))
+    lost = own.alias("a").join(theirs.alias("b"), same, "left_anti")
+    key = _shown([f"_k{i}" for i in range(len(contract.key))])
+    wide = attach(lost.agg(F.count(F.lit(1)).alias("v"), F.min(key).alias("lo"), F.max(key).alias("hi")), rows.agg(F.count(F.lit(1)).alias("rows")))
     return _cells(wide, table, [(ref.name, "v", "lo", "hi")])
 
 
