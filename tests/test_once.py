@@ -7,15 +7,18 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from marginflow.operators import contracts
+from marginflow.operators import contracts, costing, measure
 from marginflow.operators.contracts import Contract, Reference
 from marginflow.queries import QUERIES
 from marginflow.queries import job_queries as jobs
+from marginflow.queries import measure_queries
 from marginflow.queries.register_queries import services
 from marginflow.queries.registry import tidy
 from marginflow.queries.views import BASE_SCHEMAS, Inputs
 from marginflow.session import scratch_dir
 
+DAY0 = dt.date(2024, 1, 1)
+
 
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
@@ -70,3 +73,25 @@ def test_rows_in_many_files_come_in_two_deliveries(spark, tmp_path):
     batches = []
     jobs.in_two(spark, spark.read.parquet(f"{tmp_path}/rows")).writeStream.foreachBatch(lambda b, n: batches.append(b.count())).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
     assert len(batches) == 2 and sum(batches) == 100
+
+
+def test_sums_of_invoices_stand_for_them(spark):
+    monday = lambda k: DAY0 + dt.timedelta(7 * k)
+    invoices = spark.createDataFrame([(loc, monday(k), s, 100 + k + n, 2.0 + n, 200 + n) for k in range(12) for s in ("S1", "S2") for loc in "ab" for n in range(3)], "loc string, week date, sku string, unit_price_cents bigint, qty double, extended_cents bigint")
+    sums = costing.weekly_invoices(invoices)
+    assert sums.count() == 48 and {r["lines"] for r in sums.collect()} == {3}
+    plans = spark.createDataFrame([(f"P{i}", "t", ["S1", "S2"], monday(6)) for i in range(3)], "intervention_id string, arm string, skus array<string>, exec_on date")
+    spans = plans.select("intervention_id", F.lit(monday(2)).alias("lo"), F.lit(monday(9)).alias("hi"))
+    sold = spark.createDataFrame([("a", monday(k), "i", 7) for k in range(12)], "loc string, date date, item string, units bigint")
+    menu = spark.createDataFrame([("i", "S1", 0.5)], "item string, uses_sku string, qty_per_unit double")
+    arms = spark.createDataFrame([("P0", "t", 1, "S1", ["a"], monday(6))], "intervention_id string, arm string, sign int, sku string, locs array<string>, exec_on date")
+    for read in (lambda x: costing.indexed_price_series(plans, x, spans), lambda x: costing.frozen_price_usage(arms, x, sold, menu, spans)):
+        got, want = ({(r["intervention_id"], r["date"]): r["y"] for r in read(x).collect()} for x in (sums, invoices))
+        assert len(got) >= 8 and got == pytest.approx(want)
+
+
+def test_the_register_of_evaluations_is_made_once(spark, tables):
+    inp = Inputs(spark, tables)
+    made = measure_queries.register(inp)
+    assert "l_orderkey" not in plan(made.invoices) and "l_suppkey" not in plan(made.invoices) and "p_brand" not in plan(made.menu)
+    assert "s_suppkey" not in plan(measure.scope_days(measure_queries.plans(inp), made.services, "2001-08-02").plans)
