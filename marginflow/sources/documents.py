@@ -31,6 +31,8 @@ EXTRA = (
     "struct<hours: struct<mu: double, delta_hours: double>, price: struct<p0: double, p1: double, price_leg: double, quantity_leg: double>, usage: struct<r0: double, r1: double, excess_qty: double>, "
     "comps: struct<actual: double, baseline: double>, menu: struct<elasticity: double, target: double>, mix: struct<mix_effect: double, cross_effect: double>, ticket: struct<t0: double, t1: double, constrained_share: double>>"
 )
+#: A document is as long as its series, and a reader holds thousands of rows of a row group at once; so groups are short.
+GROUP_ROWS = 64
 #: The layout that readers get: the newest, of which every older one is a part.
 LAYOUT = f"version int, {_FLAT}, baseline_n int, series array<{POINT}>, tests {TESTS}, overlaps array<{OVERLAP}>, extra {EXTRA}"
 
@@ -85,6 +87,11 @@ def finding_documents(findings: DataFrame, points: DataFrame, refs: DataFrame, t
     return _written(rows.withColumn("version", F.lit(VERSION)).withColumn("baseline_n", F.lit(baseline_n)), LAYOUT)
 
 
+def write_documents(documents: DataFrame, path: str) -> None:
+    """Documents of any layout added to a folder. Those of one series lie together and repeat it, which zstd folds."""
+    documents.write.mode("append").option("compression", "zstd").option("parquet.block.row.count.limit", GROUP_ROWS).parquet(path)
+
+
 def read_findings(stored: DataFrame) -> DataFrame:
     """Stored documents of any layout in the newest one."""
     rows = stored.select(F.from_json("record", _schema(LAYOUT)).alias("_r")).select("_r.*")
